@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date, time_attributes
 from ..functions.numeric import impute_sales
 from ..functions.text import clean_sku
-from .resolve import resolve_columns
+from .resolve import BROADCAST_MAX_ROWS, attach, resolve_spellings
 
 # Similarity cutoffs of the fuzzy tier per entity.
 CUTOFF = {"brand": 0.5, "category": 0.5, "retailer": 0.5, "variant": 0.4}
 
+INTERNAL_COLS = {"Reported_Brand": ("brand", "brand"),
+                 "Reported_Category": ("category", "category"),
+                 "Reported_Retailer": ("retailer", "retailer"),
+                 "Reported_Variant": ("variant", "variant")}
+COMPETITOR_COLS = {"Reported_Category": ("category", "category"),
+                   "Reported_Retailer": ("retailer", "retailer")}
+
 
 def with_imputed_sales(df: DataFrame, total="Total_Sales", volume="Volume",
                        price="Unit_Price") -> DataFrame:
@@ -20,33 +27,56 @@ def with_imputed_sales(df: DataFrame, total="Total_Sales", volume="Volume",
     return df.withColumns({"total_sales": total_sales, "is_imputed": is_imputed})
 
 
-def clean_internal_sales(df: DataFrame, aliases: dict[str, DataFrame],
-                         materialize: bool = False) -> DataFrame:
-    """Raw internal feed -> cleaned rows.
+def _finish_internal(df: DataFrame) -> DataFrame:
+    df = with_imputed_sales(df)
+    df = df.withColumns({"sku_id": clean_sku("Reported_SKU"),
+                         "volume": F.col("Volume").cast("double"),
+                         "week_start": parse_date("Week_Start")})
+    return time_attributes(df)
+
+
+def _finish_competitor(df: DataFrame) -> DataFrame:
+    df = df.withColumns({"competitor_volume": F.col("Competitor_Volume").cast("bigint"),
+                         "competitor_sales": F.col("Competitor_Sales").cast("double"),
+                         "week_start": parse_date("Week_Start")})
+    return time_attributes(df)
+
 
-    ``aliases`` maps ``brand``/``category``/``retailer``/``variant`` to alias
-    tables.  Adds sku_id, brand, category, retailer, variant, volume,
-    total_sales, is_imputed, week_start and its time attributes.
+def clean_feeds(internal: DataFrame | None, competitor: DataFrame | None,
+                aliases: dict[str, DataFrame], materialize: bool = True,
+                tier_cols: bool = False):
+    """Clean both raw feeds with one resolution pass over their spellings.
+
+    Returns ``(internal_clean, competitor_clean)`` (``None`` for a missing
+    feed).  Internal rows get sku_id, brand, category, retailer, variant,
+    volume, total_sales, is_imputed, week_start and its time attributes;
+    competitor rows get category, retailer, competitor_volume,
+    competitor_sales and the week attributes.
     """
-    specs = [("Reported_Brand", aliases["brand"], CUTOFF["brand"], "brand"),
-             ("Reported_Category", aliases["category"], CUTOFF["category"], "category"),
-             ("Reported_Retailer", aliases["retailer"], CUTOFF["retailer"], "retailer"),
-             ("Reported_Variant", aliases["variant"], CUTOFF["variant"], "variant")]
-    out = resolve_columns(df, specs, materialize=materialize)
-    out = with_imputed_sales(out)
-    out = out.withColumns({"sku_id": clean_sku("Reported_SKU"),
-                           "volume": F.col("Volume"),
-                           "week_start": parse_date("Week_Start")})
-    return time_attributes(out)
+    frames = []
+    if internal is not None:
+        frames.append((internal, {c: e for c, (e, _) in INTERNAL_COLS.items()}))
+    if competitor is not None:
+        frames.append((competitor, {c: e for c, (e, _) in COMPETITOR_COLS.items()}))
+    used = sorted({e for _, cols in frames for e in cols.values()})
+    resolved = resolve_spellings(frames, {e: aliases[e] for e in used},
+                                 {e: CUTOFF[e] for e in used}, materialize)
+    limit = BROADCAST_MAX_ROWS if materialize else None
+    ci = cc = None
+    if internal is not None:
+        ci = _finish_internal(attach(internal, resolved, INTERNAL_COLS, tier_cols, limit))
+    if competitor is not None:
+        cc = _finish_competitor(attach(competitor, resolved, COMPETITOR_COLS, tier_cols, limit))
+    return ci, cc
+
+
+def clean_internal_sales(df: DataFrame, aliases: dict[str, DataFrame],
+                         materialize: bool = True) -> DataFrame:
+    """Raw internal feed -> cleaned rows."""
+    return clean_feeds(df, None, aliases, materialize)[0]
 
 
 def clean_competitor_market(df: DataFrame, aliases: dict[str, DataFrame],
-                            materialize: bool = False) -> DataFrame:
+                            materialize: bool = True) -> DataFrame:
     """Raw competitor feed -> cleaned rows (category, retailer, week)."""
-    specs = [("Reported_Category", aliases["category"], CUTOFF["category"], "category"),
-             ("Reported_Retailer", aliases["retailer"], CUTOFF["retailer"], "retailer")]
-    out = resolve_columns(df, specs, materialize=materialize)
-    out = out.withColumns({"competitor_volume": F.col("Competitor_Volume").cast("bigint"),
-                           "competitor_sales": F.col("Competitor_Sales").cast("double"),
-                           "week_start": parse_date("Week_Start")})
-    return time_attributes(out)
+    return clean_feeds(None, df, aliases, materialize)[1]

@@ -140,7 +140,7 @@ def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict) -> DataFrame
 
 
 def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
-                   tiers=("exact", "substring", "fuzzy")) -> DataFrame:
+                   tiers=("exact", "substring", "fuzzy"), materialize: bool = False) -> DataFrame:
     """Resolve a table of distinct raw spellings ``(e, raw)`` (or ``(raw)``).
 
     ``cutoffs``: a float, or ``{e: float}`` per entity.  Returns ``(e, raw,
@@ -162,6 +162,11 @@ def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
             max_len = index.agg(F.max(F.length("alias"))).first()[0]
             hit = match_substring(left, index, max_len)
         elif tier == "fuzzy":
+            if materialize:
+                # what the cheap tiers left: small; written once so the
+                # Python tier and its size check read it instead of
+                # re-running the joins above
+                left = stage(left, "unresolved")
             hit = match_fuzzy(left, index, cutoffs)
         else:
             raise ValueError(f"unknown tier {tier!r}")
@@ -176,47 +181,78 @@ def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
                     F.coalesce("match_tier", F.lit("none")).alias("match_tier")))
 
 
-def resolve_columns(df: DataFrame, specs, materialize: bool = True,
-                    tier_cols: bool = False) -> DataFrame:
-    """Resolve several entity columns of ``df`` at once.
-
-    ``specs``: ``[(column, alias_df, cutoff, out_column), ...]``.  The distinct
-    ``(entity, spelling)`` pairs of all columns are gathered in one pass,
-    resolved together, and each column is joined back to its slice.  With
-    ``materialize`` the spellings and the resolved table are written to the
-    shared checkpoint folder (small tables; the lineage is cut before the
-    Python tier), and the join back broadcasts only after counting.
+def resolve_spellings(frames, aliases: dict, cutoffs: dict,
+                      materialize: bool = True) -> DataFrame:
+    """Resolve the spellings of many columns of many frames in one pass.
+
+    ``frames``: ``[(df, {column: entity}), ...]``; ``aliases`` and ``cutoffs``
+    are keyed by entity name.  The distinct ``(entity, spelling)`` pairs of
+    every listed column are gathered (partial aggregation before the shuffle),
+    resolved together and returned as ``(entity, raw, canonical,
+    match_tier)``.  Columns of the same entity share the work, e.g. the
+    category spellings of both feeds.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("e"), F.col(c).cast("string").alias("raw"))
-                                for i, (c, _, _, _) in enumerate(specs)]))
-    spellings = df.select(pairs.alias("x")).select("x.e", "x.raw").distinct()
+    names = sorted(aliases)
+    eid = {n: i for i, n in enumerate(names)}
+    spellings = None
+    for df, cols in frames:
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(eid[ent]).alias("e"), F.col(c).cast("string").alias("raw"))
+            for c, ent in cols.items()]))
+        part = df.select(pairs.alias("x")).select("x.e", "x.raw")
+        spellings = part if spellings is None else spellings.unionByName(part)
+    spellings = spellings.distinct()
     alias = None
-    for i, (_, a, _, _) in enumerate(specs):
-        a = a.select("alias", "canonical", "rank").withColumn("e", F.lit(i))
+    for n in names:
+        a = aliases[n].select("alias", "canonical", "rank").withColumn("e", F.lit(eid[n]))
         alias = a if alias is None else alias.unionByName(a)
-    cutoffs = {i: s[2] for i, s in enumerate(specs)}
     if materialize:
         spellings = stage(spellings, "spellings")
         alias = stage(alias, "aliases")
-    res = resolve_values(spellings, alias, cutoffs)
-    if materialize:
-        res = stage(res, "resolved")
-        side = F.broadcast(res) if res.count() <= BROADCAST_MAX_ROWS else res
-    else:
-        side = res
+    res = resolve_values(spellings, alias, {eid[n]: cutoffs[n] for n in names},
+                         materialize=materialize)
+    ent = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("e") + 1)
+    res = res.select(ent.alias("entity"), "raw", "canonical", "match_tier")
+    return stage(res, "resolved") if materialize else res
+
+
+def attach(df: DataFrame, resolved: DataFrame, cols: dict, tier_cols: bool = False,
+           broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join resolved spellings back: ``cols`` maps a raw column to
+    ``(entity, output column)``.  Unresolved or NULL spellings give Unknown.
+
+    The resolved table is broadcast only when its counted size is at most
+    ``broadcast_max_rows``; otherwise the join is shuffled (AQE splits a hot
+    spelling's partition).
+    """
+    small = broadcast_max_rows is not None and resolved.count() <= broadcast_max_rows
     out = df
-    for i, (col, _, _, target) in enumerate(specs):
-        r = side.filter(F.col("e") == i).select(
+    for i, (col, (entity, target)) in enumerate(cols.items()):
+        r = resolved.filter(F.col("entity") == entity).select(
             F.col("raw").alias(f"__raw{i}"), F.col("canonical").alias(f"__c{i}"),
             F.col("match_tier").alias(f"__t{i}"))
-        out = out.join(r, F.col(col) == F.col(f"__raw{i}"), "left")
-        cols = {target: F.coalesce(F.col(f"__c{i}"), F.lit(UNKNOWN))}
+        out = out.join(F.broadcast(r) if small else r, F.col(col) == F.col(f"__raw{i}"), "left")
+        new = {target: F.coalesce(F.col(f"__c{i}"), F.lit(UNKNOWN))}
         if tier_cols:
-            cols[f"{target}_tier"] = F.coalesce(F.col(f"__t{i}"), F.lit("none"))
-        out = out.withColumns(cols).drop(f"__raw{i}", f"__c{i}", f"__t{i}")
+            new[f"{target}_tier"] = F.coalesce(F.col(f"__t{i}"), F.lit("none"))
+        out = out.withColumns(new).drop(f"__raw{i}", f"__c{i}", f"__t{i}")
     return out
 
 
+def resolve_columns(df: DataFrame, specs, materialize: bool = True,
+                    tier_cols: bool = False) -> DataFrame:
+    """Resolve several entity columns of one frame.
+
+    ``specs``: ``[(column, alias_df, cutoff, out_column), ...]``; each column
+    is its own entity.
+    """
+    aliases = {c: a for c, a, _, _ in specs}
+    cutoffs = {c: cut for c, _, cut, _ in specs}
+    res = resolve_spellings([(df, {c: c for c, _, _, _ in specs})], aliases, cutoffs, materialize)
+    return attach(df, res, {c: (c, out) for c, _, _, out in specs}, tier_cols,
+                  BROADCAST_MAX_ROWS if materialize else None)
+
+
 def resolve_entity(df: DataFrame, col: str, alias: DataFrame, cutoff: float = 0.5,
                    out: str | None = None, tier_col: bool = False,
                    materialize: bool = True) -> DataFrame:

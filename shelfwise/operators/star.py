@@ -13,7 +13,7 @@ would drop them; ``quality_counts`` reports how many.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -24,21 +24,32 @@ STAR_TABLES = ("dim_time", "dim_product", "dim_category", "dim_retailer",
                "fact_internal_sales", "fact_competitor_market")
 
 
+def _bounded_key(df: DataFrame, keys, id_col: str) -> DataFrame:
+    """``row_number()`` over the whole (distinct) table: one partition, so
+    only for dimensions bounded by construction (weeks, canonical values)."""
+    return df.withColumn(id_col, F.row_number().over(
+        Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])).cast("bigint"))
+
+
 def dim_time(internal: DataFrame, competitor: DataFrame) -> DataFrame:
+    """One row per week (about 52 a year): bounded, numbered in one partition."""
     weeks = (internal.select(*TIME_COLS).unionByName(competitor.select(*TIME_COLS))
              .filter(F.col("week_start").isNotNull()).distinct())
-    return dense_key(weeks, ["week_start"], "date_id").select("date_id", *TIME_COLS)
+    return _bounded_key(weeks, ["week_start"], "date_id").select("date_id", *TIME_COLS)
 
 
 def dim_product(internal: DataFrame) -> DataFrame:
+    """Grows with the SKU count: numbered by range partitions with offsets."""
     prods = internal.select("sku_id", "brand", "variant").distinct()
     return dense_key(prods, ["sku_id", "brand", "variant"], "product_id").select(
         "product_id", "sku_id", "brand", "variant")
 
 
 def _conformed(internal: DataFrame, competitor: DataFrame, col: str, id_col: str) -> DataFrame:
+    """Union of both feeds' resolved values: canonical values plus Unknown,
+    so bounded by the alias tables."""
     vals = internal.select(col).unionByName(competitor.select(col)).distinct()
-    return dense_key(vals, [col], id_col).select(id_col, col)
+    return _bounded_key(vals, [col], id_col).select(id_col, col)
 
 
 def dim_category(internal: DataFrame, competitor: DataFrame) -> DataFrame:

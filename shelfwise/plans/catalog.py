@@ -22,7 +22,7 @@ from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import trend as T
-from ..operators.clean import clean_competitor_market, clean_internal_sales
+from ..operators.clean import clean_feeds
 from ..operators.resolve import (alias_index, match_exact, match_substring, resolve_values,
                                  typo_aliases)
 from ..operators.star import build_star
@@ -63,8 +63,10 @@ def build(spark: SparkSession, sf_dir: str) -> dict:
         if k in _built:
             return _built[k]
         aliases = aliases_for(spark, sf_dir)
-        internal = clean_internal_sales(raw_internal_feed(spark, sf_dir), aliases)
-        competitor = clean_competitor_market(raw_competitor_feed(spark, sf_dir), aliases)
+        # the feeds land once as files, as they would arrive from outside
+        raw_i = stage(raw_internal_feed(spark, sf_dir), "raw-internal")
+        raw_c = stage(raw_competitor_feed(spark, sf_dir), "raw-competitor")
+        internal, competitor = clean_feeds(raw_i, raw_c, aliases)
         internal = stage(internal, "clean-internal")
         competitor = stage(competitor, "clean-competitor")
         star = build_star(internal, competitor, materialize=False)

@@ -10,10 +10,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+_read: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table.  Parquet: projections and filters on the result reach
-    the scan (``ReadSchema`` / ``PushedFilters``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    the scan (``ReadSchema`` / ``PushedFilters``).  The relation is reused
+    within a session, so its footers and file listing are read once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _read:
+        _read[key] = spark.read.parquet(path)
+    return _read[key]
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
