@@ -141,7 +141,7 @@ def q_resolve_substring(spark, sf_dir):
 def q_resolve_fuzzy(spark, sf_dir):
     vals = brand_spellings(spark, sf_dir)
     alias = typo_aliases(canonical_sets(spark, sf_dir)["brand"])
-    return resolve_values(vals, alias, 0.5).select("raw", "canonical", "match_tier")
+    return resolve_values(vals, alias, 0.5, materialize=True).select("raw", "canonical", "match_tier")
 
 
 # -------------------------------------------------------------------- star
