@@ -101,6 +101,21 @@ def q_time_attributes(spark, sf_dir):
     return time_attributes(raw.distinct().withColumn("week_start", parse_date("reported_week")))
 
 
+CLEAN_INTERNAL_COLS = ["sku_id", "brand", "category", "retailer", "variant", "volume",
+                       "total_sales", "is_imputed", "week_start", "year", "month", "quarter",
+                       "week_number", "iso_year"]
+CLEAN_COMPETITOR_COLS = ["category", "retailer", "competitor_volume", "competitor_sales",
+                         "week_start", "year", "month", "quarter", "week_number", "iso_year"]
+
+
+def q_clean_internal(spark, sf_dir):
+    return build(spark, sf_dir)["internal"].select(*CLEAN_INTERNAL_COLS)
+
+
+def q_clean_competitor(spark, sf_dir):
+    return build(spark, sf_dir)["competitor"].select(*CLEAN_COMPETITOR_COLS)
+
+
 # -------------------------------------------------------------- resolution
 
 
@@ -317,6 +332,8 @@ def queries() -> dict:
         "clean_sku": q_clean_sku,
         "impute_sales": q_impute_sales,
         "time_attributes": q_time_attributes,
+        "clean_internal": q_clean_internal,
+        "clean_competitor": q_clean_competitor,
         "resolve_exact": q_resolve_exact,
         "resolve_substring": q_resolve_substring,
         "resolve_fuzzy": q_resolve_fuzzy,

@@ -203,6 +203,14 @@ def oracle_sql() -> dict[str, str]:
         "SELECT DISTINCT Week_Start AS reported_week, week_date AS week_start, year(week_date) AS year, "
         "month(week_date) AS month, quarter(week_date) AS quarter, "
         "weekofyear(week_date) AS week_number, isoyear(week_date) AS iso_year FROM raw_internal")
+    attrs = ("year(week_start) AS year, month(week_start) AS month, quarter(week_start) AS quarter, "
+             "weekofyear(week_start) AS week_number, isoyear(week_start) AS iso_year")
+    q["clean_internal"] = _q(
+        "SELECT sku_id, brand, category, retailer, variant, volume, total_sales, is_imputed, "
+        f"week_start, {attrs} FROM clean_internal")
+    q["clean_competitor"] = _q(
+        f"SELECT category, retailer, competitor_volume, competitor_sales, week_start, {attrs} "
+        "FROM competitor")
     q["resolve_exact"] = _q("SELECT raw, canonical FROM ex", ALIAS)
     q["resolve_substring"] = _q(
         f"SELECT sp.raw, arg_min(idx.canonical, idx.rank) AS canonical FROM sp "
