@@ -1,10 +1,11 @@
 """Benchmark: full star rebuild plus the headline queries.
 
 Runs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
-``local[$BENCH_CPUS]`` and prints one JSON line.  ``rebuild`` lands the two
-weekly feeds from the order tables, resolves and cleans them, and writes the
-star (dimensions and facts) to the checkpoint folder; every query is then
-timed as a full ``collect`` on the written star.
+``local[$BENCH_CPUS]`` and prints one JSON line.  ``land_feeds`` derives the
+two weekly feeds and the alias tables from the order tables and writes them
+(the files a retailer would receive); ``rebuild`` resolves and cleans both
+feeds and writes the star (dimensions and facts) to the checkpoint folder;
+every query is then timed as a full ``collect`` on the written star.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ def main() -> None:
     spark.range(1).count()  # JVM warm-up outside the timings
     timings = {}
     t = time.time()
-    catalog.build(spark, sf_dir)
+    catalog.land(spark, sf_dir)        # derive the feed files from the order tables
+    timings["land_feeds"] = round(time.time() - t, 3)
+    t = time.time()
+    catalog.build(spark, sf_dir)       # resolve + clean both feeds, build and write the star
     timings["rebuild"] = round(time.time() - t, 3)
     qs = catalog.queries()
     for name in HEADLINE:

@@ -127,7 +127,10 @@ def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite",
                        ("fact_competitor_market", ["date_id", "category_id"])):
         df = star[name]
         n = fact_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        (df.repartitionByRange(n, *keys).write.mode(mode)
+        # a deterministic row hash as the last range key: rows of one hot
+        # (week, product) spread over several tasks instead of one
+        spread = F.xxhash64(*df.columns)
+        (df.repartitionByRange(n, *keys, spread).write.mode(mode)
          .partitionBy("date_id").parquet(f"{path}/{name}"))
 
 

@@ -56,17 +56,34 @@ def aliases_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {k: typo_aliases(v) for k, v in canonical_sets(spark, sf_dir).items()}
 
 
+_landed: dict = {}
+
+
+def land(spark: SparkSession, sf_dir: str) -> dict:
+    """Derive the two raw feeds and the alias tables from the given tables and
+    write them once, as files arriving from outside would be."""
+    k = _key(spark, sf_dir)
+    with _lock:
+        if k not in _landed:
+            _landed[k] = {
+                "internal": stage(raw_internal_feed(spark, sf_dir), "raw-internal"),
+                "competitor": stage(raw_competitor_feed(spark, sf_dir), "raw-competitor"),
+                # rule-generated from the canonical values; written once, with
+                # the spellings, by the resolution step
+                "aliases": aliases_for(spark, sf_dir),
+            }
+        return _landed[k]
+
+
 def build(spark: SparkSession, sf_dir: str) -> dict:
-    """Raw feeds -> cleaned feeds -> star; all tables written once and reused."""
+    """Landed feeds -> cleaned feeds -> star; all tables written once and reused."""
+    landed = land(spark, sf_dir)
     k = _key(spark, sf_dir)
     with _lock:
         if k in _built:
             return _built[k]
-        aliases = aliases_for(spark, sf_dir)
-        # the feeds land once as files, as they would arrive from outside
-        raw_i = stage(raw_internal_feed(spark, sf_dir), "raw-internal")
-        raw_c = stage(raw_competitor_feed(spark, sf_dir), "raw-competitor")
-        internal, competitor = clean_feeds(raw_i, raw_c, aliases)
+        internal, competitor = clean_feeds(landed["internal"], landed["competitor"],
+                                           landed["aliases"])
         internal = stage(internal, "clean-internal")
         competitor = stage(competitor, "clean-competitor")
         star = build_star(internal, competitor, materialize=False)
