@@ -197,6 +197,10 @@ def q_total_revenue_filtered(spark, sf_dir):
     return M.total_revenue(star_for(spark, sf_dir), year=YEAR, brand=BRAND)
 
 
+def q_brand_revenue(spark, sf_dir):
+    return M.total_revenue(star_for(spark, sf_dir), brand=BRAND)
+
+
 def q_total_revenue_year_brand(spark, sf_dir):
     return M.revenue_by(star_for(spark, sf_dir), ["year", "brand"])
 
@@ -280,6 +284,10 @@ def q_brands_in_category(spark, sf_dir):
     return C.distinct_pairs(star_for(spark, sf_dir), "category", "brand")
 
 
+def q_internal_vs_competitor_slice(spark, sf_dir):
+    return C.internal_vs_competitor(star_for(spark, sf_dir), [], year=YEAR, category=CATEGORY)
+
+
 def q_internal_vs_competitor_volume(spark, sf_dir):
     return C.internal_vs_competitor(star_for(spark, sf_dir), ["year", "category"])
 
@@ -361,6 +369,7 @@ def queries() -> dict:
         "star_sample": q_star_sample,
         "total_revenue": q_total_revenue,
         "total_revenue_filtered": q_total_revenue_filtered,
+        "brand_revenue": q_brand_revenue,
         "total_revenue_year_brand": q_total_revenue_year_brand,
         "total_revenue_empty_year": q_total_revenue_empty_year,
         "yoy_growth": q_yoy_growth,
@@ -381,6 +390,7 @@ def queries() -> dict:
         "brand_share_in_category": q_brand_share_in_category,
         "brands_in_category": q_brands_in_category,
         "internal_vs_competitor_volume": q_internal_vs_competitor_volume,
+        "internal_vs_competitor_slice": q_internal_vs_competitor_slice,
         "period_rollup": q_period_rollup,
         "hierarchy_rollup": q_hierarchy_rollup,
         "quarterly_trend": q_quarterly_trend,

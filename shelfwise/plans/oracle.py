@@ -250,6 +250,7 @@ def oracle_sql() -> dict[str, str]:
     q["total_revenue"] = _q(f"SELECT {rev()} AS total_revenue FROM fi")
     q["total_revenue_filtered"] = _q(
         f"SELECT {rev()} AS total_revenue FROM fi WHERE year = {Y} AND brand = {B}")
+    q["brand_revenue"] = _q(f"SELECT {rev()} AS total_revenue FROM fi WHERE brand = {B}")
     q["total_revenue_year_brand"] = _q(
         f"SELECT year, brand, {rev()} AS total_revenue FROM fi GROUP BY year, brand")
     q["total_revenue_empty_year"] = _q(
@@ -322,6 +323,14 @@ def oracle_sql() -> dict[str, str]:
                "GROUP BY year, category),\n"
                "m AS (SELECT year, category, CAST(SUM(competitor_volume) AS DOUBLE) AS v, "
                "SUM(money) AS s FROM fc GROUP BY year, category)")
+    q["internal_vs_competitor_slice"] = _q(
+        "SELECT i.v AS internal_volume, m.v AS competitor_volume, "
+        "CAST(i.s AS DOUBLE) AS internal_sales, CAST(m.s AS DOUBLE) AS competitor_sales "
+        "FROM i CROSS JOIN m",
+        STAR + f",\ni AS (SELECT SUM(volume) AS v, SUM(money) AS s FROM fi "
+               f"WHERE year = {Y} AND category = {CAT}),\n"
+               f"m AS (SELECT CAST(SUM(competitor_volume) AS DOUBLE) AS v, SUM(money) AS s FROM fc "
+               f"WHERE year = {Y} AND category = {CAT})")
     q["period_rollup"] = _q(
         f"SELECT year, quarter, month, CAST(GROUPING(year, quarter, month) AS BIGINT) AS level_id, "
         f"{rev()} AS total_revenue, SUM(volume) AS total_volume FROM fi "
