@@ -26,14 +26,34 @@ from .tables import table
 INTERNAL_REGION = "AMERICA"
 
 
-def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean line-level view: one row per line item with its sales attributes.
-
-    Join order: the supplier -> nation -> region side first (small, and with
-    a feed filter on ``is_internal`` it drops most lines before anything
-    else), then part, then the large orders join, then customer.  Catalyst
-    pushes the region filter to that side; AQE broadcasts a side only when
-    its measured size is under the threshold, else the join is shuffled.
+def suppliers_in_region(spark: SparkSession, sf_dir: str, inside: bool = True) -> DataFrame:
+    """Supplier keys whose nation is (or is not) in the internal region.
+
+    nation (25 rows) and region (5 rows) are fixed-size tables, so their
+    broadcast is bounded; the supplier side grows with the data and is
+    filtered by a semi join, whose size estimate is the supplier table's own.
+    """
+    t = lambda n: table(spark, sf_dir, n)
+    cond = F.col("r_name") == INTERNAL_REGION
+    nations = (t("nation").select("n_nationkey", "n_regionkey")
+               .join(F.broadcast(t("region").filter(cond if inside else ~cond)
+                                 .select("r_regionkey")),
+                     F.col("n_regionkey") == F.col("r_regionkey"), "left_semi"))
+    return (t("supplier").select("s_suppkey", "s_nationkey")
+            .join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+            .select("s_suppkey"))
+
+
+def sales_lines(spark: SparkSession, sf_dir: str, internal: bool) -> DataFrame:
+    """Line-level view of one feed: the lines whose supplier is (``internal``)
+    or is not in the internal region, with their sales attributes.
+
+    The region condition is a left-semi join of lineitem with the matching
+    supplier keys: the line table stays the streamed side and its size
+    estimate is not inflated by a join chain, so only the small sides (the
+    supplier set, part, orders, customer, when their measured size allows)
+    are ever broadcast.  Part, orders and customer follow as equi joins that
+    AQE plans as broadcast or shuffled joins from runtime sizes.
     """
     t = lambda n: table(spark, sf_dir, n)
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -41,14 +61,8 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey")
     c = t("customer").select("c_custkey", "c_mktsegment")
     p = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    # nation (25 rows) and region (5 rows) are fixed-size tables
-    supp_region = (t("supplier").select("s_suppkey", "s_nationkey")
-                   .join(F.broadcast(t("nation").select("n_nationkey", "n_regionkey")),
-                         F.col("s_nationkey") == F.col("n_nationkey"))
-                   .join(F.broadcast(t("region").select("r_regionkey", "r_name")),
-                         F.col("n_regionkey") == F.col("r_regionkey"))
-                   .select("s_suppkey", (F.col("r_name") == INTERNAL_REGION).alias("is_internal")))
-    lines = (li.join(supp_region, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = (li.join(suppliers_in_region(spark, sf_dir, internal),
+                     F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
              .join(p, F.col("l_partkey") == F.col("p_partkey"))
              .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
              .join(c, F.col("o_custkey") == F.col("c_custkey")))
@@ -62,7 +76,7 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("brand"),
         F.split_part("p_name", F.lit(" "), F.lit(2)).alias("variant"),
         F.col("c_mktsegment").alias("retailer"),
-        "is_internal")
+        F.lit(internal).alias("is_internal"))
 
 
 def _by(key: Column, n: int, cases: dict, default: Column) -> Column:
@@ -81,7 +95,7 @@ def sku_code(partkey) -> Column:
 
 def raw_internal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The internal weekly feed as received: messy text, string totals."""
-    s = sales_lines(spark, sf_dir).filter("is_internal")
+    s = sales_lines(spark, sf_dir, internal=True)
     k = F.col("p_partkey")
     ln = F.col("l_orderkey") + F.col("l_linenumber")
     code = sku_code("p_partkey")
@@ -119,7 +133,7 @@ def raw_internal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_competitor_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The competitor feed as received: category x retailer x week totals."""
-    s = sales_lines(spark, sf_dir).filter(~F.col("is_internal"))
+    s = sales_lines(spark, sf_dir, internal=False)
     agg = s.groupBy("category", "retailer", "week_start").agg(
         F.sum("volume").cast("bigint").alias("Competitor_Volume"),
         F.sum("amount").cast("double").alias("Competitor_Sales"))
