@@ -45,12 +45,16 @@ def get_spark(app: str = "shelfwise", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster); only
-    when it is unset, as in local tests, a scratch folder is made and set.
+    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Only
+    in local mode, where driver and executors share one machine, is a scratch
+    folder made when it is unset; on a cluster an unset folder is an error,
+    since a machine-local folder is not visible to the executors.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
