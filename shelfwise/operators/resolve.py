@@ -79,7 +79,10 @@ def match_substring(values: DataFrame, index: DataFrame, max_key_len: int) -> Da
         "e", "raw", "s", "i",
         F.explode(F.sequence(F.lit(1), F.least(F.length("s") - F.col("i") + 1,
                                                F.lit(max_key_len)))).alias("n"))
-    subs = subs.select("e", "raw", F.expr("substring(s, i, n)").alias("alias")).distinct()
+    # no distinct here: the substrings stream straight into the join with the
+    # (small) key index and the partial aggregate, so only matches shuffle;
+    # a repeated substring only repeats a match, which min_by ignores
+    subs = subs.select("e", "raw", F.expr("substring(s, i, n)").alias("alias"))
     return (subs.join(index, ["e", "alias"])
             .groupBy("e", "raw")
             .agg(F.min_by("canonical", "rank").alias("canonical")))
