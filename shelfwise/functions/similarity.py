@@ -32,32 +32,27 @@ def best_match(word: str, candidates, cutoff: float):
     return best
 
 
-def score_group(values: pd.DataFrame, pool: pd.DataFrame, cutoff: float) -> pd.DataFrame:
-    """Best canonical and best alias key for each value against one pool chunk.
-
-    ``values``: column ``raw``.  ``pool``: columns ``kind`` (``canonical`` or
-    ``key``), ``text``, ``canonical``.  Canonicals are compared with the raw
-    text as given; keys with its stripped lower-case form.
+def score_group(values: pd.DataFrame, pool: pd.DataFrame, cutoff: float,
+                kind: str) -> pd.DataFrame:
+    """Best candidate of one pool chunk for each value.
+
+    ``values``: column ``raw``.  ``pool``: columns ``text`` and ``canonical``.
+    ``kind='canonical'`` compares the raw text as given (case and padding
+    count); ``kind='key'`` compares its stripped lower-case form with alias
+    keys.  Values without a candidate at or above ``cutoff`` give no row.
     """
-    canon = pool.loc[pool["kind"] == "canonical", "text"].tolist()
-    keys = pool.loc[pool["kind"] == "key", ["text", "canonical"]]
-    key_list = keys["text"].tolist()
-    key_target = dict(zip(keys["text"], keys["canonical"]))
+    texts = pool["text"].tolist()
+    target = dict(zip(pool["text"], pool["canonical"]))
     rows = []
-    for raw in values["raw"].tolist():
-        if raw is None:
-            continue
-        b3 = best_match(str(raw), canon, cutoff) if canon else None
-        b4 = best_match(str(raw).lower().strip(), key_list, cutoff) if key_list else None
-        if b3 is None and b4 is None:
-            continue
-        rows.append((raw,
-                     b3[0] if b3 else None, b3[1] if b3 else None,
-                     b4[0] if b4 else None, b4[1] if b4 else None,
-                     key_target[b4[1]] if b4 else None))
-    return pd.DataFrame(rows, columns=["raw", "canon_score", "canon_match",
-                                       "key_score", "key_match", "key_canonical"])
-
-
-SCORE_SCHEMA = ("raw string, canon_score double, canon_match string, "
-                "key_score double, key_match string, key_canonical string")
+    if texts:
+        for raw in values["raw"].tolist():
+            if raw is None:
+                continue
+            word = str(raw) if kind == "canonical" else str(raw).lower().strip()
+            b = best_match(word, texts, cutoff)
+            if b is not None:
+                rows.append((raw, b[0], b[1], target[b[1]]))
+    return pd.DataFrame(rows, columns=["raw", "score", "match", "canonical"])
+
+
+SCORE_SCHEMA = "raw string, score double, match string, canonical string"

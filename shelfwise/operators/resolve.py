@@ -88,32 +88,15 @@ def match_substring(values: DataFrame, index: DataFrame, max_key_len: int) -> Da
             .agg(F.min_by("canonical", "rank").alias("canonical")))
 
 
-def _pool(index: DataFrame) -> DataFrame:
-    canon = index.select("e", F.lit("canonical").alias("kind"), F.col("canonical").alias("text"),
-                         "canonical").distinct()
-    keys = index.select("e", F.lit("key").alias("kind"), F.col("alias").alias("text"), "canonical")
-    return canon.unionByName(keys)
-
-
-def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict) -> DataFrame:
-    """``values(e, raw)`` -> ``(e, raw, canonical)`` by best similarity.
-
-    The candidate pool (canonicals and keys of each entity) is cut into chunks
-    of at most ``FUZZY_POOL_CHUNK`` entries and the values into hash buckets
-    of about ``FUZZY_VALUES_PER_BUCKET``.  Each (entity, bucket, chunk) is one
-    bounded ``applyInPandas`` group; values are repeated once per chunk of
-    their entity, the pool once per bucket.  The best per value is reduced
-    afterwards with ``max(score, text)``, difflib's tie rule.  Every value
-    meets every candidate, so the result is exact, and no pool goes through
-    the driver.
-    """
+def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str) -> DataFrame:
+    """One bounded similarity pass: ``values(e, raw)`` against ``pool(e, text,
+    canonical)``; returns ``(e, raw, canonical)`` for values with a match."""
     n_values = values.count()
     if n_values == 0:
         return values.select("e", "raw", F.lit(None).cast("string").alias("canonical"))
     buckets = max(1, math.ceil(n_values / FUZZY_VALUES_PER_BUCKET))
-    pool = _pool(index)
     pool = pool.withColumn(
-        "chunk", F.floor((F.row_number().over(Window.partitionBy("e").orderBy("kind", "text")) - 1)
+        "chunk", F.floor((F.row_number().over(Window.partitionBy("e").orderBy("text")) - 1)
                          / FUZZY_POOL_CHUNK).cast("int"))
     # chunk count per entity: one row per entity, so broadcasting it is bounded
     n_chunks = pool.groupBy("e").agg((F.max("chunk") + 1).alias("n_chunks"))
@@ -126,20 +109,40 @@ def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict) -> DataFrame
 
     def scorer(vpdf, ppdf):
         e = int(vpdf["e"].iloc[0]) if len(vpdf) else 0
-        out = score_group(vpdf, ppdf, cut.get(e, 1.0))
+        out = score_group(vpdf, ppdf, cut.get(e, 1.0), kind)
         out["e"] = e
         return out
 
     scored = (vals.groupBy("e", "bucket", "chunk")
               .cogroup(pool.groupBy("e", "bucket", "chunk"))
               .applyInPandas(scorer, SCORE_SCHEMA + ", e int"))
-    best = scored.groupBy("e", "raw").agg(
-        F.max(F.when(F.col("canon_match").isNotNull(),
-                     F.struct("canon_score", "canon_match"))).alias("c"),
-        F.max(F.when(F.col("key_match").isNotNull(),
-                     F.struct("key_score", "key_match", "key_canonical"))).alias("k"))
-    return best.select("e", "raw", F.coalesce(F.col("c.canon_match"),
-                                              F.col("k.key_canonical")).alias("canonical"))
+    # best over the chunks: highest score, a tie to the greater candidate text
+    best = scored.groupBy("e", "raw").agg(F.max(F.struct("score", "match", "canonical")).alias("b"))
+    return best.select("e", "raw", F.col("b.canonical").alias("canonical"))
+
+
+def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict,
+                materialize: bool = False) -> DataFrame:
+    """``values(e, raw)`` -> ``(e, raw, canonical)`` by best similarity.
+
+    Two passes, as the tiers are defined: the raw text against the canonical
+    values first, then, for the values still without a match, the lower-case
+    text against the alias keys (the large pool).  In each pass the pool is cut
+    into chunks of at most ``FUZZY_POOL_CHUNK`` entries and the values into
+    hash buckets of about ``FUZZY_VALUES_PER_BUCKET``; each (entity, bucket,
+    chunk) is one bounded ``applyInPandas`` cogroup.  Every value meets every
+    candidate of its pass, so the result is exact, and no pool goes through
+    the driver.
+    """
+    canon_pool = index.select("e", F.col("canonical").alias("text"), "canonical").distinct()
+    hit = _fuzzy_pass(values, canon_pool, cutoffs, "canonical")
+    if materialize:
+        hit = stage(hit, "fuzzy-canonical")
+    rest = values.join(hit.select("e", "raw"), ["e", "raw"], "left_anti")
+    if materialize:
+        rest = stage(rest, "fuzzy-rest")
+    key_pool = index.select("e", F.col("alias").alias("text"), "canonical")
+    return hit.unionByName(_fuzzy_pass(rest, key_pool, cutoffs, "key"))
 
 
 def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
@@ -170,7 +173,7 @@ def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
                 # Python tier and its size check read it instead of
                 # re-running the joins above
                 left = stage(left, "unresolved")
-            hit = match_fuzzy(left, index, cutoffs)
+            hit = match_fuzzy(left, index, cutoffs, materialize)
         else:
             raise ValueError(f"unknown tier {tier!r}")
         hit = hit.filter(F.col("canonical").isNotNull()).withColumn("match_tier", F.lit(tier))
