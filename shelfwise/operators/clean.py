@@ -28,17 +28,21 @@ def with_imputed_sales(df: DataFrame, total="Total_Sales", volume="Volume",
 
 
 def _finish_internal(df: DataFrame) -> DataFrame:
-    df = with_imputed_sales(df)
+    # the reported texts keep their own names: column names are not case
+    # sensitive, so total_sales / week_start would otherwise replace them
+    df = df.withColumnsRenamed({"Total_Sales": "reported_sales", "Week_Start": "reported_week"})
+    df = with_imputed_sales(df, total="reported_sales")
     df = df.withColumns({"sku_id": clean_sku("Reported_SKU"),
                          "volume": F.col("Volume").cast("double"),
-                         "week_start": parse_date("Week_Start")})
+                         "week_start": parse_date("reported_week")})
     return time_attributes(df)
 
 
 def _finish_competitor(df: DataFrame) -> DataFrame:
+    df = df.withColumnsRenamed({"Week_Start": "reported_week"})
     df = df.withColumns({"competitor_volume": F.col("Competitor_Volume").cast("bigint"),
                          "competitor_sales": F.col("Competitor_Sales").cast("double"),
-                         "week_start": parse_date("Week_Start")})
+                         "week_start": parse_date("reported_week")})
     return time_attributes(df)
 
 

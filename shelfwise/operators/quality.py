@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money, ratio_pct
+from ..functions.numeric import is_missing_text, money, ratio_pct, try_double
 from .metrics import internal_lines, with_attrs
 from .resolve import UNKNOWN
 from .star import STAR_TABLES
@@ -71,3 +71,19 @@ def star_sample(star: dict, n: int = 5) -> DataFrame:
                    ["week_start", "brand", "category", "retailer"])
     cols = ["week_start", "brand", "category", "retailer", "volume", "total_sales"]
     return f.select(*cols).orderBy(*cols).limit(n)
+
+
+def sales_text_audit(clean_internal: DataFrame, by=("year",)) -> DataFrame:
+    """How the reported totals of the cleaned internal feed were read, per
+    ``by``: missing (NULL or empty), present but unparseable, imputed, and
+    still NULL after imputation."""
+    by = list(by)
+    missing = is_missing_text("reported_sales")
+    g = clean_internal.groupBy(*by) if by else clean_internal
+    return g.agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"),
+        F.count_if(missing).cast("bigint").alias("missing_reported"),
+        F.count_if(~missing & try_double("reported_sales").isNull()).cast("bigint")
+        .alias("unparseable_reported"),
+        F.count_if("is_imputed").cast("bigint").alias("imputed_rows"),
+        F.count_if(F.col("total_sales").isNull()).cast("bigint").alias("null_sales"))

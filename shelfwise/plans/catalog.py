@@ -323,6 +323,10 @@ def q_imputed_audit(spark, sf_dir):
     return Q.imputed_audit(star_for(spark, sf_dir), ["year"])
 
 
+def q_sales_text_audit(spark, sf_dir):
+    return Q.sales_text_audit(build(spark, sf_dir)["internal"], ["year"])
+
+
 def q_star_sample(spark, sf_dir):
     return Q.star_sample(star_for(spark, sf_dir), 5)
 
@@ -367,6 +371,7 @@ def queries() -> dict:
         "unknown_audit": q_unknown_audit,
         "imputed_audit": q_imputed_audit,
         "star_sample": q_star_sample,
+        "sales_text_audit": q_sales_text_audit,
         "total_revenue": q_total_revenue,
         "total_revenue_filtered": q_total_revenue_filtered,
         "brand_revenue": q_brand_revenue,

@@ -243,6 +243,17 @@ def oracle_sql() -> dict[str, str]:
         "CAST(SUM(money) AS DOUBLE) AS total_revenue, "
         f"{ratio('SUM(CASE WHEN is_imputed THEN money END)', 'SUM(money)')} AS imputed_share_percent "
         "FROM fi GROUP BY year")
+    nonnum = (f"(CASE WHEN isnan(TRY_CAST(trim(reported_text, {WS}) AS DOUBLE)) THEN NULL "
+              f"ELSE TRY_CAST(trim(reported_text, {WS}) AS DOUBLE) END) IS NULL")
+    q["sales_text_audit"] = _q(
+        "SELECT year(week_start) AS year, CAST(COUNT(*) AS BIGINT) AS rows, "
+        "CAST(COUNT(*) FILTER (WHERE reported_text IS NULL OR reported_text = '') AS BIGINT) "
+        "AS missing_reported, "
+        "CAST(COUNT(*) FILTER (WHERE NOT (reported_text IS NULL OR reported_text = '') "
+        f"AND {nonnum}) AS BIGINT) AS unparseable_reported, "
+        "CAST(COUNT(*) FILTER (WHERE is_imputed) AS BIGINT) AS imputed_rows, "
+        "CAST(COUNT(*) FILTER (WHERE total_sales IS NULL) AS BIGINT) AS null_sales "
+        "FROM clean_internal GROUP BY year(week_start)")
     q["star_sample"] = _q(
         "SELECT week_start, brand, category, retailer, volume, total_sales FROM fi "
         "ORDER BY week_start NULLS FIRST, brand NULLS FIRST, category NULLS FIRST, "

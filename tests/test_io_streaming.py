@@ -76,3 +76,24 @@ def test_streaming_ingest(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "landed"))
     assert out.count() == 10 and out.select("batch_id").distinct().count() == 2
+
+
+def test_clean_export_and_text_audit(spark, tmp_path):
+    from shelfwise.operators.clean import clean_feeds
+    from shelfwise.operators.quality import sales_text_audit
+    from shelfwise.sources.feeds import read_competitor_csv, write_clean
+
+    paths = write_inputs(tmp_path)
+    aliases = {k: read_alias_csv(spark, p) for k, p in paths.items()}
+    ci, cc = clean_feeds(read_internal_csv(spark, str(tmp_path / "internal.csv")),
+                         read_competitor_csv(spark, str(tmp_path / "competitor.csv")), aliases)
+    write_clean(ci, str(tmp_path / "out_internal"), fmt="csv")
+    write_clean(cc, str(tmp_path / "out_competitor"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out_internal"))
+    assert back.count() == 5 and "reported_sales" in back.columns
+    assert spark.read.parquet(str(tmp_path / "out_competitor")).count() == 2
+    a = {r.year: r for r in sales_text_audit(ci).collect()}
+    # 2024: "25.0", "" (missing), "n/a" read as missing, "NA" read as missing
+    assert (a[2024].rows, a[2024].missing_reported, a[2024].imputed_rows, a[2024].null_sales) == \
+        (4, 3, 2, 1)
+    assert a[2023].rows == 1 and a[2023].missing_reported == 0
