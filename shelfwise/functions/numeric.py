@@ -50,18 +50,6 @@ def impute_sales(total_sales_text, volume, unit_price):
     return total, reported.isNull() & filled.isNotNull()
 
 
-def round2(c) -> Column:
-    return F.round(_col(c), 2)
-
-
-def money_total(c) -> Column:
-    """SUM of a money column, exact, returned as DOUBLE rounded to cents.
-
-    NULL for an empty input, like SQL ``SUM``.
-    """
-    return F.sum(money(c)).cast("double")
-
-
 def pct_change(cur, prev) -> Column:
     """``(cur - prev) / prev * 100``; NULL when ``prev`` is NULL or zero."""
     cur, prev = _col(cur).cast("double"), _col(prev).cast("double")

@@ -40,10 +40,14 @@ def clean_sku(c) -> Column:
             .otherwise(s))
 
 
-def extract_year(text) -> Column:
-    """First stand-alone ``20dd`` in a text as an integer, else NULL."""
-    y = F.regexp_extract(_col(text), r"\b(20\d{2})\b", 1)
-    return F.when(y != "", y.cast("int"))
+# The default year pattern, a stand-alone 20xx.
+YEAR_PATTERN = r"\b(20\d{2})\b"
+
+
+def extract_year(text, pattern: str = YEAR_PATTERN) -> Column:
+    """First match of ``pattern``'s group 1 in a text as a BIGINT, else NULL."""
+    y = F.regexp_extract(_col(text), pattern, 1)
+    return F.when(y != "", y.cast("bigint"))
 
 
 def typo(c, pos, letter) -> Column:

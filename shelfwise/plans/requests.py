@@ -13,13 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.metrics import with_attrs, revenue
+from ..functions.text import YEAR_PATTERN, extract_year
+from ..operators.metrics import revenue, with_attrs
 from ..operators.resolve import match_substring
 
-# The phrase that routes a question to the revenue metric and
-# the default year pattern (a stand-alone 20xx).
+# The phrase that routes a question to the revenue metric.
 GUARD = "total revenue"
-YEAR_PATTERN = r"\b(20\d{2})\b"
 
 
 def brand_list(star: dict) -> DataFrame:
@@ -42,8 +41,7 @@ def answer_revenue_questions(star: dict, questions: DataFrame, brands: DataFrame
     brands = brands if brands is not None else brand_list(star)
     q = questions.select("question").distinct().select(
         "question",
-        F.when(F.regexp_extract("question", year_pattern, 1) != "",
-               F.regexp_extract("question", year_pattern, 1).cast("bigint")).alias("year"),
+        extract_year("question", year_pattern).alias("year"),
         F.lower("question").contains(guard.lower()).alias("answerable"))
     index = brands.select(F.lit(0).alias("e"), F.lower("brand").alias("alias"),
                           F.col("brand").alias("canonical"), "rank")
