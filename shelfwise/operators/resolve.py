@@ -134,6 +134,8 @@ def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict,
     candidate of its pass, so the result is exact, and no pool goes through
     the driver.
     """
+    if values.isEmpty():
+        return values.select("e", "raw", F.lit(None).cast("string").alias("canonical"))
     canon_pool = index.select("e", F.col("canonical").alias("text"), "canonical").distinct()
     hit = _fuzzy_pass(values, canon_pool, cutoffs, "canonical")
     if materialize:
