@@ -52,7 +52,7 @@ def top_k_per_group(star: dict, groups, dim: str, k: int = 3, **filters) -> Data
     r = internal_lines(star, attrs=[*groups, dim], **filters).groupBy(*groups, dim).agg(
         revenue().alias("total_revenue"))
     w = Window.partitionBy(*groups).orderBy(F.col("total_revenue").desc_nulls_last(), F.col(dim))
-    return r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return r.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def share_within(star: dict, outer: str, inner: str, **filters) -> DataFrame:
