@@ -35,7 +35,7 @@ def with_attrs(fact: DataFrame, star: dict, attrs) -> DataFrame:
     out = fact
     for dim, (key, cols) in needed.items():
         if key not in fact.columns:
-            raise ValueError(f"{a!r} is not reachable from this fact")
+            raise ValueError(f"{cols} ({dim}) cannot be reached from this fact")
         d = star[dim].select(key, *dict.fromkeys(cols))
         out = out.join(F.broadcast(d) if dim in BOUNDED_DIMS else d, key)
     return out

@@ -8,6 +8,7 @@ def test_read_only_check(spark):
     spark.range(3).createOrReplaceTempView("t_numbers")
     assert run_sql(spark, "SELECT id FROM t_numbers WHERE id > 0;").count() == 2
     assert run_sql(spark, "WITH a AS (SELECT id FROM t_numbers) SELECT * FROM a -- note").count() == 3
+    assert run_sql(spark, "SELECT 'a;b' AS s FROM t_numbers").count() == 3
     for bad in ["INSERT INTO t_numbers SELECT 5", "DROP VIEW t_numbers", "SET x = 1",
                 "CREATE TABLE z AS SELECT 1", "SELECT 1; SELECT 2", "SELEKT nonsense"]:
         with pytest.raises(NotAQuery):
