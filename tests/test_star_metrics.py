@@ -148,3 +148,30 @@ def test_write_and_read_star(spark, star, tmp_path):
     back = read_star(spark, str(tmp_path / "star"))
     assert back["fact_internal_sales"].columns == star["fact_internal_sales"].columns
     assert M.total_revenue(back).collect()[0][0] == 180.0
+
+
+def test_write_star_spreads_a_hot_key(spark, star, tmp_path):
+    # one (week, product) holding well over a third of the rows must not land
+    # in a single write task
+    from pyspark.sql import functions as F
+    hot = spark.range(3000).select(F.lit(1).cast("bigint").alias("date_id"),
+                                   F.lit(2).cast("bigint").alias("product_id"),
+                                   F.lit(1).cast("bigint").alias("category_id"),
+                                   F.lit(1).cast("bigint").alias("retailer_id"),
+                                   F.col("id").cast("double").alias("volume"),
+                                   (F.col("id") * 1.5).alias("total_sales"),
+                                   F.lit(False).alias("is_imputed"))
+    cold = spark.range(2000).select((F.col("id") % 7 + 1).alias("date_id"),
+                                    (F.col("id") % 50).alias("product_id"),
+                                    F.lit(1).cast("bigint").alias("category_id"),
+                                    F.lit(1).cast("bigint").alias("retailer_id"),
+                                    F.col("id").cast("double").alias("volume"),
+                                    F.col("id").cast("double").alias("total_sales"),
+                                    F.lit(False).alias("is_imputed"))
+    s2 = dict(star)
+    s2["fact_internal_sales"] = hot.unionByName(cold)
+    write_star(s2, str(tmp_path / "hot"), fact_partitions=8)
+    files = list((tmp_path / "hot" / "fact_internal_sales" / "date_id=1").glob("*.parquet"))
+    assert len(files) >= 3
+    back = spark.read.parquet(str(tmp_path / "hot" / "fact_internal_sales"))
+    assert back.count() == 5000
