@@ -100,13 +100,13 @@ def star_for(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def q_clean_sku(spark, sf_dir):
-    raw = raw_internal_feed(spark, sf_dir).select("Reported_SKU").distinct()
+    raw = land(spark, sf_dir)["internal"].select("Reported_SKU").distinct()
     return raw.select(F.col("Reported_SKU").alias("raw_sku"),
                       clean_sku("Reported_SKU").alias("sku_id"))
 
 
 def q_impute_sales(spark, sf_dir):
-    raw = raw_internal_feed(spark, sf_dir)
+    raw = land(spark, sf_dir)["internal"]
     total, flag = impute_sales("Total_Sales", "Volume", "Unit_Price")
     return raw.select(F.col("Total_Sales").alias("reported_sales"),
                       F.col("Volume").alias("volume"), F.col("Unit_Price").alias("unit_price"),
@@ -114,7 +114,7 @@ def q_impute_sales(spark, sf_dir):
 
 
 def q_time_attributes(spark, sf_dir):
-    raw = raw_internal_feed(spark, sf_dir).select(F.col("Week_Start").alias("reported_week"))
+    raw = land(spark, sf_dir)["internal"].select(F.col("Week_Start").alias("reported_week"))
     return time_attributes(raw.distinct().withColumn("week_start", parse_date("reported_week")))
 
 
