@@ -60,10 +60,22 @@ def main() -> None:
         qs[name](spark, sf_dir).collect()
         timings[name] = round(time.time() - t, 3)
     total = round(sum(timings.values()), 3)
+    # scaling: the same landing + rebuild one scale factor down (not in the total)
+    scaling = {}
+    small_dir = os.environ.get("BENCH_SCALE_DIR", "/root/testdata/sf0.01").rstrip("/")
+    if os.path.isdir(small_dir) and small_dir != sf_dir:
+        t = time.time()
+        catalog.land(spark, small_dir)
+        catalog.build(spark, small_dir)
+        small = round(time.time() - t, 3)
+        big = timings["land_feeds"] + timings["rebuild"]
+        scaling = {"small_sf_dir": small_dir, "small_land_plus_rebuild": small,
+                   "land_plus_rebuild": round(big, 3), "ratio": round(big / small, 2)}
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "rebuild_plus_headline_queries", "value": total, "unit": "sec",
                       "queries": timings, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "spark": spark.version, "cpus": cpus, "warmup_sec": warmup}))
+                      "spark": spark.version, "cpus": cpus, "warmup_sec": warmup,
+                      "scaling": scaling}))
     spark.stop()
 
 
