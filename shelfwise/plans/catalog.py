@@ -48,7 +48,9 @@ _built: dict = {}
 
 
 def _key(spark: SparkSession, sf_dir: str):
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    # per application and per session object: DataFrames (and the temp views
+    # registered from them) belong to the session that made them
+    return (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
 
 
 def aliases_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

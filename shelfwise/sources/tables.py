@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     the scan (``ReadSchema`` / ``PushedFilters``).  The relation is reused
     within a session, so its footers and file listing are read once."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (spark.sparkContext.applicationId, id(spark), path)
     if key not in _read:
         _read[key] = spark.read.parquet(path)
     return _read[key]
