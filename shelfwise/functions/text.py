@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 # The whitespace Python's str.strip() removes from ASCII text.
 # F.trim alone removes spaces only.
 STRIP_CHARS = " \t\n\r\f\v"
+# SKU repair.  Letters misread in codes and what they stand
+# for ("A" is "-", "Z" is "0"), the digit run kept, and the canonical prefix.
+SKU_MISREAD_FROM = "AZ"
+SKU_MISREAD_TO = "-0"
+SKU_DIGITS = r"(\d{4})"
+SKU_PREFIX = "SKU-"
 
 
 def _col(c) -> Column:
@@ -33,10 +39,10 @@ def clean_sku(c) -> Column:
     stays NULL (the fact join drops it later).
     """
     c = _col(c)
-    s = F.translate(F.upper(strip_ws(c)), "AZ", "-0")
-    digits = F.regexp_extract(s, r"(\d{4})", 1)
+    s = F.translate(F.upper(strip_ws(c)), SKU_MISREAD_FROM, SKU_MISREAD_TO)
+    digits = F.regexp_extract(s, SKU_DIGITS, 1)
     return (F.when(c.isNull(), F.lit(None).cast("string"))
-            .when(digits != "", F.concat(F.lit("SKU-"), digits))
+            .when(digits != "", F.concat(F.lit(SKU_PREFIX), digits))
             .otherwise(s))
 
 

@@ -31,7 +31,10 @@ from ..functions.similarity import SCORE_SCHEMA, score_group
 from ..functions.text import norm_key
 from ..session import stage
 
+# The label of a value no tier resolves, and the letters that
+# replace one character in the rule-generated alias spellings.
 UNKNOWN = "Unknown"
+TYPO_LETTERS = "aesxz"
 
 # Bounds for the fuzzy tier's groups: a group is one bucket of values against
 # one chunk of the candidate pool, so its size never grows with the data.
@@ -268,7 +271,7 @@ def resolve_entity(df: DataFrame, col: str, alias: DataFrame, cutoff: float = 0.
     return resolve_columns(df, [(col, alias, cutoff, out or col)], materialize, tier_col)
 
 
-def typo_aliases(canonicals: DataFrame, letters: str = "aesxz") -> DataFrame:
+def typo_aliases(canonicals: DataFrame, letters: str = TYPO_LETTERS) -> DataFrame:
     """Alias table generated by rule from a column ``canonical``.
 
     Keys: each canonical itself, then every spelling with one character
