@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY, money, pct_change, ratio_pct
-from .metrics import _filtered, internal_lines, revenue
+from .metrics import _filtered, internal_fact, internal_lines, revenue
 
 
 def compare_pivot(star: dict, by, pivot: str, values: dict, **filters) -> DataFrame:
@@ -80,7 +80,8 @@ def internal_vs_competitor(star: dict, by=("year", "category"), **filters) -> Da
     internal row (no fact-to-fact join, no fan-out).
     """
     by = list(by)
-    fi = _filtered(star["fact_internal_sales"], star, filters, by).select(
+    wanted = by + [k for k, v in filters.items() if v is not None]
+    fi = _filtered(internal_fact(star, wanted), star, filters, by).select(
         *by, F.col("volume").cast("double").alias("iv"), F.lit(None).cast("double").alias("cv"),
         money("total_sales").alias("isales"), F.lit(None).cast(MONEY).alias("csales"))
     fc = _filtered(star["fact_competitor_market"], star, filters, by).select(

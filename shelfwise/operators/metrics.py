@@ -26,10 +26,30 @@ ATTR_DIM = {
 BOUNDED_DIMS = {"dim_time", "dim_category", "dim_retailer"}
 
 
+# The weekly summary: the internal fact aggregated to week x category x
+# retailer x brand (``star.weekly_summary``).  Anything that needs only these
+# attributes plus summed sales and volume reads it instead of the fact.
+SUMMARY = "fact_weekly_summary"
+SUMMARY_ATTRS = {"week_start", "year", "month", "quarter", "week_number", "iso_year",
+                 "category", "retailer", "brand"}
+
+
+def internal_fact(star: dict, attrs=(), use_summary: bool = True) -> DataFrame:
+    """The internal fact to read for ``attrs``: the weekly summary when it
+    exists and covers them (its sales and volume are already summed, so only
+    sums may be taken from it), else the line-level fact."""
+    if use_summary and SUMMARY in star and set(attrs) <= SUMMARY_ATTRS:
+        return star[SUMMARY]
+    return star["fact_internal_sales"]
+
+
 def with_attrs(fact: DataFrame, star: dict, attrs) -> DataFrame:
-    """Join the fact to just the dimensions holding ``attrs``."""
+    """Join the fact to just the dimensions holding ``attrs`` (attributes the
+    fact already carries need no join)."""
     needed = {}
     for a in attrs:
+        if a in fact.columns:
+            continue
         dim, key = ATTR_DIM[a]
         needed.setdefault(dim, (key, []))[1].append(a)
     out = fact
@@ -49,9 +69,14 @@ def _filtered(fact: DataFrame, star: dict, filters: dict, extra=()) -> DataFrame
     return df
 
 
-def internal_lines(star: dict, attrs=(), **filters) -> DataFrame:
-    """Internal fact rows with ``attrs`` attached and ``filters`` applied."""
-    return _filtered(star["fact_internal_sales"], star, filters, attrs)
+def internal_lines(star: dict, attrs=(), use_summary: bool = True, **filters) -> DataFrame:
+    """Internal fact rows with ``attrs`` attached and ``filters`` applied.
+
+    Reads the weekly summary when it covers every attribute and filter, so
+    callers may only sum ``total_sales`` and ``volume`` (never count rows)
+    unless they pass ``use_summary=False``."""
+    wanted = list(attrs) + [k for k, v in filters.items() if v is not None]
+    return _filtered(internal_fact(star, wanted, use_summary), star, filters, attrs)
 
 
 def revenue(col: str = "total_sales"):
@@ -122,7 +147,8 @@ def _share_frame(star: dict, by, **filters) -> DataFrame:
     unioned, so one shuffle (with map-side partial sums) aggregates both; no
     fact-to-fact join, hence no fan-out between the grains.
     """
-    fi = _filtered(star["fact_internal_sales"], star, filters, by).select(
+    wanted = list(by) + [k for k, v in filters.items() if v is not None]
+    fi = _filtered(internal_fact(star, wanted), star, filters, by).select(
         *by, money("total_sales").alias("i"), F.lit(None).cast(MONEY).alias("c"))
     fc = _filtered(star["fact_competitor_market"], star, filters, by).select(
         *by, F.lit(None).cast(MONEY).alias("i"), money("competitor_sales").alias("c"))

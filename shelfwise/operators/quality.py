@@ -53,7 +53,7 @@ def unknown_audit(star: dict, attrs=("brand", "variant", "category", "retailer")
 def imputed_audit(star: dict, by=("year",)) -> DataFrame:
     """Imputed rows and the share of revenue that was imputed, per ``by``."""
     by = list(by)
-    lines = internal_lines(star, attrs=by)
+    lines = internal_lines(star, attrs=by, use_summary=False)   # counts rows
     g = lines.groupBy(*by) if by else lines
     r = g.agg(F.count_if("is_imputed").cast("bigint").alias("imputed_rows"),
               F.count(F.lit(1)).cast("bigint").alias("total_rows"),

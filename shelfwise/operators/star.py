@@ -85,6 +85,21 @@ def fact_competitor_market(competitor: DataFrame, dims: dict) -> DataFrame:
                     F.col("competitor_sales").cast("double").alias("competitor_sales")))
 
 
+def weekly_summary(star: dict) -> DataFrame:
+    """The internal fact aggregated to week x category x retailer x brand.
+
+    Bounded by weeks x categories x retailers x brands, whatever the line
+    count, and enough for every revenue/volume question that does not ask
+    for SKU or variant.  Each cell's sales are an exact DECIMAL sum kept as
+    DOUBLE cents, so summing cells gives the same totals as summing lines.
+    """
+    lines = star["fact_internal_sales"].join(
+        star["dim_product"].select("product_id", "brand"), "product_id")
+    return lines.groupBy("date_id", "category_id", "retailer_id", "brand").agg(
+        F.sum(F.col("total_sales").cast("decimal(18,2)")).cast("double").alias("total_sales"),
+        F.sum("volume").alias("volume"))
+
+
 def build_star(internal: DataFrame, competitor: DataFrame,
                materialize: bool = True) -> dict[str, DataFrame]:
     """Cleaned feeds -> the six star tables.
@@ -123,6 +138,8 @@ def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite",
     path = path.rstrip("/")
     for name in ("dim_time", "dim_product", "dim_category", "dim_retailer"):
         star[name].write.mode(mode).parquet(f"{path}/{name}")
+    if "fact_weekly_summary" in star:   # small: bounded by weeks x categories x retailers x brands
+        star["fact_weekly_summary"].write.mode(mode).parquet(f"{path}/fact_weekly_summary")
     for name, keys in (("fact_internal_sales", ["date_id", "product_id"]),
                        ("fact_competitor_market", ["date_id", "category_id"])):
         df = star[name]
@@ -149,6 +166,10 @@ def read_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     out = {n: spark.read.parquet(f"{path}/{n}") for n in STAR_TABLES}
     for n, cols in FACT_COLS.items():
         out[n] = out[n].select(F.col("date_id").cast("bigint").alias("date_id"), *cols[1:])
+    try:
+        out["fact_weekly_summary"] = spark.read.parquet(f"{path}/fact_weekly_summary")
+    except Exception:  # written without a summary: metrics read the fact
+        pass
     return out
 
 

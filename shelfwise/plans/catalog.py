@@ -25,7 +25,7 @@ from ..operators import trend as T
 from ..operators.clean import clean_feeds
 from ..operators.resolve import (alias_index, match_exact, match_substring, resolve_values,
                                  typo_aliases)
-from ..operators.star import build_star
+from ..operators.star import build_star, weekly_summary
 from ..session import stage
 from ..sources.sales_feed import (canonical_sets, raw_competitor_feed, raw_internal_feed)
 from ..sources.tables import table
@@ -90,6 +90,7 @@ def build(spark: SparkSession, sf_dir: str) -> dict:
         competitor = stage(competitor, "clean-competitor")
         star = build_star(internal, competitor, materialize=False)
         star = {name: stage(df, name) for name, df in star.items()}
+        star["fact_weekly_summary"] = stage(weekly_summary(star), "fact_weekly_summary")
         _built[k] = {"star": star, "internal": internal, "competitor": competitor}
         return _built[k]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_feeds
-from ..operators.star import build_star, read_star, write_star
+from ..operators.star import build_star, read_star, weekly_summary, write_star
 from ..session import stage
 from ..sources.feeds import read_alias_csv, read_competitor_csv, read_internal_csv
 
@@ -16,7 +16,9 @@ def rebuild_star(spark: SparkSession, internal: DataFrame, competitor: DataFrame
     what was there), then return the written tables."""
     ci, cc = clean_feeds(internal, competitor, aliases)
     ci, cc = stage(ci, "clean-internal"), stage(cc, "clean-competitor")
-    write_star(build_star(ci, cc, materialize=True), out, mode="overwrite")
+    star = build_star(ci, cc, materialize=True)
+    star["fact_weekly_summary"] = weekly_summary(star)
+    write_star(star, out, mode="overwrite")
     return read_star(spark, out)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import YEAR_PATTERN, extract_year
-from ..operators.metrics import revenue, with_attrs
+from ..operators.metrics import internal_lines, revenue
 from ..operators.resolve import match_substring
 
 # The phrase that routes a question to the revenue metric.
@@ -31,7 +31,7 @@ def brand_list(star: dict) -> DataFrame:
 
 def revenue_cube(star: dict) -> DataFrame:
     """Revenue for every (year, brand), every year, every brand, and overall."""
-    lines = with_attrs(star["fact_internal_sales"], star, ["year", "brand"])
+    lines = internal_lines(star, attrs=["year", "brand"])
     return lines.cube("year", "brand").agg(revenue().alias("total_revenue"))
 
 
@@ -63,8 +63,7 @@ def answer_revenue_questions(star: dict, questions: DataFrame, brands: DataFrame
 def generated_questions(star: dict, empty_year_offset: int = 30) -> DataFrame:
     """A question batch worded from the star's own brands and years: with
     and without year and brand, about a year without data, and off-topic."""
-    pairs = with_attrs(star["fact_internal_sales"], star, ["year", "brand"]).select(
-        "year", "brand").distinct()
+    pairs = internal_lines(star, attrs=["year", "brand"]).select("year", "brand").distinct()
     years = star["dim_time"].select("year").distinct()
     brands = star["dim_product"].select("brand").distinct()
     y, b = F.col("year").cast("string"), F.col("brand")

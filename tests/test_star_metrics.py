@@ -203,3 +203,24 @@ def test_rebuild_gives_the_same_tables(spark):
 def rows_of(df, cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()),
                   key=lambda t: tuple((x is not None, x) for x in t))
+
+
+def test_weekly_summary_gives_the_fact_answers(spark, star):
+    from shelfwise.operators.star import weekly_summary
+    with_summary = dict(star, fact_weekly_summary=weekly_summary(star))
+    checks = [
+        lambda s: M.total_revenue(s, year=2024),
+        lambda s: M.revenue_by(s, ["year", "brand"]),
+        lambda s: M.yoy_growth_by(s, ["brand"]),
+        lambda s: M.market_share_by(s),
+        lambda s: C.internal_vs_competitor(s),
+        lambda s: C.top_k_per_group(s, ["category"], "brand", 2),
+        lambda s: T.rollup_revenue(s, ["year", "quarter"]),
+    ]
+    for q in checks:
+        a, b = q(star), q(with_summary)
+        assert rows(a, *a.columns) == rows(b, *b.columns)
+    # SKU-level questions still read the line-level fact
+    from shelfwise.operators.metrics import internal_fact
+    assert internal_fact(with_summary, ["sku_id"]) is star["fact_internal_sales"]
+    assert internal_fact(with_summary, ["year", "brand"]) is with_summary["fact_weekly_summary"]
