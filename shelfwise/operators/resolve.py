@@ -163,6 +163,9 @@ def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
     if not isinstance(cutoffs, dict):
         cutoffs = {0: cutoffs}
     index = alias_index(alias)
+    if materialize:
+        # read by every tier (and both fuzzy pools): written once
+        index = stage(index, "alias-index")
     values = values.select("e", "raw").filter(F.col("raw").isNotNull())
     hits = []
     left = values
@@ -219,7 +222,6 @@ def resolve_spellings(frames, aliases: dict, cutoffs: dict,
         alias = a if alias is None else alias.unionByName(a)
     if materialize:
         spellings = stage(spellings, "spellings")
-        alias = stage(alias, "aliases")
     res = resolve_values(spellings, alias, {eid[n]: cutoffs[n] for n in names},
                          materialize=materialize)
     ent = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("e") + 1)
