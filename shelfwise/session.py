@@ -20,6 +20,18 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# Settings for a cluster run over a large history (pass as ``extra``): start
+# shuffles wide and let AQE merge small partitions towards the advisory size,
+# so a stage over the full fact never has partitions larger than memory;
+# splits of 256 MB keep scan tasks few but bounded.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
 
 def get_spark(app: str = "shelfwise", master: str | None = None,
               shuffle_partitions: int | None = None,
