@@ -17,10 +17,12 @@ def dense_key(df: DataFrame, keys: list[str], id_col: str,
     partition sizes, one row per partition and so bounded by ``partitions``,
     gives each partition its offset.  That table is the only broadcast.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(k).asc_nulls_first() for k in keys]
-    ranged = (df.repartitionByRange(n, *order)
+    # without an explicit count AQE sizes the range partitions from the data
+    # (merging adjacent ranges keeps them in key order)
+    ranged = (df.repartitionByRange(partitions, *order) if partitions
+              else df.repartitionByRange(*order))
+    ranged = (ranged
               .sortWithinPartitions(*order)
               .withColumns({"__pid": F.spark_partition_id(),
                             "__mid": F.monotonically_increasing_id()}))

@@ -143,12 +143,14 @@ def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite",
     for name, keys in (("fact_internal_sales", ["date_id", "product_id"]),
                        ("fact_competitor_market", ["date_id", "category_id"])):
         df = star[name]
-        n = fact_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # a deterministic row hash as the last range key: rows of one hot
-        # (week, product) spread over several tasks instead of one
+        # (week, product) spread over several tasks instead of one.  Without
+        # an explicit count AQE sizes the ranges (advisory partition size), so
+        # files come out near that size at any scale.
         spread = F.xxhash64(*df.columns)
-        (df.repartitionByRange(n, *keys, spread).write.mode(mode)
-         .partitionBy("date_id").parquet(f"{path}/{name}"))
+        ranged = (df.repartitionByRange(fact_partitions, *keys, spread) if fact_partitions
+                  else df.repartitionByRange(*keys, spread))
+        ranged.write.mode(mode).partitionBy("date_id").parquet(f"{path}/{name}")
 
 
 FACT_COLS = {

@@ -61,10 +61,11 @@ def test_dense_key_matches_row_number(spark):
     df = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5003).alias("k"),
                                              (F.col("id") % 3).cast("string").alias("s"))
     df = df.union(spark.createDataFrame([(None, None)], "k bigint, s string")).distinct()
-    got = rows(dense_key(df, ["k", "s"], "id", partitions=5), "id", "k", "s")
     want = rows(df, "k", "s")
-    assert [r[0] for r in got] == list(range(1, len(want) + 1))
-    assert [r[1:] for r in got] == want
+    for parts in (5, None):    # explicit count, and AQE-sized ranges
+        got = rows(dense_key(df, ["k", "s"], "id", partitions=parts), "id", "k", "s")
+        assert [r[0] for r in got] == list(range(1, len(want) + 1))
+        assert [r[1:] for r in got] == want
 
 
 def test_total_revenue(star):
