@@ -3,7 +3,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from shelfwise.functions.text import clean_sku, norm_key
 
