@@ -8,10 +8,21 @@ candidate pool).  Nothing here touches the driver.
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
 
+# The helpers below run inside Python workers.  Pickling them by value ships
+# their code with the task, so the workers need nothing of this package
+# installed or on their path (the standard library and pandas suffice).
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # an older pickler: the package must then be importable by workers
+    pass
+
 
 def best_match(word: str, candidates, cutoff: float):
     """Best ``(score, candidate)`` with ``score >= cutoff``, else ``None``.
