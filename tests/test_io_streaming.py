@@ -97,3 +97,18 @@ def test_clean_export_and_text_audit(spark, tmp_path):
     assert (a[2024].rows, a[2024].missing_reported, a[2024].imputed_rows, a[2024].null_sales) == \
         (4, 3, 2, 1)
     assert a[2023].rows == 1 and a[2023].missing_reported == 0
+
+
+def test_streaming_ingest_competitor(spark, tmp_path):
+    paths = write_inputs(tmp_path)
+    aliases = {k: read_alias_csv(spark, p) for k, p in paths.items()}
+    drop = tmp_path / "drop_c"
+    drop.mkdir()
+    (drop / "week1.csv").write_text(COMPETITOR)
+    q = ingest(spark, "competitor", str(drop), str(tmp_path / "landed_c"), str(tmp_path / "ck_c"),
+               aliases)
+    q.awaitTermination(120)
+    out = {(r.category, r.retailer): r for r in spark.read.parquet(str(tmp_path / "landed_c")).collect()}
+    assert set(out) == {("Beverages", "MegaMart"), ("Beverages", "WebCart")}
+    assert out[("Beverages", "MegaMart")].competitor_volume == 100
+    assert out[("Beverages", "WebCart")].competitor_sales is None
