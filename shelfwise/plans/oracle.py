@@ -230,12 +230,13 @@ def oracle_sql() -> dict[str, str]:
         "WHERE total_sales IS NULL\n"
         "UNION ALL SELECT 'rows_dropped_by_fact_join', 'fact_internal_sales', "
         "(SELECT COUNT(*) FROM clean_internal) - (SELECT COUNT(*) FROM fact_internal_sales)")
-    q["unknown_audit"] = _q(" UNION ALL ".join(
-        f"SELECT '{a}' AS attribute, CAST(COUNT(*) FILTER (WHERE {a} = 'Unknown') AS BIGINT) AS unknown_rows, "
-        f"CAST(COUNT(*) AS BIGINT) AS total_rows, "
-        f"{ratio(f'COUNT(*) FILTER (WHERE {a} = ' + chr(39) + 'Unknown' + chr(39) + ')', 'COUNT(*)')} "
-        f"AS unknown_percent FROM fi"
-        for a in ("brand", "variant", "category", "retailer")))
+    audits = []
+    for a in ("brand", "variant", "category", "retailer"):
+        n_unknown = f"COUNT(*) FILTER (WHERE {a} = 'Unknown')"
+        audits.append(f"SELECT '{a}' AS attribute, CAST({n_unknown} AS BIGINT) AS unknown_rows, "
+                      f"CAST(COUNT(*) AS BIGINT) AS total_rows, "
+                      f"{ratio(n_unknown, 'COUNT(*)')} AS unknown_percent FROM fi")
+    q["unknown_audit"] = _q(" UNION ALL ".join(audits))
     q["imputed_audit"] = _q(
         "SELECT year, CAST(COUNT(*) FILTER (WHERE is_imputed) AS BIGINT) AS imputed_rows, "
         "CAST(COUNT(*) AS BIGINT) AS total_rows, "
