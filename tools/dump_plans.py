@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import tempfile  # noqa: E402
 
 from shelfwise.operators import metrics  # noqa: E402
-from shelfwise.operators.star import read_star, write_star  # noqa: E402
+from shelfwise.operators.star import fact_internal_sales, read_star, write_star  # noqa: E402
 from shelfwise.plans import catalog  # noqa: E402
 from shelfwise.session import get_spark  # noqa: E402
 from shelfwise.sources.sales_feed import raw_internal_feed  # noqa: E402
@@ -45,6 +45,11 @@ def main():
            "detailed below each tree.", ""]
     qs = catalog.queries()
     parts = [("raw_internal_feed (feed derivation)", raw_internal_feed(spark, sf))]
+    built = catalog.build(spark, sf)
+    dims = {k: built["star"][k] for k in ("dim_time", "dim_product", "dim_category",
+                                          "dim_retailer")}
+    parts.append(("fact_internal_sales build (cleaned feed joined to the four dimensions)",
+                  fact_internal_sales(built["internal"], dims)))
     parts += [(n, qs[n](spark, sf)) for n in NAMES]
     # the written star: facts partitioned by date_id, so a year filter on
     # dim_time prunes fact partitions at run time
