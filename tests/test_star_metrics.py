@@ -88,14 +88,20 @@ def test_yoy(star):
     assert by == win and by[("ColaMax", 2024)] == -50.0
 
 
-def test_yoy_zero_previous_is_null(spark, star):
-    # Zap 2022 revenue is 0: growth over it is NULL, not an error
-    star2 = dict(star)
-    extra = spark.createDataFrame([(1, 0, 0, 0, 1.0, 9.0, False)],
-                                  star["fact_internal_sales"].schema)
-    r = M.yoy_growth_by(star2, ["brand"]).filter("brand = 'Zap'").collect()
-    assert all(x.yoy_growth_percent is None for x in r)
-    assert extra.count() == 1
+def test_yoy_zero_previous_is_null(spark):
+    # previous-year revenue of exactly 0: growth is NULL, not an error or inf
+    internal = spark.createDataFrame([
+        ("S1", "Zap", "Snacks", "MegaMart", "Classic", 1.0, 0.0, False, D(2022, 6, 6)),
+        ("S1", "Zap", "Snacks", "MegaMart", "Classic", 1.0, 40.0, False, D(2023, 6, 5)),
+    ], "sku_id string, brand string, category string, retailer string, variant string, "
+       "volume double, total_sales double, is_imputed boolean, week_start date")
+    comp = internal.selectExpr("category", "retailer", "1L AS competitor_volume",
+                               "1.0 AS competitor_sales", "week_start").limit(0)
+    s = build_star(time_attributes(internal), time_attributes(comp), materialize=False)
+    r = {x.current_year: x for x in M.yoy_growth_by(s, ["brand"]).collect()}
+    assert r[2023].previous_year_revenue == 0.0 and r[2023].yoy_growth_percent is None
+    w = {x.current_year: x for x in M.yoy_growth_window(s, ["brand"]).collect()}
+    assert w[2023].yoy_growth_percent is None
 
 
 def test_market_share(star):
