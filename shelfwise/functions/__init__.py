@@ -1 +1 @@
-"""functions"""
+"""Column expressions: text keys and SKU repair, numbers and money, dates, similarity."""

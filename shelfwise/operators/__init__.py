@@ -1 +1 @@
-"""operators"""
+"""DataFrame operators: resolution, cleaning, keys, star, metrics, comparisons, trends, quality."""

@@ -1 +1 @@
-"""plans"""
+"""Registered queries and their oracle, ad-hoc SQL, question batches, the full rebuild."""

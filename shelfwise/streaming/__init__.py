@@ -1 +1 @@
-"""streaming"""
+"""Incremental landing of weekly feed files with Structured Streaming."""

@@ -1,0 +1 @@
+"""Developer tools: oracle comparison and plan dumps."""
