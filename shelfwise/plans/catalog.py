@@ -26,7 +26,8 @@ from ..operators.clean import clean_feeds
 from ..operators.resolve import (alias_index, match_exact, match_substring, resolve_values,
                                  typo_aliases)
 from ..operators.star import build_star, weekly_summary
-from ..session import stage
+from ..session import stage, staging_path
+from ..streaming.weekly_ingest import ingest
 from ..sources.sales_feed import (canonical_sets, raw_competitor_feed, raw_internal_feed)
 from ..sources.tables import table
 from .requests import answer_revenue_questions, generated_questions
@@ -136,6 +137,20 @@ def q_clean_competitor(spark, sf_dir):
     return build(spark, sf_dir)["competitor"].select(*CLEAN_COMPETITOR_COLS)
 
 
+def q_streamed_clean_internal(spark, sf_dir):
+    """The landed internal feed dropped as CSV files and cleaned by the
+    Structured Streaming ingest (availableNow): same rows as clean_internal."""
+    landed = land(spark, sf_dir)
+    drops = staging_path(spark, "feed-drops")
+    landed["internal"].write.option("header", True).csv(drops)
+    out, ckpt = staging_path(spark, "streamed-internal"), staging_path(spark, "stream-ckpt")
+    q = ingest(spark, "internal", drops, out, ckpt, landed["aliases"])
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.parquet(out).select(*CLEAN_INTERNAL_COLS)
+
+
 # -------------------------------------------------------------- resolution
 
 
@@ -366,6 +381,7 @@ def queries() -> dict:
         "time_attributes": q_time_attributes,
         "clean_internal": q_clean_internal,
         "clean_competitor": q_clean_competitor,
+        "streamed_clean_internal": q_streamed_clean_internal,
         "resolve_exact": q_resolve_exact,
         "resolve_substring": q_resolve_substring,
         "resolve_fuzzy": q_resolve_fuzzy,

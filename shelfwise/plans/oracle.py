@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
     q["clean_internal"] = _q(
         "SELECT sku_id, brand, category, retailer, variant, volume, total_sales, is_imputed, "
         f"week_start, {attrs} FROM clean_internal")
+    q["streamed_clean_internal"] = q["clean_internal"]
     q["clean_competitor"] = _q(
         f"SELECT category, retailer, competitor_volume, competitor_sales, week_start, {attrs} "
         "FROM competitor")
