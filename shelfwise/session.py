@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -41,9 +40,6 @@ def get_spark(app: str = "shelfwise", master: str | None = None,
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
-    if master and master.startswith("local"):
-        # local mode: the driver JVM is the whole cluster
-        conf["spark.driver.memory"] = "16g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -57,34 +53,49 @@ def get_spark(app: str = "shelfwise", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Only
-    in local mode, where driver and executors share one machine, is a scratch
-    folder made when it is unset; on a cluster an unset folder is an error,
-    since a machine-local folder is not visible to the executors.
+    ``spark.checkpoint.dir`` of the session; where the cluster names none, a
+    folder beside the tables of the session's warehouse, which driver and
+    executors share as well.  The same rule in every mode: no machine-local
+    temporary folder is ever made here.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-        d = tempfile.mkdtemp(prefix="shelfwise-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoint"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
     return d.rstrip("/")
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/stage/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
-    return f"{checkpoint_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df, name: str):
+def stage(df, name: str, codec: str | None = None):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: the lineage is cut (a lost executor recomputes from the written
     table, not from the raw feed), later plans stay small, and AQE sees real
     sizes.  Parquet keeps column pruning for the readers."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("overwrite")
+    (w.option("compression", codec) if codec else w).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table, in whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove every table this application has staged.  For the end of a job:
+    DataFrames read from staged tables cannot be evaluated afterwards."""
+    delete_path(spark, _stage_root(spark))
