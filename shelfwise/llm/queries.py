@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mix_sources, url_filters
+from . import byte_cnn, exact_dedup, mix_sources, packing, toxicity, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,19 @@ def q_url_filters(spark, sf_dir):
     return url_filters.judge_urls(read(spark, sf_dir, "pages"), rules)
 
 
+def q_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"),
+                                    read(spark, sf_dir, "labels"))
+
+
+def q_packing(spark, sf_dir):
+    return packing.pieces_report(read(spark, sf_dir, "documents"))
+
+
+def q_language_id(spark, sf_dir):
+    return byte_cnn.identify(read(spark, sf_dir, "documents"))
+
+
 def q_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -34,8 +47,11 @@ def q_mix_sources(spark, sf_dir):
 def queries():
     return {
         "op2_url_filters": q_url_filters,
+        "op3_toxicity": q_toxicity,
+        "op5_packing": q_packing,
         "op6_exact_dedup": q_exact_dedup,
         "op8_mix_sources": q_mix_sources,
+        "op10_language_id": q_language_id,
     }
 
 
