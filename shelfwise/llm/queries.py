@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, exact_dedup, mix_sources, packing, toxicity, url_filters
+from . import byte_cnn, exact_dedup, mix_sources, ngram_join, packing, toxicity, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"),
              ("com", "/de/", "block"))
 
 
+def q_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def q_url_filters(spark, sf_dir):
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
@@ -46,6 +50,7 @@ def q_mix_sources(spark, sf_dir):
 
 def queries():
     return {
+        "op1_ngram_join": q_ngram_join,
         "op2_url_filters": q_url_filters,
         "op3_toxicity": q_toxicity,
         "op5_packing": q_packing,
