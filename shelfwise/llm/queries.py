@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, exact_dedup, mix_sources, ngram_join, packing, toxicity, url_filters
+from . import byte_cnn, exact_dedup, mix_sources, ngram_join, packing, repeats, toxicity, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def q_packing(spark, sf_dir):
     return packing.pieces_report(read(spark, sf_dir, "documents"))
 
 
+def q_suffix_repeats(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def q_language_id(spark, sf_dir):
     return byte_cnn.identify(read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries():
         "op5_packing": q_packing,
         "op6_exact_dedup": q_exact_dedup,
         "op8_mix_sources": q_mix_sources,
+        "op9_suffix_repeats": q_suffix_repeats,
         "op10_language_id": q_language_id,
     }
 
