@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, exact_dedup, mix_sources, ngram_join, packing, repeats, toxicity, url_filters
+from pyspark.sql import functions as F
+
+from . import (binary_topk, byte_cnn, chat_views, exact_dedup, mix_sources, ngram_join, packing,
+               repeats, toxicity, url_filters)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +44,19 @@ def q_suffix_repeats(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def q_chat_views(spark, sf_dir):
+    return chat_views.rotate_report(read(spark, sf_dir, "conversations"))
+
+
+# Neighbours asked for, and which rows ask.
+TOP_K, QUERY_EVERY = 10, 100
+
+
+def q_binary_topk(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return binary_topk.top_k(rows, rows.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
+
+
 def q_language_id(spark, sf_dir):
     return byte_cnn.identify(read(spark, sf_dir, "documents"))
 
@@ -57,11 +74,14 @@ def queries():
         "op1_ngram_join": q_ngram_join,
         "op2_url_filters": q_url_filters,
         "op3_toxicity": q_toxicity,
+        "op4_chat_views": q_chat_views,
         "op5_packing": q_packing,
         "op6_exact_dedup": q_exact_dedup,
+        "op7_binary_topk": q_binary_topk,
         "op8_mix_sources": q_mix_sources,
         "op9_suffix_repeats": q_suffix_repeats,
         "op10_language_id": q_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -139,9 +159,54 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source"""
 
 
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(floor(turn / 256), 0)::BIGINT AS part, turn,
+    replace(coalesce(text, ''), '<|', '< |') AS text,
+    CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE replace(role, '<|', '< |') END AS role
+  FROM conversations),
+v AS (
+  SELECT t.*, s.speaker,
+    CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10)
+         WHEN t.role = 'system' THEN '<|system|>' || chr(10)
+         ELSE '<|user ' || t.role || '|>' || chr(10) END AS head
+  FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system') s
+    ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+r AS (
+  SELECT *, head || text || '<|end|>' || chr(10) AS seg,
+    row_number() OVER w AS n,
+    coalesce(sum(length(head) + length(text) + 8) OVER (
+      PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM v WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text)),
+g AS (
+  SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(seg, '' ORDER BY n) AS text,
+    string_agg((pos + length(head))::BIGINT || ':' || (pos + length(head) + length(r.text) + 7)::BIGINT,
+               ',' ORDER BY n) FILTER (WHERE role = speaker) AS mask
+  FROM r GROUP BY conv_id, speaker, part)
+SELECT conv_id, speaker, part,
+  coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY part
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start,
+  n_turns, text, coalesce(mask, '') AS mask
+FROM g"""
+
+TOPK_SQL = """
+WITH d AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+    len(list_filter(list_zip(q.embedding, v.embedding), lambda z: (z[1] > 0) <> (z[2] > 0)))::INT
+      AS distance
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank
+  FROM d)
+SELECT query_id, rank::INT AS rank, neighbor_id, distance FROM r WHERE rank <= 10"""
+
+
 def oracle_sql():
     return {
         "op2_url_filters": URL_SQL,
+        "op4_chat_views": CHAT_SQL,
         "op6_exact_dedup": DEDUP_SQL,
+        "op7_binary_topk": TOPK_SQL,
         "op8_mix_sources": MIX_SQL,
     }
