@@ -36,7 +36,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_spark("shelfwise-bench", master=f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    spark = get_spark("shelfwise-bench", master=f"local[{cpus}]", shuffle_partitions=cpus * 2,
+                      extra={"spark.driver.memory": "16g"})
     # Warm-up outside the timings: one pass of the same code over the small
     # sf0.001 tables loads classes, compiles the generated code and starts the
     # Python workers once, as a long-running session would have.  Nothing of

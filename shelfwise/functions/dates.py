@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import strip_ws
 
-# The date layouts a feed's week column may use, tried in order.
-WEEK_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")
+# Date layouts beside ISO ones that a feed's week column may use,
+# tried in order; a day and month that could be either way round is month first.
+WEEK_FORMATS = ("yyyy/M/d", "yyyy/M/d H:mm:ss", "M/d/yyyy", "M/d/yyyy H:mm:ss", "M-d-yyyy",
+                "d.M.yyyy", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+# An ISO date, with or without a time of day and a zone.
+ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ].*)?$"
 
 
 def _col(c) -> Column:
@@ -16,9 +20,11 @@ def _col(c) -> Column:
 
 
 def parse_date(c, formats=WEEK_FORMATS) -> Column:
-    """Text to DATE trying each layout; NULL (not an error) when none fits."""
-    s = strip_ws(_col(c))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("date")
+    """Text to DATE: any ISO form, then each layout; NULL (not an error) when
+    none fits, which ``quality_counts`` reports."""
+    s = strip_ws(_col(c).cast("string"))
+    iso = F.when(s.rlike(ISO), s).try_cast("timestamp")
+    return F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("date")
 
 
 def week_start(ts) -> Column:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import strip_ws
 
-# Money is summed as DECIMAL so a total does not depend on row order; it is
-# turned back into DOUBLE only at the interface.
-MONEY = "decimal(18,2)"
+# Money is summed as DECIMAL so a total does not depend on row order, with six
+# places so that no line is cut to cents; it is turned back into DOUBLE only at
+# the interface.
+MONEY = "decimal(28,6)"
+# What counts as a number in a text, as Python's float() reads it
+# (no type suffix as in 100D); NaN and Infinity count as missing.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _col(c) -> Column:
@@ -17,16 +21,23 @@ def _col(c) -> Column:
 
 
 def money(c) -> Column:
-    return _col(c).cast(MONEY)
+    """The amount as DECIMAL; NULL when it does not fit."""
+    return _col(c).try_cast(MONEY)
 
 
 def try_double(c) -> Column:
-    """String to DOUBLE; NULL when empty or unparseable (ANSI-safe).
+    """String to DOUBLE; NULL when empty, not a number or beyond its range."""
+    s = strip_ws(_col(c).cast("string"))
+    v = F.when(s.rlike(NUMBER), s).try_cast("double")
+    return F.when(F.abs(v) != F.lit(float("inf")), v)
 
-    NaN/Infinity spellings count as missing: a sum over NaN would be NaN.
-    """
-    v = strip_ws(_col(c)).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+
+def try_long(c) -> Column:
+    """String or number to BIGINT (a fraction is cut off); NULL when it is no
+    number or does not fit."""
+    s = strip_ws(_col(c).cast("string"))
+    whole = F.when(s.rlike(r"^[+-]?[0-9]+$"), s).try_cast("bigint")
+    return F.coalesce(whole, try_double(s).try_cast("bigint"))
 
 
 def is_missing_text(c) -> Column:
@@ -39,13 +50,13 @@ def impute_sales(total_sales_text, volume, unit_price):
     """Return ``(total_sales, is_imputed)`` columns.
 
     A parseable reported total is kept.  A missing or unparseable one is
-    filled with ``volume * unit_price`` when both factors exist (exact
-    DECIMAL product); otherwise it stays NULL.  ``is_imputed`` flags exactly
+    filled with ``volume * unit_price`` when both factors exist and the
+    product is finite; otherwise it stays NULL.  ``is_imputed`` flags exactly
     the rows that were filled.
     """
     reported = try_double(total_sales_text)
-    product = (money(volume) * money(unit_price)).cast(MONEY).cast("double")
-    filled = F.when(_col(volume).isNotNull() & _col(unit_price).isNotNull(), product)
+    product = _col(volume).cast("double") * _col(unit_price).cast("double")
+    filled = F.when(F.abs(product) < F.lit(float("inf")), product)
     total = F.coalesce(reported, filled)
     return total, reported.isNull() & filled.isNotNull()
 
@@ -56,12 +67,6 @@ def pct_change(cur, prev) -> Column:
     return F.round((cur - prev) / F.nullif(prev, F.lit(0.0)) * 100, 2)
 
 
-def share_pct(part, other) -> Column:
-    """``part / (part + other) * 100``; NULL when the denominator is 0/NULL."""
-    part, other = _col(part).cast("double"), _col(other).cast("double")
-    return F.round(part / F.nullif(part + other, F.lit(0.0)) * 100, 2)
-
-
 def ratio_pct(part, whole) -> Column:
     """``part / whole * 100``; NULL when ``whole`` is 0/NULL."""
     part, whole = _col(part).cast("double"), _col(whole).cast("double")

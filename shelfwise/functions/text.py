@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace Python's str.strip() removes from ASCII text.
-# F.trim alone removes spaces only.
-STRIP_CHARS = " \t\n\r\f\v"
+# The code points Python's str.strip() removes.  F.trim alone
+# removes spaces only.
+STRIP_CODES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+               0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009,
+               0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+STRIP_CHARS = "".join(map(chr, STRIP_CODES))
 # SKU repair.  Letters misread in codes and what they stand
 # for ("A" is "-", "Z" is "0"), the digit run kept, and the canonical prefix.
 SKU_MISREAD_FROM = "AZ"
 SKU_MISREAD_TO = "-0"
-SKU_DIGITS = r"(\d{4})"
+SKU_DIGITS = 4
 SKU_PREFIX = "SKU-"
 
 
@@ -30,19 +33,19 @@ def norm_key(c) -> Column:
     return F.lower(strip_ws(c))
 
 
-def clean_sku(c) -> Column:
+def clean_sku(c, digits: int = SKU_DIGITS) -> Column:
     """Canonical SKU code.
 
     Upper-case and strip, read ``A`` as ``-`` and ``Z`` as ``0`` (the
-    observed corruption), then keep the first run of four digits as
-    ``SKU-dddd``.  Without four digits the repaired text is returned; NULL
-    stays NULL (the fact join drops it later).
+    observed corruption), then keep the first run of ``digits`` digits behind
+    the prefix.  Without one the repaired text is returned; NULL stays NULL
+    (the fact join drops it later).
     """
     c = _col(c)
     s = F.translate(F.upper(strip_ws(c)), SKU_MISREAD_FROM, SKU_MISREAD_TO)
-    digits = F.regexp_extract(s, SKU_DIGITS, 1)
+    run = F.regexp_extract(s, rf"(\d{{{digits}}})", 1)
     return (F.when(c.isNull(), F.lit(None).cast("string"))
-            .when(digits != "", F.concat(F.lit(SKU_PREFIX), digits))
+            .when(run != "", F.concat(F.lit(SKU_PREFIX), run))
             .otherwise(s))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, time_attributes
-from ..functions.numeric import impute_sales
-from ..functions.text import clean_sku
-from .resolve import BROADCAST_MAX_ROWS, attach, resolve_spellings
+from ..functions.numeric import impute_sales, try_double, try_long
+from ..functions.text import SKU_DIGITS, clean_sku
+from .resolve import attach, resolve_spellings
 
 # Similarity cutoffs of the fuzzy tier per entity.
 CUTOFF = {"brand": 0.5, "category": 0.5, "retailer": 0.5, "variant": 0.4}
@@ -27,35 +27,36 @@ def with_imputed_sales(df: DataFrame, total="Total_Sales", volume="Volume",
     return df.withColumns({"total_sales": total_sales, "is_imputed": is_imputed})
 
 
-def _finish_internal(df: DataFrame) -> DataFrame:
+def _finish_internal(df: DataFrame, sku_digits: int) -> DataFrame:
     # the reported texts keep their own names: column names are not case
     # sensitive, so total_sales / week_start would otherwise replace them
     df = df.withColumnsRenamed({"Total_Sales": "reported_sales", "Week_Start": "reported_week"})
     df = with_imputed_sales(df, total="reported_sales")
-    df = df.withColumns({"sku_id": clean_sku("Reported_SKU"),
-                         "volume": F.col("Volume").cast("double"),
+    df = df.withColumns({"sku_id": clean_sku("Reported_SKU", sku_digits),
+                         "volume": try_double("Volume"),
                          "week_start": parse_date("reported_week")})
     return time_attributes(df)
 
 
 def _finish_competitor(df: DataFrame) -> DataFrame:
     df = df.withColumnsRenamed({"Week_Start": "reported_week"})
-    df = df.withColumns({"competitor_volume": F.col("Competitor_Volume").cast("bigint"),
-                         "competitor_sales": F.col("Competitor_Sales").cast("double"),
+    df = df.withColumns({"competitor_volume": try_long("Competitor_Volume"),
+                         "competitor_sales": try_double("Competitor_Sales"),
                          "week_start": parse_date("reported_week")})
     return time_attributes(df)
 
 
 def clean_feeds(internal: DataFrame | None, competitor: DataFrame | None,
                 aliases: dict[str, DataFrame], materialize: bool = True,
-                tier_cols: bool = False):
+                tier_cols: bool = False, sku_digits: int = SKU_DIGITS):
     """Clean both raw feeds with one resolution pass over their spellings.
 
     Returns ``(internal_clean, competitor_clean)`` (``None`` for a missing
     feed).  Internal rows get sku_id, brand, category, retailer, variant,
     volume, total_sales, is_imputed, week_start and its time attributes;
     competitor rows get category, retailer, competitor_volume,
-    competitor_sales and the week attributes.
+    competitor_sales and the week attributes.  A number that does not fit and
+    a date in no known layout become NULL; ``quality_counts`` counts them.
     """
     frames = []
     if internal is not None:
@@ -65,12 +66,11 @@ def clean_feeds(internal: DataFrame | None, competitor: DataFrame | None,
     used = sorted({e for _, cols in frames for e in cols.values()})
     resolved = resolve_spellings(frames, {e: aliases[e] for e in used},
                                  {e: CUTOFF[e] for e in used}, materialize)
-    limit = BROADCAST_MAX_ROWS if materialize else None
     ci = cc = None
     if internal is not None:
-        ci = _finish_internal(attach(internal, resolved, INTERNAL_COLS, tier_cols, limit))
+        ci = _finish_internal(attach(internal, resolved, INTERNAL_COLS, tier_cols), sku_digits)
     if competitor is not None:
-        cc = _finish_competitor(attach(competitor, resolved, COMPETITOR_COLS, tier_cols, limit))
+        cc = _finish_competitor(attach(competitor, resolved, COMPETITOR_COLS, tier_cols))
     return ci, cc
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def dense_key(df: DataFrame, keys: list[str], id_col: str,
               partitions: int | None = None) -> DataFrame:
@@ -14,8 +16,8 @@ def dense_key(df: DataFrame, keys: list[str], id_col: str,
     computed in parallel: rows are range-partitioned on the keys and sorted
     inside each partition, every row gets its position inside the partition
     (``monotonically_increasing_id`` minus the partition base), and a table of
-    partition sizes, one row per partition and so bounded by ``partitions``,
-    gives each partition its offset.  That table is the only broadcast.
+    partition sizes, one row per partition, gives each partition its offset.
+    The numbered rows are written once, so both uses see the same partitions.
     """
     order = [F.col(k).asc_nulls_first() for k in keys]
     # without an explicit count AQE sizes the range partitions from the data
@@ -26,12 +28,13 @@ def dense_key(df: DataFrame, keys: list[str], id_col: str,
               .sortWithinPartitions(*order)
               .withColumns({"__pid": F.spark_partition_id(),
                             "__mid": F.monotonically_increasing_id()}))
+    ranged = stage(ranged, "ranges")
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(
         "__pid",
         F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
-    return (ranged.join(F.broadcast(offsets), "__pid")
+    return (ranged.join(offsets, "__pid")
             .withColumn(id_col, (F.col("__off") + local + 1).cast("bigint"))
             .drop("__pid", "__mid", "__off"))

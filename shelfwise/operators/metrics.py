@@ -22,8 +22,6 @@ ATTR_DIM = {
     "category": ("dim_category", "category_id"),
     "retailer": ("dim_retailer", "retailer_id"),
 }
-# dimensions bounded by construction (weeks, canonical values): safe to broadcast
-BOUNDED_DIMS = {"dim_time", "dim_category", "dim_retailer"}
 
 
 # The weekly summary: the internal fact aggregated to week x category x
@@ -57,7 +55,7 @@ def with_attrs(fact: DataFrame, star: dict, attrs) -> DataFrame:
         if key not in fact.columns:
             raise ValueError(f"{cols} ({dim}) cannot be reached from this fact")
         d = star[dim].select(key, *dict.fromkeys(cols))
-        out = out.join(F.broadcast(d) if dim in BOUNDED_DIMS else d, key)
+        out = out.join(d, key)      # broadcast or not by the written table's size
     return out
 
 
@@ -108,10 +106,20 @@ def _yoy_cols(cur, prev):
 def yoy_growth_by(star: dict, by=(), **filters) -> DataFrame:
     """Growth of every year over the year before, per ``by`` group.
 
-    An equi self-join on ``(by, year - 1)``: a year without a previous year
-    gets NULL growth, as does a previous revenue of 0.
+    The yearly sums are made once; the frame ``RANGE BETWEEN 1 PRECEDING AND 1
+    PRECEDING`` on the year is exactly the previous calendar year, so a gap
+    gives NULL (``lag`` would not), as does a previous revenue of 0.
     """
     by = list(by)
+    w = Window.partitionBy(*by).orderBy("year").rangeBetween(-1, -1)
+    y = _yearly(star, by, **filters).withColumn("prev_revenue", F.sum("revenue").over(w))
+    return y.select(*by, F.col("year").alias("current_year"),
+                    *_yoy_cols(F.col("revenue"), F.col("prev_revenue")))
+
+
+def yoy_growth_join(star: dict, by=(), **filters) -> DataFrame:
+    """Same result as ``yoy_growth_by`` with an equi self-join on ``(by, year - 1)``."""
+    by = list(by)
     return _yoy_join(_yearly(star, by, **filters), by)
 
 
@@ -129,17 +137,6 @@ def _yoy_join(y: DataFrame, by) -> DataFrame:
                     *_yoy_cols(F.col("revenue"), F.col("prev_revenue"))))
 
 
-def yoy_growth_window(star: dict, by=(), **filters) -> DataFrame:
-    """Same result as ``yoy_growth_by`` with a range window: the frame
-    ``RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING`` on the year is exactly the
-    previous calendar year, so a gap gives NULL (``lag`` would not)."""
-    by = list(by)
-    y = _yearly(star, by, **filters)
-    w = Window.partitionBy(*by).orderBy("year").rangeBetween(-1, -1)
-    prev = F.sum("revenue").over(w)
-    return y.select(*by, F.col("year").alias("current_year"), *_yoy_cols(F.col("revenue"), prev))
-
-
 def _share_frame(star: dict, by, **filters) -> DataFrame:
     """Both facts at the common grain ``by`` in one aggregation.
 

@@ -13,38 +13,66 @@ from .resolve import UNKNOWN
 from .star import STAR_TABLES
 
 
-def quality_counts(star: dict, clean_internal: DataFrame | None = None) -> DataFrame:
+def _dropped(clean: DataFrame, star: dict, fact: str, keys: dict) -> DataFrame:
+    """Rows of a cleaned feed that its fact does not have, by the first cause
+    that holds: ``keys`` maps a cause to the dimension and the columns that an
+    anti-join finds missing."""
+    rows = clean.select(*dict.fromkeys(c for _, cols in keys.values() for c in cols))
+    parts = []
+    for cause, (dim, cols) in keys.items():
+        have = star[dim].select(*cols)
+        parts.append(rows.join(have, cols, "left_anti")
+                     .agg(F.count(F.lit(1)).alias("value"))
+                     .select(F.lit(f"dropped_{cause}").alias("check"),
+                             F.lit(fact).alias("table_name"), "value"))
+        rows = rows.join(have, cols, "left_semi")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def quality_counts(star: dict, clean_internal: DataFrame | None = None,
+                   clean_competitor: DataFrame | None = None) -> DataFrame:
     """``(check, table_name, value)``: row counts, NULL sales in the internal
-    fact, and, given the cleaned feed, the rows the fact join dropped (NULL
-    or unmatched keys)."""
-    parts = [star[t].agg(F.count(F.lit(1)).alias("value"))
-             .select(F.lit("row_count").alias("check"), F.lit(t).alias("table_name"), "value")
-             for t in STAR_TABLES]
-    parts.append(star["fact_internal_sales"]
-                 .agg(F.count_if(F.col("total_sales").isNull()).alias("value"))
-                 .select(F.lit("null_total_sales").alias("check"),
-                         F.lit("fact_internal_sales").alias("table_name"), "value"))
-    if clean_internal is not None:
-        n_in = clean_internal.agg(F.count(F.lit(1)).alias("n_in"))
-        n_fact = star["fact_internal_sales"].agg(F.count(F.lit(1)).alias("n_fact"))
-        # two one-row aggregates side by side: a union then a second
-        # aggregate keeps it a plain plan without a cartesian product
-        u = (n_in.select(F.col("n_in").alias("v"), F.lit(1).alias("s"))
-             .unionByName(n_fact.select(F.col("n_fact").alias("v"), F.lit(-1).alias("s"))))
-        parts.append(u.agg(F.sum(F.col("v") * F.col("s")).alias("value"))
-                     .select(F.lit("rows_dropped_by_fact_join").alias("check"),
-                             F.lit("fact_internal_sales").alias("table_name"), "value"))
+    fact, and, given the cleaned feeds, dates in no known layout and the rows
+    that each fact join dropped, by cause (date, then product, then other)."""
+    def count(df, check, name):
+        return df.agg(F.count(F.lit(1)).alias("value")).select(
+            F.lit(check).alias("check"), F.lit(name).alias("table_name"), "value")
+
+    parts = [count(star[t], "row_count", t) for t in STAR_TABLES]
+    fact = "fact_internal_sales"
+    parts.append(count(star[fact].where("total_sales IS NULL"), "null_total_sales", fact))
+    feeds = ((clean_internal, fact, {"date": ("dim_time", ["week_start"]),
+                                     "product": ("dim_product", ["sku_id", "brand", "variant"]),
+                                     "category": ("dim_category", ["category"]),
+                                     "retailer": ("dim_retailer", ["retailer"])}),
+             (clean_competitor, "fact_competitor_market",
+              {"date": ("dim_time", ["week_start"]), "category": ("dim_category", ["category"]),
+               "retailer": ("dim_retailer", ["retailer"])}))
+    for clean, name, keys in feeds:
+        if clean is not None:
+            bad = F.col("week_start").isNull() & ~is_missing_text("reported_week")
+            parts.append(count(clean.where(bad), "unparseable_date", name))
+            parts.append(_dropped(clean, star, name, keys))
+    if clean_competitor is not None:
+        parts.append(count(clean_competitor.where("competitor_volume IS NULL"),
+                           "null_competitor_volume", "fact_competitor_market"))
     return reduce(DataFrame.unionByName, parts).select(
         "check", "table_name", F.col("value").cast("bigint").alias("value"))
 
 
 def unknown_audit(star: dict, attrs=("brand", "variant", "category", "retailer")) -> DataFrame:
-    """Per attribute: fact rows whose value is ``Unknown``, all rows, share."""
-    lines = with_attrs(star["fact_internal_sales"], star, list(attrs))
-    stacked = lines.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("attribute"), (F.col(a) == UNKNOWN).alias("is_unknown"))
-        for a in attrs])).alias("x")).select("x.*")
-    return stacked.groupBy("attribute").agg(
+    """Per fact and attribute: rows whose value is ``Unknown``, all rows, share."""
+    def of(fact, attrs):
+        lines = with_attrs(star[fact], star, list(attrs))
+        return lines.select(F.lit(fact).alias("table_name"), F.explode(F.array(*[
+            F.struct(F.lit(a).alias("attribute"), (F.col(a) == UNKNOWN).alias("is_unknown"))
+            for a in attrs])).alias("x")).select("table_name", "x.*")
+
+    shared = [a for a in attrs if a in ("category", "retailer")]
+    stacked = of("fact_internal_sales", attrs)
+    if shared:
+        stacked = stacked.unionByName(of("fact_competitor_market", shared))
+    return stacked.groupBy("table_name", "attribute").agg(
         F.count_if("is_unknown").cast("bigint").alias("unknown_rows"),
         F.count(F.lit(1)).cast("bigint").alias("total_rows"),
     ).withColumn("unknown_percent", ratio_pct("unknown_rows", "total_rows"))

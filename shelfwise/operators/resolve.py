@@ -22,27 +22,26 @@ An alias table has columns ``alias STRING, canonical STRING, rank INT``.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import SCORE_SCHEMA, score_group
 from ..functions.text import norm_key
 from ..session import stage
+from .keys import dense_key
 
 # The label of a value no tier resolves, and the letters that
 # replace one character in the rule-generated alias spellings.
 UNKNOWN = "Unknown"
 TYPO_LETTERS = "aesxz"
 
-# Bounds for the fuzzy tier's groups: a group is one bucket of values against
-# one chunk of the candidate pool, so its size never grows with the data.
-FUZZY_POOL_CHUNK = 4000
-FUZZY_VALUES_PER_BUCKET = 20000
-# Resolved-spelling tables up to this many rows are broadcast to the join
-# back; larger ones take a shuffled join (with AQE skew splitting).
-BROADCAST_MAX_ROWS = 2_000_000
+# A group of the fuzzy tier is one bucket of values against one chunk of the
+# candidate pool: about 200,000 comparisons, whatever the data.
+FUZZY_POOL_CHUNK = 1000
+FUZZY_VALUES_PER_BUCKET = 200
+# The alias index is broadcast to the substring join up to this many bytes of
+# keys and targets; a larger one takes a sort-merge join.
+INDEX_BROADCAST_BYTES = 32 << 20
 
 
 def alias_index(alias: DataFrame) -> DataFrame:
@@ -64,51 +63,77 @@ def match_exact(values: DataFrame, index: DataFrame) -> DataFrame:
             .select("e", "raw", "canonical"))
 
 
-def match_substring(values: DataFrame, index: DataFrame, max_key_len: int) -> DataFrame:
+def index_profile(index: DataFrame) -> tuple[list[int], int]:
+    """(lengths of the keys, bytes of keys and targets): one small row, by
+    which the substring join decides what to generate and what to broadcast."""
+    r = index.agg(F.sort_array(F.collect_set(F.length("alias"))).alias("lengths"),
+                  F.sum(F.octet_length("alias") + F.octet_length("canonical") + 24).alias("b")
+                  ).first()
+    return [n for n in r["lengths"] if n], int(r["b"] or 0)
+
+
+def match_substring(values: DataFrame, index: DataFrame, lengths: list[int] | None = None,
+                    index_bytes: int | None = None) -> DataFrame:
     """``values(e, raw)`` -> ``(e, raw, canonical)`` of the lowest-ranked
     contained key.
 
-    Every substring of the whole stripped lower-case text, up to the longest
-    key length, is generated and equi-joined to the keys: the containment
-    (theta) join becomes a hash join whose work is ``distinct values x text
-    length x key length``, never values x keys.
+    Every substring of the whole stripped lower-case text whose length some
+    key has is generated and equi-joined to the keys: the containment (theta)
+    join becomes a hash join whose work is ``distinct values x text length x
+    key lengths``, never values x keys.  The index is the build side if its
+    measured bytes allow; the generated side, whose size no estimate knows,
+    never is.
     """
-    if not max_key_len:
+    if lengths is None or index_bytes is None:
+        lengths, index_bytes = index_profile(index)
+    if not lengths:
         return values.select("e", "raw", F.lit(None).cast("string").alias("canonical")).limit(0)
-    s = values.withColumn("s", norm_key("raw")).filter(F.length("s") >= 1)
-    starts = s.select("e", "raw", "s",
-                      F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
-    subs = starts.select(
-        "e", "raw", "s", "i",
-        F.explode(F.sequence(F.lit(1), F.least(F.length("s") - F.col("i") + 1,
-                                               F.lit(max_key_len)))).alias("n"))
+    s = values.withColumn("s", norm_key("raw")).filter(F.length("s") >= lengths[0])
+    sized = s.select("e", "raw", "s", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
+    sized = sized.filter(F.length("s") >= F.col("n"))
     # no distinct here: the substrings stream straight into the join with the
-    # (small) key index and the partial aggregate, so only matches shuffle;
-    # a repeated substring only repeats a match, which min_by ignores
-    subs = subs.select("e", "raw", F.expr("substring(s, i, n)").alias("alias"))
-    return (subs.join(index, ["e", "alias"])
+    # key index and the partial aggregate, so only matches shuffle; a repeated
+    # substring only repeats a match, which min_by ignores
+    subs = sized.select("e", "raw", F.explode(F.expr(
+        "transform(sequence(1, length(s) - n + 1), i -> substring(s, i, n))")).alias("alias"))
+    build = (F.broadcast(index) if index_bytes <= INDEX_BROADCAST_BYTES
+             else index.hint("merge"))
+    return (subs.join(build, ["e", "alias"])
             .groupBy("e", "raw")
             .agg(F.min_by("canonical", "rank").alias("canonical")))
 
 
 def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str) -> DataFrame:
     """One bounded similarity pass: ``values(e, raw)`` against ``pool(e, text,
-    canonical)``; returns ``(e, raw, canonical)`` for values with a match."""
+    canonical)``; returns ``(e, raw, canonical)`` for values with a match.
+
+    The pool is numbered in order of length and cut into chunks.  The ratio of
+    two texts is at most 2 * shorter / (shorter + longer), so a value meets
+    only the chunks whose lengths can reach its cutoff: nothing that could
+    match is skipped."""
     n_values = values.count()
     if n_values == 0:
         return values.select("e", "raw", F.lit(None).cast("string").alias("canonical"))
-    buckets = max(1, math.ceil(n_values / FUZZY_VALUES_PER_BUCKET))
-    pool = pool.withColumn(
-        "chunk", F.floor((F.row_number().over(Window.partitionBy("e").orderBy("text")) - 1)
-                         / FUZZY_POOL_CHUNK).cast("int"))
-    # chunk count per entity: one row per entity, so broadcasting it is bounded
-    n_chunks = pool.groupBy("e").agg((F.max("chunk") + 1).alias("n_chunks"))
-    pool = pool.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    vals = (values.join(F.broadcast(n_chunks), "e")
-            .withColumn("bucket", F.pmod(F.xxhash64("raw"), F.lit(buckets)).cast("int"))
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-            .drop("n_chunks"))
+    buckets = -(-n_values // FUZZY_VALUES_PER_BUCKET)
+    pool = dense_key(pool.withColumn("len", F.length("text")).distinct(),
+                     ["e", "len", "text"], "at")
+    pool = pool.withColumn("chunk", F.floor(F.col("at") / FUZZY_POOL_CHUNK).cast("int"))
+    chunks = pool.groupBy("e", "chunk").agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
     cut = {int(k): float(v) for k, v in cutoffs.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), F.col("e"))
+    # spaces count in the raw text and not in the stripped one
+    size = F.length("raw") if kind == "canonical" else F.length(norm_key("raw"))
+    vals = (values.withColumns({"bucket": F.pmod(F.xxhash64("raw"), F.lit(buckets)).cast("int"),
+                                "cut": limit, "len": size})
+            .join(chunks, "e")
+            .where((F.col("lo") <= F.col("len") * (2 - F.col("cut")) / F.col("cut"))
+                   & (F.col("hi") >= F.col("len") * F.col("cut") / (2 - F.col("cut"))))
+            .select("e", "raw", "bucket", "chunk"))
+    met = vals.select("e", "chunk", "bucket").distinct()
+    # names of its own: both sides of the cogroup come from ``vals``
+    pool = pool.join(met, ["e", "chunk"]).select(
+        "text", "canonical", F.col("e").alias("pe"), F.col("bucket").alias("pbucket"),
+        F.col("chunk").alias("pchunk"))
 
     def scorer(vpdf, ppdf):
         e = int(vpdf["e"].iloc[0]) if len(vpdf) else 0
@@ -117,7 +142,7 @@ def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str) ->
         return out
 
     scored = (vals.groupBy("e", "bucket", "chunk")
-              .cogroup(pool.groupBy("e", "bucket", "chunk"))
+              .cogroup(pool.groupBy("pe", "pbucket", "pchunk"))
               .applyInPandas(scorer, SCORE_SCHEMA + ", e int"))
     # best over the chunks: highest score, a tie to the greater candidate text
     best = scored.groupBy("e", "raw").agg(F.max(F.struct("score", "match", "canonical")).alias("b"))
@@ -134,8 +159,8 @@ def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict,
     into chunks of at most ``FUZZY_POOL_CHUNK`` entries and the values into
     hash buckets of about ``FUZZY_VALUES_PER_BUCKET``; each (entity, bucket,
     chunk) is one bounded ``applyInPandas`` cogroup.  Every value meets every
-    candidate of its pass, so the result is exact, and no pool goes through
-    the driver.
+    candidate of its pass that its length allows, so the result is exact, and
+    no pool goes through the driver.
     """
     if values.isEmpty():
         return values.select("e", "raw", F.lit(None).cast("string").alias("canonical"))
@@ -173,8 +198,7 @@ def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
         if tier == "exact":
             hit = match_exact(left, index)
         elif tier == "substring":
-            max_len = index.agg(F.max(F.length("alias"))).first()[0]
-            hit = match_substring(left, index, max_len)
+            hit = match_substring(left, index)
         elif tier == "fuzzy":
             if materialize:
                 # what the cheap tiers left: small; written once so the
@@ -185,6 +209,8 @@ def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
         else:
             raise ValueError(f"unknown tier {tier!r}")
         hit = hit.filter(F.col("canonical").isNotNull()).withColumn("match_tier", F.lit(tier))
+        if materialize:     # read by the next tier's anti-join and by the result
+            hit = stage(hit, f"hits-{tier}")
         hits.append(hit)
         left = left.join(hit.select("e", "raw"), ["e", "raw"], "left_anti")
     found = hits[0]
@@ -229,22 +255,20 @@ def resolve_spellings(frames, aliases: dict, cutoffs: dict,
     return stage(res, "resolved") if materialize else res
 
 
-def attach(df: DataFrame, resolved: DataFrame, cols: dict, tier_cols: bool = False,
-           broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
+def attach(df: DataFrame, resolved: DataFrame, cols: dict, tier_cols: bool = False) -> DataFrame:
     """Join resolved spellings back: ``cols`` maps a raw column to
     ``(entity, output column)``.  Unresolved or NULL spellings give Unknown.
 
-    The resolved table is broadcast only when its counted size is at most
-    ``broadcast_max_rows``; otherwise the join is shuffled (AQE splits a hot
-    spelling's partition).
+    No join strategy is forced: the resolved table is a written one, so AQE
+    knows its bytes, broadcasts it if they are few and else splits the
+    partition of a hot spelling.
     """
-    small = broadcast_max_rows is not None and resolved.count() <= broadcast_max_rows
     out = df
     for i, (col, (entity, target)) in enumerate(cols.items()):
         r = resolved.filter(F.col("entity") == entity).select(
             F.col("raw").alias(f"__raw{i}"), F.col("canonical").alias(f"__c{i}"),
             F.col("match_tier").alias(f"__t{i}"))
-        out = out.join(F.broadcast(r) if small else r, F.col(col) == F.col(f"__raw{i}"), "left")
+        out = out.join(r, F.col(col) == F.col(f"__raw{i}"), "left")
         new = {target: F.coalesce(F.col(f"__c{i}"), F.lit(UNKNOWN))}
         if tier_cols:
             new[f"{target}_tier"] = F.coalesce(F.col(f"__t{i}"), F.lit("none"))
@@ -262,8 +286,7 @@ def resolve_columns(df: DataFrame, specs, materialize: bool = True,
     aliases = {c: a for c, a, _, _ in specs}
     cutoffs = {c: cut for c, _, cut, _ in specs}
     res = resolve_spellings([(df, {c: c for c, _, _, _ in specs})], aliases, cutoffs, materialize)
-    return attach(df, res, {c: (c, out) for c, _, _, out in specs}, tier_cols,
-                  BROADCAST_MAX_ROWS if materialize else None)
+    return attach(df, res, {c: (c, out) for c, _, _, out in specs}, tier_cols)
 
 
 def resolve_entity(df: DataFrame, col: str, alias: DataFrame, cutoff: float = 0.5,
@@ -289,7 +312,6 @@ def typo_aliases(canonicals: DataFrame, letters: str = TYPO_LETTERS) -> DataFram
            .select("canonical", "pos",
                    F.explode(F.array(*[F.lit(x) for x in letters])).alias("letter"))
            .withColumn("alias", F.overlay("canonical", F.col("letter"), F.col("pos"), F.lit(1))))
-    allk = own.unionByName(gen)
-    return allk.select(
-        F.lower("alias").alias("alias"), "canonical",
-        F.row_number().over(Window.orderBy("canonical", "pos", "letter")).cast("int").alias("rank"))
+    ranked = dense_key(own.unionByName(gen), ["canonical", "pos", "letter"], "rank")
+    return ranked.select(F.lower("alias").alias("alias"), "canonical",
+                         F.col("rank").cast("int").alias("rank"))

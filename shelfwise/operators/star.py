@@ -8,15 +8,22 @@ both feeds' values), ``dim_product`` comes from the internal feed only.
 Surrogate ids follow the natural-key order (``dense_key``), so a rebuild over
 the same input gives the same ids.  Joins use plain equality, so rows with a
 NULL key (e.g. a missing SKU) are dropped from the facts, as a SQL star load
-would drop them; ``quality_counts`` reports how many.
+would drop them; ``quality_counts`` reports how many and why.
+
+A written star lives in a folder of its own build; a pointer file names the
+current one and is replaced last, so readers see one build or the other, never
+a mixture, and the weekly summary always belongs to its facts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..functions.numeric import money
+from ..session import delete_path, read_text, stage, write_text
 from .keys import dense_key
 
 TIME_COLS = ["week_start", "year", "month", "quarter", "week_number", "iso_year"]
@@ -26,7 +33,7 @@ STAR_TABLES = ("dim_time", "dim_product", "dim_category", "dim_retailer",
 
 def _bounded_key(df: DataFrame, keys, id_col: str) -> DataFrame:
     """``row_number()`` over the whole (distinct) table: one partition, so
-    only for dimensions bounded by construction (weeks, canonical values)."""
+    only for a dimension bounded by construction (weeks)."""
     return df.withColumn(id_col, F.row_number().over(
         Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])).cast("bigint"))
 
@@ -46,10 +53,11 @@ def dim_product(internal: DataFrame) -> DataFrame:
 
 
 def _conformed(internal: DataFrame, competitor: DataFrame, col: str, id_col: str) -> DataFrame:
-    """Union of both feeds' resolved values: canonical values plus Unknown,
-    so bounded by the alias tables."""
+    """Union of both feeds' resolved values: canonical values plus Unknown.
+    The caller's alias table decides how many, so they are numbered like the
+    products."""
     vals = internal.select(col).unionByName(competitor.select(col)).distinct()
-    return _bounded_key(vals, [col], id_col).select(id_col, col)
+    return dense_key(vals, [col], id_col).select(id_col, col)
 
 
 def dim_category(internal: DataFrame, competitor: DataFrame) -> DataFrame:
@@ -61,14 +69,13 @@ def dim_retailer(internal: DataFrame, competitor: DataFrame) -> DataFrame:
 
 
 def fact_internal_sales(internal: DataFrame, dims: dict) -> DataFrame:
-    # dim_time (one row per week), dim_category and dim_retailer (canonical
-    # values only) are bounded by construction and broadcast; dim_product
-    # grows with the SKU count and is left to AQE's measured-size decision.
+    """No join is forced: the dimensions are written tables, so Spark
+    broadcasts those whose bytes allow it and shuffles for the others."""
     return (internal
-            .join(F.broadcast(dims["dim_time"].select("date_id", "week_start")), "week_start")
+            .join(dims["dim_time"].select("date_id", "week_start"), "week_start")
             .join(dims["dim_product"], ["sku_id", "brand", "variant"])
-            .join(F.broadcast(dims["dim_category"]), "category")
-            .join(F.broadcast(dims["dim_retailer"]), "retailer")
+            .join(dims["dim_category"], "category")
+            .join(dims["dim_retailer"], "retailer")
             .select("date_id", "product_id", "category_id", "retailer_id",
                     F.col("volume").cast("double").alias("volume"),
                     F.col("total_sales").cast("double").alias("total_sales"),
@@ -77,9 +84,9 @@ def fact_internal_sales(internal: DataFrame, dims: dict) -> DataFrame:
 
 def fact_competitor_market(competitor: DataFrame, dims: dict) -> DataFrame:
     return (competitor
-            .join(F.broadcast(dims["dim_time"].select("date_id", "week_start")), "week_start")
-            .join(F.broadcast(dims["dim_category"]), "category")
-            .join(F.broadcast(dims["dim_retailer"]), "retailer")
+            .join(dims["dim_time"].select("date_id", "week_start"), "week_start")
+            .join(dims["dim_category"], "category")
+            .join(dims["dim_retailer"], "retailer")
             .select("date_id", "category_id", "retailer_id",
                     F.col("competitor_volume").cast("bigint").alias("competitor_volume"),
                     F.col("competitor_sales").cast("double").alias("competitor_sales")))
@@ -90,34 +97,30 @@ def weekly_summary(star: dict) -> DataFrame:
 
     Bounded by weeks x categories x retailers x brands, whatever the line
     count, and enough for every revenue/volume question that does not ask
-    for SKU or variant.  Each cell's sales are an exact DECIMAL sum kept as
-    DOUBLE cents, so summing cells gives the same totals as summing lines.
+    for SKU or variant.  Each cell's sales are an exact DECIMAL sum, so summing
+    cells gives the same totals as summing lines.
     """
     lines = star["fact_internal_sales"].join(
         star["dim_product"].select("product_id", "brand"), "product_id")
     return lines.groupBy("date_id", "category_id", "retailer_id", "brand").agg(
-        F.sum(F.col("total_sales").cast("decimal(18,2)")).cast("double").alias("total_sales"),
-        F.sum("volume").alias("volume"))
+        F.sum(money("total_sales")).alias("total_sales"), F.sum("volume").alias("volume"))
+
+
+def dimensions(internal: DataFrame, competitor: DataFrame) -> dict[str, DataFrame]:
+    return {"dim_time": dim_time(internal, competitor), "dim_product": dim_product(internal),
+            "dim_category": dim_category(internal, competitor),
+            "dim_retailer": dim_retailer(internal, competitor)}
 
 
 def build_star(internal: DataFrame, competitor: DataFrame,
                materialize: bool = True) -> dict[str, DataFrame]:
     """Cleaned feeds -> the six star tables.
 
-    With ``materialize`` the cleaned feeds and the dimensions are written to
-    the shared checkpoint folder first: the feeds are read by five jobs
-    (four dimensions, two facts), the dimensions by the facts, and every later
-    query reads compact plans over written tables.  The facts stay lazy.
+    With ``materialize`` the dimensions are written to the shared checkpoint
+    folder first, as the facts and every later query read them.  The cleaned
+    feeds should be written tables.  The facts stay lazy.
     """
-    if materialize:
-        internal = stage(internal, "clean-internal")
-        competitor = stage(competitor, "clean-competitor")
-    dims = {
-        "dim_time": dim_time(internal, competitor),
-        "dim_product": dim_product(internal),
-        "dim_category": dim_category(internal, competitor),
-        "dim_retailer": dim_retailer(internal, competitor),
-    }
+    dims = dimensions(internal, competitor)
     if materialize:
         dims = {k: stage(v, k) for k, v in dims.items()}
     return {**dims,
@@ -125,56 +128,88 @@ def build_star(internal: DataFrame, competitor: DataFrame,
             "fact_competitor_market": fact_competitor_market(competitor, dims)}
 
 
-def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite",
-               fact_partitions: int | None = None) -> None:
-    """Write the star as parquet.  ``mode='overwrite'`` is the full rebuild;
-    ``'ignore'`` keeps existing tables (create-if-not-exists).
-
-    Facts are range-clustered on ``date_id`` before a ``partitionBy('date_id')``
-    write: each task then holds a few weeks, so the file count stays near the
-    task count, and a filter on ``dim_time`` prunes fact partitions at run
-    time (dynamic partition pruning).
-    """
-    path = path.rstrip("/")
-    for name in ("dim_time", "dim_product", "dim_category", "dim_retailer"):
-        star[name].write.mode(mode).parquet(f"{path}/{name}")
-    if "fact_weekly_summary" in star:   # small: bounded by weeks x categories x retailers x brands
-        star["fact_weekly_summary"].write.mode(mode).parquet(f"{path}/fact_weekly_summary")
-    for name, keys in (("fact_internal_sales", ["date_id", "product_id"]),
-                       ("fact_competitor_market", ["date_id", "category_id"])):
-        df = star[name]
-        # a deterministic row hash as the last range key: rows of one hot
-        # (week, product) spread over several tasks instead of one.  Without
-        # an explicit count AQE sizes the ranges (advisory partition size), so
-        # files come out near that size at any scale.
-        spread = F.xxhash64(*df.columns)
-        ranged = (df.repartitionByRange(fact_partitions, *keys, spread) if fact_partitions
-                  else df.repartitionByRange(*keys, spread))
-        ranged.write.mode(mode).partitionBy("date_id").parquet(f"{path}/{name}")
-
-
 FACT_COLS = {
     "fact_internal_sales": ["date_id", "product_id", "category_id", "retailer_id",
                             "volume", "total_sales", "is_imputed"],
     "fact_competitor_market": ["date_id", "category_id", "retailer_id",
                                "competitor_volume", "competitor_sales"],
 }
+FACT_KEYS = {"fact_internal_sales": ["date_id", "product_id"],
+             "fact_competitor_market": ["date_id", "category_id"]}
+POINTER = "CURRENT"
 
 
-def read_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Read a written star; facts get their column order and key type back
-    (``date_id`` comes back as a partition column)."""
-    path = path.rstrip("/")
-    out = {n: spark.read.parquet(f"{path}/{n}") for n in STAR_TABLES}
+def _write_fact(df: DataFrame, name: str, path: str, fact_partitions: int | None) -> None:
+    """One run of the fact: it is written once in the order its joins give
+    (the stage), and clustered from there."""
+    # a deterministic row hash as the last range key: rows of one hot (week,
+    # product) spread over several tasks instead of one.  Without an explicit
+    # count AQE sizes the ranges (advisory partition size), so files come out
+    # near that size at any scale.
+    df = stage(df, name)
+    keys = [*FACT_KEYS[name], F.xxhash64(*df.columns)]
+    ranged = (df.repartitionByRange(fact_partitions, *keys) if fact_partitions
+              else df.repartitionByRange(*keys))
+    ranged.write.partitionBy("date_id").parquet(f"{path}/{name}")
+
+
+def current_build(spark: SparkSession, path: str) -> str | None:
+    """Folder of the build that the pointer at ``path`` names; None without one."""
+    name = read_text(spark, f"{path.rstrip('/')}/{POINTER}")
+    return f"{path.rstrip('/')}/{name}" if name else None
+
+
+def write_star(star: dict[str, DataFrame], path: str, mode: str = "overwrite",
+               fact_partitions: int | None = None) -> None:
+    """Write the star as parquet.  ``mode='overwrite'`` is the full rebuild;
+    ``'ignore'`` keeps an existing star (create-if-not-exists).
+
+    All tables go to a new build folder; the weekly summary is made from the
+    fact just written there.  The pointer is replaced when all are complete,
+    and only then is the former build removed.  Facts are range-clustered on
+    ``date_id`` before a ``partitionBy('date_id')`` write: each task then holds
+    a few weeks, so the file count stays near the task count, and a filter on
+    ``dim_time`` prunes fact partitions at run time (dynamic partition
+    pruning).
+    """
+    if mode not in ("overwrite", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}")
+    spark, path = star["dim_time"].sparkSession, path.rstrip("/")
+    former = current_build(spark, path)
+    if former and mode == "ignore":
+        return
+    name = f"build-{uuid.uuid4().hex}"
+    build = f"{path}/{name}"
+    for t, df in star.items():
+        if t in FACT_COLS:
+            _write_fact(df, t, build, fact_partitions)
+        elif t != SUMMARY:
+            df.write.parquet(f"{build}/{t}")
+    weekly_summary(_read_build(spark, build)).write.parquet(f"{build}/{SUMMARY}")
+    write_text(spark, f"{path}/{POINTER}", name)
+    if former:
+        delete_path(spark, former)
+
+
+SUMMARY = "fact_weekly_summary"
+
+
+def _read_build(spark: SparkSession, build: str) -> dict[str, DataFrame]:
+    out = {n: spark.read.parquet(f"{build}/{n}") for n in STAR_TABLES}
     for n, cols in FACT_COLS.items():
         out[n] = out[n].select(F.col("date_id").cast("bigint").alias("date_id"), *cols[1:])
-    try:
-        out["fact_weekly_summary"] = spark.read.parquet(f"{path}/fact_weekly_summary")
-    except Exception:  # written without a summary: metrics read the fact
-        pass
     return out
 
 
+def read_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Read the current build of a written star; facts get their column order
+    and key type back (``date_id`` comes back as a partition column)."""
+    build = current_build(spark, path)
+    if build is None:
+        raise FileNotFoundError(f"no star at {path}")
+    return {**_read_build(spark, build), SUMMARY: spark.read.parquet(f"{build}/{SUMMARY}")}
+
+
 def register_star(star: dict[str, DataFrame]) -> None:
     """Expose the star tables as temporary views under their own names."""
     for n, df in star.items():

@@ -11,6 +11,7 @@ the metric, comparison, trend and quality queries run on that star.
 from __future__ import annotations
 
 import threading
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,16 @@ from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import trend as T
-from ..operators.clean import clean_feeds
-from ..operators.resolve import (alias_index, match_exact, match_substring, resolve_values,
+from ..operators.clean import CUTOFF
+from ..operators.resolve import (alias_index, match_exact, match_substring, resolve_spellings,
                                  typo_aliases)
-from ..operators.star import build_star, weekly_summary
 from ..session import stage, staging_path
-from ..streaming.weekly_ingest import ingest
-from ..sources.sales_feed import (canonical_sets, raw_competitor_feed, raw_internal_feed)
+from ..sources.feeds import read_alias_csv, read_internal_csv, write_csv
+from ..sources.sales_feed import (FORMS, SKU_WIDTH, canonical_sets, messy, raw_competitor_feed,
+                                  raw_internal_feed, sales_lines)
 from ..sources.tables import table
+from ..streaming.weekly_ingest import ingest
+from .rebuild import rebuild_from_csv
 from .requests import answer_revenue_questions, generated_questions
 from .sqlapi import run_sql
 
@@ -43,15 +46,35 @@ CATEGORY_B = "STANDARD"
 WEEK = 10
 # a year pattern that also accepts 19xx (the given tables span 1995-2001)
 YEAR_PATTERN_ANY = r"\b((?:19|20)\d{2})\b"
+# The tables the feeds are derived from.
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+_lock = threading.RLock()
+# What was landed and built, by session and folder: DataFrames (and the temp
+# views registered from them) belong to the session that made them and go with it.
+_landed: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_built: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-_lock = threading.Lock()
-_built: dict = {}
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Folder, sizes and times of the source tables: a changed folder is
+    landed anew."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = [sf_dir.rstrip("/")]
+    for name in SOURCES:
+        p = jvm.org.apache.hadoop.fs.Path(f"{out[0]}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        out += [fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()]
+    return tuple(out)
 
-def _key(spark: SparkSession, sf_dir: str):
-    # per application and per session object: DataFrames (and the temp views
-    # registered from them) belong to the session that made them
-    return (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+
+def _once(cache, spark: SparkSession, sf_dir: str, make):
+    with _lock:
+        mine = cache.setdefault(spark, {})
+        key = _stamp(spark, sf_dir)
+        if key not in mine:
+            mine[key] = make()
+        return mine[key]
 
 
 def aliases_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -59,58 +82,51 @@ def aliases_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {k: typo_aliases(v) for k, v in canonical_sets(spark, sf_dir).items()}
 
 
-_landed: dict = {}
-
-
 def land(spark: SparkSession, sf_dir: str) -> dict:
     """Derive the two raw feeds and the alias tables from the given tables and
-    write them once, as files arriving from outside would be."""
-    k = _key(spark, sf_dir)
-    with _lock:
-        if k not in _landed:
-            _landed[k] = {
-                "internal": stage(raw_internal_feed(spark, sf_dir), "raw-internal"),
-                "competitor": stage(raw_competitor_feed(spark, sf_dir), "raw-competitor"),
-                # rule-generated from the canonical values; written once, with
-                # the spellings, by the resolution step
-                "aliases": aliases_for(spark, sf_dir),
-            }
-        return _landed[k]
+    write them once as CSV, as files arriving from outside would be.  The
+    lines of both feeds come from one scan of the order tables."""
+    def make():
+        lines = stage(sales_lines(spark, sf_dir), "sales-lines")
+        paths = {"internal": staging_path(spark, "feed-internal"),
+                 "competitor": staging_path(spark, "feed-competitor")}
+        write_csv(raw_internal_feed(lines), paths["internal"])
+        write_csv(raw_competitor_feed(lines), paths["competitor"])
+        paths["aliases"] = {k: staging_path(spark, f"alias-{k}") for k in CUTOFF}
+        for k, df in aliases_for(spark, sf_dir).items():
+            write_csv(df, paths["aliases"][k])
+        return paths
+    return _once(_landed, spark, sf_dir, make)
 
 
 def build(spark: SparkSession, sf_dir: str) -> dict:
-    """Landed feeds -> cleaned feeds -> star; all tables written once and reused."""
+    """Landed CSV feeds -> cleaned feeds -> written star, by the path a user
+    calls; all tables written once and reused."""
     landed = land(spark, sf_dir)
-    k = _key(spark, sf_dir)
-    with _lock:
-        if k in _built:
-            return _built[k]
-        internal, competitor = clean_feeds(landed["internal"], landed["competitor"],
-                                           landed["aliases"])
-        internal = stage(internal, "clean-internal")
-        competitor = stage(competitor, "clean-competitor")
-        star = build_star(internal, competitor, materialize=False)
-        star = {name: stage(df, name) for name, df in star.items()}
-        star["fact_weekly_summary"] = stage(weekly_summary(star), "fact_weekly_summary")
-        _built[k] = {"star": star, "internal": internal, "competitor": competitor}
-        return _built[k]
+    return _once(_built, spark, sf_dir, lambda: rebuild_from_csv(
+        spark, landed["internal"], landed["competitor"], landed["aliases"],
+        staging_path(spark, "star"), sku_digits=SKU_WIDTH))
 
 
 def star_for(spark: SparkSession, sf_dir: str) -> dict:
     return build(spark, sf_dir)["star"]
 
 
+def raw_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_internal_csv(spark, land(spark, sf_dir)["internal"])
+
+
 # ---------------------------------------------------------------- cleaning
 
 
 def q_clean_sku(spark, sf_dir):
-    raw = land(spark, sf_dir)["internal"].select("Reported_SKU").distinct()
+    raw = raw_internal(spark, sf_dir).select("Reported_SKU").distinct()
     return raw.select(F.col("Reported_SKU").alias("raw_sku"),
-                      clean_sku("Reported_SKU").alias("sku_id"))
+                      clean_sku("Reported_SKU", SKU_WIDTH).alias("sku_id"))
 
 
 def q_impute_sales(spark, sf_dir):
-    raw = land(spark, sf_dir)["internal"]
+    raw = raw_internal(spark, sf_dir)
     total, flag = impute_sales("Total_Sales", "Volume", "Unit_Price")
     return raw.select(F.col("Total_Sales").alias("reported_sales"),
                       F.col("Volume").alias("volume"), F.col("Unit_Price").alias("unit_price"),
@@ -118,7 +134,7 @@ def q_impute_sales(spark, sf_dir):
 
 
 def q_time_attributes(spark, sf_dir):
-    raw = land(spark, sf_dir)["internal"].select(F.col("Week_Start").alias("reported_week"))
+    raw = raw_internal(spark, sf_dir).select(F.col("Week_Start").alias("reported_week"))
     return time_attributes(raw.distinct().withColumn("week_start", parse_date("reported_week")))
 
 
@@ -138,19 +154,42 @@ def q_clean_competitor(spark, sf_dir):
 
 
 def q_streamed_clean_internal(spark, sf_dir):
-    """The landed internal feed dropped as CSV files and cleaned by the
-    Structured Streaming ingest (availableNow): same rows as clean_internal."""
+    """The landed internal feed's CSV files cleaned by the Structured
+    Streaming ingest (availableNow): same rows as clean_internal."""
     landed = land(spark, sf_dir)
-    drops = staging_path(spark, "feed-drops")
-    landed["internal"].write.option("header", True).csv(drops)
+    aliases = {k: read_alias_csv(spark, p) for k, p in landed["aliases"].items()}
     out, ckpt = staging_path(spark, "streamed-internal"), staging_path(spark, "stream-ckpt")
-    q = ingest(spark, "internal", drops, out, ckpt, landed["aliases"])
+    q = ingest(spark, "internal", landed["internal"], out, ckpt, aliases, sku_digits=SKU_WIDTH)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(out).select(*CLEAN_INTERNAL_COLS)
 
 
+def _yearly_brand(star):
+    return M.revenue_by(star, ["year", "brand"])
+
+
+def q_rebuild_roundtrip(spark, sf_dir):
+    """CSV feeds -> rebuild -> written star -> read back -> revenue."""
+    return _yearly_brand(star_for(spark, sf_dir))
+
+
+def q_rebuild_twice(spark, sf_dir):
+    """A star rebuilt over a former one from a changed feed (without the SKUs
+    that end in an odd digit): the answer is the new star's alone."""
+    landed, path = land(spark, sf_dir), staging_path(spark, "star-twice")
+    rebuild_from_csv(spark, landed["internal"], landed["competitor"], landed["aliases"], path,
+                     SKU_WIDTH)
+    kept = spark.read.options(header=True, ignoreLeadingWhiteSpace=False,
+                              ignoreTrailingWhiteSpace=False, escape='"').csv(landed["internal"])
+    changed = staging_path(spark, "feed-changed")
+    write_csv(kept.where(F.col("Reported_SKU").isNull()
+                         | ~F.col("Reported_SKU").rlike("[13579] *$")), changed)
+    again = rebuild_from_csv(spark, changed, landed["competitor"], landed["aliases"], path, SKU_WIDTH)
+    return _yearly_brand(again["star"])
+
+
 # -------------------------------------------------------------- resolution
 
 
@@ -184,14 +223,37 @@ def q_resolve_substring(spark, sf_dir):
     index = _brand_index(spark, sf_dir)
     vals = brand_spellings(spark, sf_dir).filter(F.col("raw").isNotNull()).withColumn("e", F.lit(0))
     left = vals.join(match_exact(vals, index).select("e", "raw"), ["e", "raw"], "left_anti")
-    max_len = index.agg(F.max(F.length("alias"))).first()[0]
-    return match_substring(left, index, max_len).select("raw", "canonical")
+    return match_substring(left, index).select("raw", "canonical")
+
+
+# A variant spelling as near to ``ring`` as to ``gear``.
+TIED = "grgq"
+
+
+def resolution_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, raw): every form of every canonical value, its first half
+    followed by ``q`` (a ratio between 0.4 and 0.5), and a tie."""
+    out = None
+    for entity, names in canonical_sets(spark, sf_dir).items():
+        forms = names.withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(FORMS - 1))))
+        raw = forms.select(messy(F.col("canonical"), F.col("form"), entity != "brand").alias("raw"))
+        if entity != "brand":
+            n, h = F.length("canonical"), F.floor(F.length("canonical") / 2).cast("int")
+            raw = raw.unionByName(names.where(n > 3).select(
+                F.concat(F.expr("left(canonical, int(length(canonical) / 2))"),
+                         F.repeat(F.lit("q"), (4 * h - n - 1).cast("int"))).alias("raw")))
+        if entity == "variant":
+            raw = raw.unionByName(spark.range(1).select(F.lit(TIED).alias("raw")))
+        raw = raw.select(F.lit(entity).alias("entity"), "raw")
+        out = raw if out is None else out.unionByName(raw)
+    return out.where(F.col("raw").isNotNull()).distinct()
 
 
 def q_resolve_fuzzy(spark, sf_dir):
-    vals = brand_spellings(spark, sf_dir)
-    alias = typo_aliases(canonical_sets(spark, sf_dir)["brand"])
-    return resolve_values(vals, alias, 0.5, materialize=True).select("raw", "canonical", "match_tier")
+    """All four tiers and Unknown, for all four entities and both cutoffs."""
+    cases = resolution_cases(spark, sf_dir)
+    frames = [(cases.where(F.col("entity") == e).select("raw"), {"raw": e}) for e in sorted(CUTOFF)]
+    return resolve_spellings(frames, aliases_for(spark, sf_dir), CUTOFF)
 
 
 # -------------------------------------------------------------------- star
@@ -240,7 +302,7 @@ def q_yoy_growth_by_brand(spark, sf_dir):
 
 
 def q_yoy_growth_window(spark, sf_dir):
-    return M.yoy_growth_window(star_for(spark, sf_dir), ["brand"])
+    return M.yoy_growth_join(star_for(spark, sf_dir), ["brand"])
 
 
 def q_market_share(spark, sf_dir):
@@ -314,7 +376,7 @@ def q_internal_vs_competitor_volume(spark, sf_dir):
 
 
 def q_period_rollup(spark, sf_dir):
-    return T.rollup_revenue(star_for(spark, sf_dir), ["year", "quarter", "month"])
+    return T.rollup_revenue(star_for(spark, sf_dir), ["year", "quarter", "month", "week_start"])
 
 
 def q_hierarchy_rollup(spark, sf_dir):
@@ -330,7 +392,7 @@ def q_quarterly_trend(spark, sf_dir):
 
 def q_quality_counts(spark, sf_dir):
     b = build(spark, sf_dir)
-    return Q.quality_counts(b["star"], b["internal"])
+    return Q.quality_counts(b["star"], b["internal"], b["competitor"])
 
 
 def q_unknown_audit(spark, sf_dir):
@@ -368,7 +430,15 @@ def q_adhoc_sql(spark, sf_dir):
 
 def q_kpi_requests(spark, sf_dir):
     star = star_for(spark, sf_dir)
-    return answer_revenue_questions(star, generated_questions(star), year_pattern=YEAR_PATTERN_ANY)
+    answers = answer_revenue_questions(star, generated_questions(star),
+                                       year_pattern=YEAR_PATTERN_ANY)
+    return stage(answers, "question-answers")       # the report: a dataset, read back
+
+
+def q_total_revenue_from_fact(spark, sf_dir):
+    """The same total from the line-level fact, past the weekly summary."""
+    return M.internal_lines(star_for(spark, sf_dir), use_summary=False).agg(
+        M.revenue().alias("total_revenue"))
 
 
 def queries() -> dict:
@@ -382,6 +452,8 @@ def queries() -> dict:
         "clean_internal": q_clean_internal,
         "clean_competitor": q_clean_competitor,
         "streamed_clean_internal": q_streamed_clean_internal,
+        "rebuild_roundtrip": q_rebuild_roundtrip,
+        "rebuild_twice": q_rebuild_twice,
         "resolve_exact": q_resolve_exact,
         "resolve_substring": q_resolve_substring,
         "resolve_fuzzy": q_resolve_fuzzy,
@@ -392,6 +464,7 @@ def queries() -> dict:
         "star_sample": q_star_sample,
         "sales_text_audit": q_sales_text_audit,
         "total_revenue": q_total_revenue,
+        "total_revenue_from_fact": q_total_revenue_from_fact,
         "total_revenue_filtered": q_total_revenue_filtered,
         "brand_revenue": q_brand_revenue,
         "total_revenue_year_brand": q_total_revenue_year_brand,

@@ -11,112 +11,124 @@ from __future__ import annotations
 
 from . import catalog as K
 
-WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# The code points of white space, as Python's str.strip() has them.
+WS_CODES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233,
+            8239, 8287, 12288)
+WS = " || ".join(f"chr({c})" for c in WS_CODES)
 
+# The order lines with their own truth: the answer to a corrupted spelling is
+# the value it was made from, or Unknown where the rule drops the name.
 LINES = """lines AS (
-  SELECT l.l_orderkey, l.l_linenumber, p.p_partkey,
-         l.l_quantity AS volume, p.p_retailprice AS unit_price,
-         CAST(l.l_extendedprice AS DECIMAL(18,2)) AS amount,
-         CAST(date_trunc('week', l.l_shipdate) AS DATE) AS week_start,
-         p.p_type AS category, p.p_brand AS brand, split_part(p.p_name, ' ', 2) AS variant,
-         c.c_mktsegment AS retailer, r.r_name = 'AMERICA' AS is_internal
-  FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN part p ON l.l_partkey = p.p_partkey
-  JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  JOIN nation n ON s.s_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey)"""
-
-RAW_INTERNAL = """raw_internal AS (
+  SELECT l_orderkey, l_linenumber, p_partkey, l_quantity AS volume,
+         p_retailprice + (p_partkey % 8) * 0.125::DOUBLE AS unit_price,
+         l_extendedprice::DECIMAL(18,2) AS amount,
+         date_trunc('week', l_shipdate)::DATE AS week_start,
+         p_type AS category, p_brand AS brand, split_part(p_name, ' ', 2) AS variant,
+         c_mktsegment AS retailer,
+         l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (
+           SELECT n_nationkey FROM nation WHERE n_regionkey IN (
+             SELECT r_regionkey FROM region WHERE r_name = 'AMERICA'))) AS is_internal
+  FROM lineitem, part, orders, customer
+  WHERE l_partkey = p_partkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey)"""
+
+
+def known(name: str, key: str) -> str:
+    return f"CASE WHEN ({key}) % 20 IN (17, 18) THEN 'Unknown' ELSE {name} END"
+
+
+RAW_INTERNAL = f"""raw_internal AS (
   SELECT CASE p_partkey % 10
            WHEN 0 THEN NULL
            WHEN 1 THEN 'sku a' || code
            WHEN 2 THEN 'SKU-' || code || '7'
-           WHEN 3 THEN ' sku-' || code || ' '
+           WHEN 3 THEN ' sku-' || code || chr(160)
            WHEN 4 THEN 'SKU-' || replace(code, '0', 'Z')
            WHEN 5 THEN CASE WHEN p_partkey % 100 = 5 THEN 'unassigned' ELSE 'SKU-' || code END
            ELSE 'SKU-' || code END AS Reported_SKU,
          volume AS Volume,
-         CASE WHEN (l_orderkey + l_linenumber) % 20 <> 0 THEN unit_price END AS Unit_Price,
-         CASE (l_orderkey + l_linenumber) % 10
-           WHEN 0 THEN NULL
-           WHEN 3 THEN ''
-           WHEN 5 THEN CASE WHEN p_partkey % 2 = 0 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END
-           ELSE CAST(amount AS VARCHAR) END AS Total_Sales,
-         CASE WHEN l_orderkey % 9 = 4 THEN strftime(week_start, '%Y/%m/%d')
-              ELSE strftime(week_start, '%Y-%m-%d') END AS Week_Start,
-         week_start AS week_date, brand, category, retailer, variant
-  FROM (SELECT *, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS code
+         CASE WHEN ln % 20 <> 0 THEN unit_price END AS Unit_Price,
+         -- NULL, the empty text and n/a all read as missing
+         CASE WHEN ln % 10 IN (0, 3) OR ln % 10 = 5 AND p_partkey % 2 = 0 THEN NULL
+              WHEN ln % 10 = 6 AND p_partkey % 3 = 0 THEN '1e400'
+              WHEN ln % 10 = 7 AND p_partkey % 2 = 0 THEN amount || 'D'
+              WHEN ln % 10 = 7 THEN chr(160) || amount || ' '
+              WHEN ln % 10 = 8 AND p_partkey % 4 = 0 THEN 'approx. 12'
+              ELSE amount::VARCHAR END AS Total_Sales,
+         CASE WHEN ln % 10 IN (0, 3) OR ln % 10 IN (5, 7) AND p_partkey % 2 = 0
+                OR ln % 10 = 6 AND p_partkey % 3 = 0 OR ln % 10 = 8 AND p_partkey % 4 = 0
+              THEN NULL ELSE amount::DOUBLE END AS reported,
+         CASE l_orderkey % 20
+           WHEN 2 THEN strftime(week_start, '%Y/%m/%d')
+           WHEN 3 THEN strftime(week_start, '%Y-%m-%dT00:00:00')
+           WHEN 4 THEN strftime(week_start, '%Y-%m-%d 00:00:00.000')
+           WHEN 5 THEN year(week_start) || '-' || month(week_start) || '-' || day(week_start)
+           WHEN 6 THEN strftime(week_start, '%m/%d/%Y')
+           WHEN 7 THEN strftime(week_start, '%m-%d-%Y')
+           WHEN 8 THEN day(week_start) || strftime(week_start, ' %b %Y')
+           WHEN 9 THEN 'week unknown'
+           ELSE strftime(week_start, '%Y-%m-%d') END AS Week_Start,
+         CASE WHEN l_orderkey % 20 <> 9 THEN week_start END AS week_date,
+         {known("brand", "p_partkey")} AS brand,
+         {known("category", "p_partkey + l_linenumber")} AS category,
+         {known("retailer", "l_orderkey")} AS retailer,
+         {known("variant", "ln")} AS variant
+  FROM (SELECT *, lpad(p_partkey::VARCHAR, 9, '0') AS code, l_orderkey + l_linenumber AS ln
         FROM lines WHERE is_internal) x)"""
 
 SKU_T = f"translate(upper(trim(Reported_SKU, {WS})), 'AZ', '-0')"
 CLEAN_SKU = (f"CASE WHEN Reported_SKU IS NULL THEN NULL "
-             f"WHEN regexp_extract({SKU_T}, '(\\d{{4}})', 1) <> '' "
-             f"THEN 'SKU-' || regexp_extract({SKU_T}, '(\\d{{4}})', 1) ELSE {SKU_T} END")
+             f"WHEN regexp_extract({SKU_T}, '(\\d{{9}})', 1) <> '' "
+             f"THEN 'SKU-' || regexp_extract({SKU_T}, '(\\d{{9}})', 1) ELSE {SKU_T} END")
 
+# a missing total is volume times price, where both are there
 CLEAN_INTERNAL = f"""clean_internal AS (
   SELECT {CLEAN_SKU} AS sku_id, brand, category, retailer, variant, Volume AS volume,
-         COALESCE(rep, imp) AS total_sales, rep IS NULL AND imp IS NOT NULL AS is_imputed,
-         Reported_SKU, Total_Sales AS reported_text, Unit_Price AS unit_price,
+         coalesce(reported, Volume * Unit_Price) AS total_sales,
+         reported IS NULL AND Volume IS NOT NULL AND Unit_Price IS NOT NULL AS is_imputed,
+         Reported_SKU, reported, Total_Sales AS reported_text, Unit_Price AS unit_price,
          Week_Start AS reported_week, week_date AS week_start
-  FROM (SELECT *,
-          CASE WHEN isnan(TRY_CAST(trim(Total_Sales, {WS}) AS DOUBLE)) THEN NULL
-               ELSE TRY_CAST(trim(Total_Sales, {WS}) AS DOUBLE) END AS rep,
-          CASE WHEN Volume IS NOT NULL AND Unit_Price IS NOT NULL
-               THEN CAST(CAST(CAST(Volume AS DECIMAL(18,2)) * CAST(Unit_Price AS DECIMAL(18,2))
-                              AS DECIMAL(18,2)) AS DOUBLE) END AS imp
-        FROM raw_internal) z)"""
-
-COMPETITOR = """competitor AS (
-  SELECT category, retailer, week_start,
-         CAST(SUM(volume) AS BIGINT) AS competitor_volume,
-         CAST(SUM(amount) AS DOUBLE) AS competitor_sales
-  FROM lines WHERE NOT is_internal GROUP BY category, retailer, week_start)"""
+  FROM raw_internal)"""
+
+COMPETITOR = f"""competitor AS (
+  SELECT {known("category", "d")} AS category, {known("retailer", "d + year(week_start)")} AS retailer,
+         CASE WHEN d % 30 <> 4 THEN week_start END AS week_start,
+         CASE WHEN d % 11 <> 3 THEN v END AS competitor_volume, s AS competitor_sales
+  FROM (SELECT category, retailer, week_start, dayofyear(week_start) AS d,
+               SUM(volume)::BIGINT AS v, SUM(amount)::DOUBLE AS s
+        FROM lines WHERE NOT is_internal GROUP BY ALL) x)"""
 
 DIMS = """dim_time AS (
   SELECT row_number() OVER (ORDER BY week_start) AS date_id, week_start,
          year(week_start) AS year, month(week_start) AS month, quarter(week_start) AS quarter,
          weekofyear(week_start) AS week_number, isoyear(week_start) AS iso_year
-  FROM (SELECT DISTINCT week_start FROM lines) w),
+  FROM (SELECT week_start FROM clean_internal UNION SELECT week_start FROM competitor) w
+  WHERE week_start IS NOT NULL),
 dim_product AS (
   SELECT row_number() OVER (ORDER BY sku_id NULLS FIRST, brand, variant) AS product_id,
          sku_id, brand, variant
   FROM (SELECT DISTINCT sku_id, brand, variant FROM clean_internal) p),
 dim_category AS (
   SELECT row_number() OVER (ORDER BY category) AS category_id, category
-  FROM (SELECT DISTINCT category FROM lines) c),
+  FROM (SELECT category FROM clean_internal UNION SELECT category FROM competitor) c),
 dim_retailer AS (
   SELECT row_number() OVER (ORDER BY retailer) AS retailer_id, retailer
-  FROM (SELECT DISTINCT retailer FROM lines) r)"""
-
-FACTS = """fact_internal_sales AS (
-  SELECT t.date_id, p.product_id, c.category_id, r.retailer_id,
-         i.volume, i.total_sales, i.is_imputed
-  FROM clean_internal i
-  JOIN dim_time t ON i.week_start = t.week_start
-  JOIN dim_product p ON i.sku_id = p.sku_id AND i.brand = p.brand AND i.variant = p.variant
-  JOIN dim_category c ON i.category = c.category
-  JOIN dim_retailer r ON i.retailer = r.retailer),
-fact_competitor_market AS (
-  SELECT t.date_id, c.category_id, r.retailer_id, m.competitor_volume, m.competitor_sales
-  FROM competitor m
-  JOIN dim_time t ON m.week_start = t.week_start
-  JOIN dim_category c ON m.category = c.category
-  JOIN dim_retailer r ON m.retailer = r.retailer),
-fi AS (
-  SELECT f.*, CAST(f.total_sales AS DECIMAL(18,2)) AS money, t.week_start, t.year, t.quarter,
-         t.month, t.week_number, p.sku_id, p.brand, p.variant, c.category, r.retailer
-  FROM fact_internal_sales f
-  JOIN dim_time t ON f.date_id = t.date_id
-  JOIN dim_product p ON f.product_id = p.product_id
-  JOIN dim_category c ON f.category_id = c.category_id
-  JOIN dim_retailer r ON f.retailer_id = r.retailer_id),
+  FROM (SELECT retailer FROM clean_internal UNION SELECT retailer FROM competitor) r)"""
+
+# fi, fc: what of a cleaned feed is in its fact (a date and, inside, a SKU),
+# with its attributes; the facts themselves replace these by their ids
+FACTS = """fi AS (
+  SELECT i.*, total_sales::DECIMAL(28,6) AS money, t.* EXCLUDE (week_start)
+  FROM clean_internal i JOIN dim_time t USING (week_start) WHERE sku_id IS NOT NULL),
 fc AS (
-  SELECT f.*, CAST(f.competitor_sales AS DECIMAL(18,2)) AS money, t.year, c.category
-  FROM fact_competitor_market f
-  JOIN dim_time t ON f.date_id = t.date_id
-  JOIN dim_category c ON f.category_id = c.category_id)"""
+  SELECT m.*, competitor_sales::DECIMAL(28,6) AS money, t.* EXCLUDE (week_start)
+  FROM competitor m JOIN dim_time t USING (week_start)),
+fact_internal_sales AS (
+  SELECT date_id, product_id, category_id, retailer_id, volume, total_sales, is_imputed
+  FROM fi JOIN dim_product USING (sku_id, brand, variant) JOIN dim_category USING (category)
+  JOIN dim_retailer USING (retailer)),
+fact_competitor_market AS (
+  SELECT date_id, category_id, retailer_id, competitor_volume, competitor_sales
+  FROM fc JOIN dim_category USING (category) JOIN dim_retailer USING (retailer))"""
 
 STAR = ",\n".join([LINES, RAW_INTERNAL, CLEAN_INTERNAL, COMPETITOR, DIMS, FACTS])
 
@@ -170,6 +182,41 @@ sp AS (
 ex AS (SELECT sp.raw, idx.canonical FROM sp JOIN idx ON lower(trim(sp.raw, """ + WS + """)) = idx.alias
        WHERE sp.raw IS NOT NULL)"""
 
+# every form of every name with its answer: a re-cased, padded or one-letter
+# form is a key, a name inside other words contains its own key, a name with a
+# q in it is nearest to itself, half a name (ratio between 0.4 and 0.5) counts
+# for variants only, and junk is like nothing
+CASES = """names AS (
+  SELECT DISTINCT 'brand' AS entity, p_brand AS x FROM part
+  UNION SELECT 'category', p_type FROM part
+  UNION SELECT 'variant', split_part(p_name, ' ', 2) FROM part
+  UNION SELECT 'retailer', c_mktsegment FROM customer),
+f AS (
+  SELECT *, substr(x, 1, 1) || 'x' || substr(x, 3) AS near,
+         substr(x, 1, 1) || 'q' || substr(x, 3) AS far,
+         CASE WHEN entity = 'brand' THEN x ELSE 'the ' || lower(x) || ' co' END AS inside,
+         CASE WHEN entity = 'brand' THEN 'exact' ELSE 'substring' END AS inside_tier,
+         length(x) // 2 AS h
+  FROM names),
+cases AS (
+  SELECT entity, x AS raw, x AS canonical, 'exact' AS match_tier FROM f
+  UNION ALL SELECT entity, upper(x), x, 'exact' FROM f
+  UNION ALL SELECT entity, '  ' || lower(x) || chr(9), x, 'exact' FROM f
+  UNION ALL SELECT entity, near, x, 'exact' FROM f
+  UNION ALL SELECT entity, x || chr(160), x, 'exact' FROM f
+  UNION ALL SELECT entity, chr(12288) || ' ' || upper(x), x, 'exact' FROM f
+  UNION ALL SELECT entity, inside, x, inside_tier FROM f
+  UNION ALL SELECT entity, chr(160) || inside || ' ', x, inside_tier FROM f
+  UNION ALL SELECT entity, far, x, 'fuzzy' FROM f
+  UNION ALL SELECT entity, lower(far), x, 'fuzzy' FROM f
+  UNION ALL SELECT entity, upper(far), x, 'fuzzy' FROM f
+  UNION ALL SELECT entity, repeat('q', 24), 'Unknown', 'none' FROM f
+  UNION ALL SELECT entity, left(x, h) || repeat('q', 4 * h - length(x) - 1),
+                   CASE WHEN entity = 'variant' THEN x ELSE 'Unknown' END,
+                   CASE WHEN entity = 'variant' THEN 'fuzzy' ELSE 'none' END
+            FROM f WHERE entity <> 'brand' AND length(x) > 3
+  UNION ALL SELECT 'variant', '""" + K.TIED + """', 'ring', 'fuzzy')"""
+
 Y, B, B2, CAT, CAT2, WK, EY = (K.YEAR, lit(K.BRAND), lit(K.BRAND_B), lit(K.CATEGORY),
                                lit(K.CATEGORY_B), K.WEEK, K.EMPTY_YEAR)
 
@@ -220,23 +267,32 @@ def oracle_sql() -> dict[str, str]:
     for t in ("dim_time", "dim_product", "dim_category", "dim_retailer",
               "fact_internal_sales", "fact_competitor_market"):
         q[t] = _q(f"SELECT * FROM {t}")
-    q["quality_counts"] = _q(
-        "SELECT 'row_count' AS \"check\", 'dim_time' AS table_name, COUNT(*) AS value FROM dim_time\n"
-        "UNION ALL SELECT 'row_count', 'dim_product', COUNT(*) FROM dim_product\n"
-        "UNION ALL SELECT 'row_count', 'dim_category', COUNT(*) FROM dim_category\n"
-        "UNION ALL SELECT 'row_count', 'dim_retailer', COUNT(*) FROM dim_retailer\n"
-        "UNION ALL SELECT 'row_count', 'fact_internal_sales', COUNT(*) FROM fact_internal_sales\n"
-        "UNION ALL SELECT 'row_count', 'fact_competitor_market', COUNT(*) FROM fact_competitor_market\n"
-        "UNION ALL SELECT 'null_total_sales', 'fact_internal_sales', COUNT(*) FROM fact_internal_sales "
-        "WHERE total_sales IS NULL\n"
-        "UNION ALL SELECT 'rows_dropped_by_fact_join', 'fact_internal_sales', "
-        "(SELECT COUNT(*) FROM clean_internal) - (SELECT COUNT(*) FROM fact_internal_sales)")
+    def n(check, name, source, where="TRUE"):
+        return f"SELECT '{check}' AS \"check\", '{name}' AS table_name, COUNT(*) AS value FROM {source} WHERE {where}"
+
+    fi, fc, bad = "fact_internal_sales", "fact_competitor_market", "reported_week IS NOT NULL AND week_start IS NULL"
+    counts = [n("row_count", t, t) for t in ("dim_time", "dim_product", "dim_category", "dim_retailer", fi, fc)]
+    counts += [n("null_total_sales", fi, fi, "total_sales IS NULL"),
+               n("unparseable_date", fi, "clean_internal", bad),
+               n("dropped_date", fi, "clean_internal", "week_start IS NULL"),
+               n("dropped_product", fi, "clean_internal", "week_start IS NOT NULL AND sku_id IS NULL"),
+               n("dropped_category", fi, "clean_internal", "category IS NULL"),
+               n("dropped_retailer", fi, "clean_internal", "retailer IS NULL"),
+               n("unparseable_date", fc, "competitor", "week_start IS NULL"),
+               n("dropped_date", fc, "competitor", "week_start IS NULL"),
+               n("dropped_category", fc, "competitor", "category IS NULL"),
+               n("dropped_retailer", fc, "competitor", "retailer IS NULL"),
+               n("null_competitor_volume", fc, "competitor", "competitor_volume IS NULL")]
+    q["quality_counts"] = _q("\nUNION ALL ".join(counts))
     audits = []
-    for a in ("brand", "variant", "category", "retailer"):
-        n_unknown = f"COUNT(*) FILTER (WHERE {a} = 'Unknown')"
-        audits.append(f"SELECT '{a}' AS attribute, CAST({n_unknown} AS BIGINT) AS unknown_rows, "
-                      f"CAST(COUNT(*) AS BIGINT) AS total_rows, "
-                      f"{ratio(n_unknown, 'COUNT(*)')} AS unknown_percent FROM fi")
+    for t, src, attrs_of in ((fi, "fi", ("brand", "variant", "category", "retailer")),
+                             (fc, "fc", ("category", "retailer"))):
+        for a in attrs_of:
+            n_unknown = f"COUNT(*) FILTER (WHERE {a} = 'Unknown')"
+            audits.append(f"SELECT '{t}' AS table_name, '{a}' AS attribute, "
+                          f"CAST({n_unknown} AS BIGINT) AS unknown_rows, "
+                          f"CAST(COUNT(*) AS BIGINT) AS total_rows, "
+                          f"{ratio(n_unknown, 'COUNT(*)')} AS unknown_percent FROM {src}")
     q["unknown_audit"] = _q(" UNION ALL ".join(audits))
     q["imputed_audit"] = _q(
         "SELECT year, CAST(COUNT(*) FILTER (WHERE is_imputed) AS BIGINT) AS imputed_rows, "
@@ -245,14 +301,11 @@ def oracle_sql() -> dict[str, str]:
         "CAST(SUM(money) AS DOUBLE) AS total_revenue, "
         f"{ratio('SUM(CASE WHEN is_imputed THEN money END)', 'SUM(money)')} AS imputed_share_percent "
         "FROM fi GROUP BY year")
-    nonnum = (f"(CASE WHEN isnan(TRY_CAST(trim(reported_text, {WS}) AS DOUBLE)) THEN NULL "
-              f"ELSE TRY_CAST(trim(reported_text, {WS}) AS DOUBLE) END) IS NULL")
     q["sales_text_audit"] = _q(
         "SELECT year(week_start) AS year, CAST(COUNT(*) AS BIGINT) AS rows, "
-        "CAST(COUNT(*) FILTER (WHERE reported_text IS NULL OR reported_text = '') AS BIGINT) "
-        "AS missing_reported, "
-        "CAST(COUNT(*) FILTER (WHERE NOT (reported_text IS NULL OR reported_text = '') "
-        f"AND {nonnum}) AS BIGINT) AS unparseable_reported, "
+        "CAST(COUNT(*) FILTER (WHERE reported_text IS NULL) AS BIGINT) AS missing_reported, "
+        "CAST(COUNT(*) FILTER (WHERE reported_text IS NOT NULL AND reported IS NULL) AS BIGINT) "
+        "AS unparseable_reported, "
         "CAST(COUNT(*) FILTER (WHERE is_imputed) AS BIGINT) AS imputed_rows, "
         "CAST(COUNT(*) FILTER (WHERE total_sales IS NULL) AS BIGINT) AS null_sales "
         "FROM clean_internal GROUP BY year(week_start)")
@@ -261,11 +314,17 @@ def oracle_sql() -> dict[str, str]:
         "ORDER BY week_start NULLS FIRST, brand NULLS FIRST, category NULLS FIRST, "
         "retailer NULLS FIRST, volume NULLS FIRST, total_sales NULLS FIRST LIMIT 5")
     q["total_revenue"] = _q(f"SELECT {rev()} AS total_revenue FROM fi")
+    q["total_revenue_from_fact"] = q["total_revenue"]
     q["total_revenue_filtered"] = _q(
         f"SELECT {rev()} AS total_revenue FROM fi WHERE year = {Y} AND brand = {B}")
     q["brand_revenue"] = _q(f"SELECT {rev()} AS total_revenue FROM fi WHERE brand = {B}")
     q["total_revenue_year_brand"] = _q(
         f"SELECT year, brand, {rev()} AS total_revenue FROM fi GROUP BY year, brand")
+    q["rebuild_roundtrip"] = q["total_revenue_year_brand"]
+    q["rebuild_twice"] = _q(f"SELECT year, brand, {rev()} AS total_revenue FROM fi "
+                            "WHERE NOT regexp_matches(Reported_SKU, '[13579] *$') GROUP BY year, brand")
+    q["resolve_fuzzy"] = _q("SELECT DISTINCT entity, raw, canonical, match_tier FROM cases "
+                            "WHERE raw IS NOT NULL", CASES)
     q["total_revenue_empty_year"] = _q(
         f"SELECT {rev()} AS total_revenue FROM fi WHERE year = {EY} AND brand = {B}")
     q["yoy_growth"] = _q(
@@ -345,9 +404,10 @@ def oracle_sql() -> dict[str, str]:
                f"m AS (SELECT CAST(SUM(competitor_volume) AS DOUBLE) AS v, SUM(money) AS s FROM fc "
                f"WHERE year = {Y} AND category = {CAT})")
     q["period_rollup"] = _q(
-        f"SELECT year, quarter, month, CAST(GROUPING(year, quarter, month) AS BIGINT) AS level_id, "
+        f"SELECT year, quarter, month, week_start, "
+        f"CAST(GROUPING(year, quarter, month, week_start) AS BIGINT) AS level_id, "
         f"{rev()} AS total_revenue, SUM(volume) AS total_volume FROM fi "
-        f"GROUP BY ROLLUP (year, quarter, month)")
+        f"GROUP BY ROLLUP (year, quarter, month, week_start)")
     q["hierarchy_rollup"] = _q(
         f"SELECT category, brand, variant, sku_id, "
         f"CAST(GROUPING(category, brand, variant, sku_id) AS BIGINT) AS level_id, "

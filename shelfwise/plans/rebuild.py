@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import SKU_DIGITS
 from ..operators.clean import clean_feeds
-from ..operators.star import build_star, read_star, weekly_summary, write_star
+from ..operators.star import build_star, read_star, write_star
 from ..session import stage
 from ..sources.feeds import read_alias_csv, read_competitor_csv, read_internal_csv
 
 
-def rebuild_star(spark: SparkSession, internal: DataFrame, competitor: DataFrame,
-                 aliases: dict[str, DataFrame], out: str) -> dict[str, DataFrame]:
+def rebuild(spark: SparkSession, internal: DataFrame, competitor: DataFrame,
+            aliases: dict[str, DataFrame], out: str,
+            sku_digits: int = SKU_DIGITS) -> dict[str, dict | DataFrame]:
     """Clean both raw feeds, build the star and write it to ``out`` (replacing
-    what was there), then return the written tables."""
-    ci, cc = clean_feeds(internal, competitor, aliases)
+    what was there).  Returns ``star`` (the written tables) and the cleaned
+    feeds ``internal`` and ``competitor``, each written once."""
+    ci, cc = clean_feeds(internal, competitor, aliases, sku_digits=sku_digits)
     ci, cc = stage(ci, "clean-internal"), stage(cc, "clean-competitor")
-    star = build_star(ci, cc, materialize=True)
-    star["fact_weekly_summary"] = weekly_summary(star)
-    write_star(star, out, mode="overwrite")
-    return read_star(spark, out)
+    write_star(build_star(ci, cc), out, mode="overwrite")
+    return {"star": read_star(spark, out), "internal": ci, "competitor": cc}
+
+
+def rebuild_star(spark: SparkSession, internal: DataFrame, competitor: DataFrame,
+                 aliases: dict[str, DataFrame], out: str,
+                 sku_digits: int = SKU_DIGITS) -> dict[str, DataFrame]:
+    """:func:`rebuild`, the written tables alone."""
+    return rebuild(spark, internal, competitor, aliases, out, sku_digits)["star"]
 
 
 def rebuild_from_csv(spark: SparkSession, internal_path: str, competitor_path: str,
-                     alias_paths: dict[str, str], out: str) -> dict[str, DataFrame]:
+                     alias_paths: dict[str, str], out: str,
+                     sku_digits: int = SKU_DIGITS) -> dict[str, dict | DataFrame]:
     """The rebuild from the feeds' CSV files and one alias CSV per entity
     (``brand``, ``category``, ``retailer``, ``variant``)."""
     aliases = {k: read_alias_csv(spark, p) for k, p in alias_paths.items()}
-    return rebuild_star(spark, read_internal_csv(spark, internal_path),
-                        read_competitor_csv(spark, competitor_path), aliases, out)
+    return rebuild(spark, read_internal_csv(spark, internal_path),
+                   read_competitor_csv(spark, competitor_path), aliases, out, sku_digits)

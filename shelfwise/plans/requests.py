@@ -45,9 +45,8 @@ def answer_revenue_questions(star: dict, questions: DataFrame, brands: DataFrame
         F.lower("question").contains(guard.lower()).alias("answerable"))
     index = brands.select(F.lit(0).alias("e"), F.lower("brand").alias("alias"),
                           F.col("brand").alias("canonical"), "rank")
-    max_len = brands.agg(F.max(F.length("brand"))).first()[0]
     found = match_substring(q.select(F.lit(0).alias("e"), F.col("question").alias("raw")),
-                            index, max_len)
+                            index)
     q = q.join(found.select(F.col("raw").alias("question"), F.col("canonical").alias("brand")),
                "question", "left")
     cube = revenue_cube(star).select(F.col("year").alias("c_year"), F.col("brand").alias("c_brand"),

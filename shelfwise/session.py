@@ -95,6 +95,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A short text file; None where there is none."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return "".join(r.value for r in spark.read.text(path).collect()).strip()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a short text file in one step: written beside it, then renamed
+    over it."""
+    sc = spark.sparkContext
+    fs_api = sc._jvm.org.apache.hadoop.fs
+    new, old = fs_api.Path(f"{path}.{uuid.uuid4().hex}"), fs_api.Path(path)
+    conf = sc._jsc.hadoopConfiguration()
+    out = old.getFileSystem(conf).create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = sc._gateway.new_array(fs_api.Options.Rename, 1)
+    rename[0] = getattr(fs_api, "Options$Rename").OVERWRITE
+    fs_api.FileContext.getFileContext(old.toUri(), conf).rename(new, old, rename)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Remove every table this application has staged.  For the end of a job:
     DataFrames read from staged tables cannot be evaluated afterwards."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import try_double
+from ..functions.numeric import try_double, try_long
 
 # The column names of the two feeds.
 INTERNAL_COLUMNS = ("Reported_SKU", "Reported_Brand", "Reported_Category", "Reported_Retailer",
@@ -23,47 +23,79 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def _read_strings(spark: SparkSession, path: str, columns) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("enforceSchema", False).csv(path))
+# Padding is part of a reported text: neither reader nor writer may trim it.
+CSV_OPTIONS = {"header": True, "enforceSchema": False, "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False, "quote": '"', "escape": '"'}
+
+
+def string_schema(columns) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+
+
+def without_na(df: DataFrame, columns) -> DataFrame:
+    """The columns with every missing-value token as NULL."""
     return df.select(*[F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in columns])
 
 
+def typed(df: DataFrame, kind: str) -> DataFrame:
+    """Numbers of an all-string feed; NULL where a text is no number or does
+    not fit.  ``Total_Sales`` stays text (it is parsed during cleaning)."""
+    if kind == "internal":
+        return df.withColumns({"Volume": try_double("Volume"),
+                               "Unit_Price": try_double("Unit_Price")})
+    return df.withColumns({"Competitor_Volume": try_long("Competitor_Volume"),
+                           "Competitor_Sales": try_double("Competitor_Sales")})
+
+
+KINDS = {"internal": INTERNAL_COLUMNS, "competitor": COMPETITOR_COLUMNS}
+
+
+def _read_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Columns are found by name: with ``enforceSchema`` off Spark checks the
+    header of every file against the schema, which is put in the file's order."""
+    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    missing = [c for c in KINDS[kind] if c not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    df = spark.read.schema(string_schema(names)).options(**CSV_OPTIONS).csv(path)
+    return typed(without_na(df, KINDS[kind]), kind)
+
+
 def read_internal_csv(spark: SparkSession, path: str) -> DataFrame:
     """The internal feed: text columns as text, ``Volume`` and ``Unit_Price``
     as DOUBLE, ``Total_Sales`` kept as text (parsed during cleaning)."""
-    df = _read_strings(spark, path, INTERNAL_COLUMNS)
-    return df.withColumns({"Volume": try_double("Volume"), "Unit_Price": try_double("Unit_Price")})
+    return _read_csv(spark, path, "internal")
 
 
 def read_competitor_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = _read_strings(spark, path, COMPETITOR_COLUMNS)
-    return df.withColumns({
-        "Competitor_Volume": try_double("Competitor_Volume").cast("bigint"),
-        "Competitor_Sales": try_double("Competitor_Sales")})
+    return _read_csv(spark, path, "competitor")
 
 
 def read_alias_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An alias table ``alias, canonical`` in file order; ``rank`` is the line
-    position unless the file has a ``rank`` column."""
-    df = spark.read.option("header", True).csv(path)
+    """An alias table ``alias, canonical, rank``; rank decides between several
+    contained keys.  Without a rank column the order of the lines is the rank,
+    which only one unsplit file has: the path must then hold a single one."""
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "enforceSchema"}
+    df = spark.read.options(**options).csv(path)
     if "rank" in df.columns:
         return df.select("alias", "canonical", F.col("rank").cast("int"))
-    # file order: position of the row within the (single, small) file
+    if len(df.inputFiles()) > 1:
+        raise ValueError(f"{path}: several files have no line order; give a rank column")
+    # multiLine keeps the one file in one task, so the ids follow its lines
+    df = spark.read.options(**options, multiLine=True).csv(path)
     return df.select("alias", "canonical",
-                     F.row_number().over(_file_order()).cast("int").alias("rank"))
+                     (F.monotonically_increasing_id() + 1).cast("int").alias("rank"))
 
 
-def _file_order():
-    from pyspark.sql import Window
-    return Window.orderBy(F.monotonically_increasing_id())
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A CSV dataset with a header whose padding survives."""
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "enforceSchema"}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write a cleaned feed as a dataset (parquet, or CSV with a header)."""
-    w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        write_csv(df, path, mode)
     else:
-        w.parquet(path)
+        df.write.mode(mode).parquet(path)

@@ -9,8 +9,14 @@ rules in SQL (``shelfwise.plans.oracle``), so both engines see the same input.
 * category = part type, brand = part brand, variant = second word of the part
   name, retailer = customer market segment, week = ISO Monday of the ship date;
 * the internal feed keeps one row per line (SKU x retailer x week grain) with
-  spellings, SKU codes, prices and dates corrupted by rules on the keys;
+  spellings, SKU codes, totals, prices and dates corrupted by rules on the keys;
 * the competitor feed is aggregated to category x retailer x week.
+
+The corrupted spellings reach every resolution tier, and each rule fixes the
+answer by construction: a padded, re-cased or one-letter form is an alias key; a
+name inside other words contains its own key and no other; a name with a ``q``
+in it is nearer to itself than to any other; NULL and junk resemble nothing and
+are ``Unknown``.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ from .tables import table
 INTERNAL_REGION = "AMERICA"
 
 
-def suppliers_in_region(spark: SparkSession, sf_dir: str, inside: bool = True) -> DataFrame:
-    """Supplier keys whose nation is (or is not) in the internal region.
+def suppliers_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier keys whose nation is in the internal region.
 
     nation (25 rows) and region (5 rows) are fixed-size tables, so their
     broadcast is bounded; the supplier side grows with the data and is
@@ -36,7 +42,7 @@ def suppliers_in_region(spark: SparkSession, sf_dir: str, inside: bool = True) -
     t = lambda n: table(spark, sf_dir, n)
     cond = F.col("r_name") == INTERNAL_REGION
     nations = (t("nation").select("n_nationkey", "n_regionkey")
-               .join(F.broadcast(t("region").filter(cond if inside else ~cond)
+               .join(F.broadcast(t("region").filter(cond)
                                  .select("r_regionkey")),
                      F.col("n_regionkey") == F.col("r_regionkey"), "left_semi"))
     return (t("supplier").select("s_suppkey", "s_nationkey")
@@ -44,16 +50,13 @@ def suppliers_in_region(spark: SparkSession, sf_dir: str, inside: bool = True) -
             .select("s_suppkey"))
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, internal: bool) -> DataFrame:
-    """Line-level view of one feed: the lines whose supplier is (``internal``)
-    or is not in the internal region, with their sales attributes.
+def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-level view of both feeds with their sales attributes;
+    ``is_internal`` tells whether the supplier is in the internal region.
 
-    The region condition is a left-semi join of lineitem with the matching
-    supplier keys: the line table stays the streamed side and its size
-    estimate is not inflated by a join chain, so only the small sides (the
-    supplier set, part, orders, customer, when their measured size allows)
-    are ever broadcast.  Part, orders and customer follow as equi joins that
-    AQE plans as broadcast or shuffled joins from runtime sizes.
+    One scan of the lines.  The supplier flag, part, orders and customer are
+    equi joins that AQE plans as broadcast or shuffled joins from runtime
+    sizes; the line table stays the streamed side.
     """
     t = lambda n: table(spark, sf_dir, n)
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -61,22 +64,25 @@ def sales_lines(spark: SparkSession, sf_dir: str, internal: bool) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey")
     c = t("customer").select("c_custkey", "c_mktsegment")
     p = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    lines = (li.join(suppliers_in_region(spark, sf_dir, internal),
-                     F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    inside = suppliers_in_region(spark, sf_dir).withColumn("own", F.lit(True))
+    everyone = t("supplier").select("s_suppkey").join(inside, "s_suppkey", "left")
+    lines = (li.join(everyone, F.col("l_suppkey") == F.col("s_suppkey"))
              .join(p, F.col("l_partkey") == F.col("p_partkey"))
              .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
              .join(c, F.col("o_custkey") == F.col("c_custkey")))
+    k = F.col("p_partkey")
     return lines.select(
         "l_orderkey", "l_linenumber", "p_partkey",
         F.col("l_quantity").alias("volume"),
-        F.col("p_retailprice").alias("unit_price"),
+        # prices below a cent, so that a rounded factor would show
+        (F.col("p_retailprice") + F.pmod(k, F.lit(8)) * F.lit(0.125)).alias("unit_price"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         week_start("l_shipdate").alias("week_start"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
         F.split_part("p_name", F.lit(" "), F.lit(2)).alias("variant"),
         F.col("c_mktsegment").alias("retailer"),
-        F.lit(internal).alias("is_internal"))
+        F.coalesce("own", F.lit(False)).alias("is_internal"))
 
 
 def _by(key: Column, n: int, cases: dict, default: Column) -> Column:
@@ -88,62 +94,93 @@ def _by(key: Column, n: int, cases: dict, default: Column) -> Column:
     return out.otherwise(default)
 
 
+# Digits of a display code (it holds every part key), the text
+# that stands for no entity, and the forms of a name by ``key % FORMS``.
+SKU_WIDTH = 9
+JUNK = "qqqqqqqqqqqqqqqqqqqqqqqq"
+FORMS = 20
+FORM_NULL, FORM_JUNK = 17, 18
+
+
+def messy(name: Column, key: Column, contained: bool = True) -> Column:
+    """A reported spelling of ``name``.  ``contained``: also inside other words
+    (not for names that hold another name, like Brand#13 and Brand#1)."""
+    inside = F.concat(F.lit("the "), F.lower(name), F.lit(" co")) if contained else name
+    return _by(key, FORMS, {
+        8: F.upper(name),
+        9: F.concat(F.lit("  "), F.lower(name), F.lit("\t")),
+        10: typo(name, 2, "x"),
+        11: F.concat(name, F.lit("\u00a0")),
+        12: F.concat(F.lit("\u3000 "), F.upper(name)),
+        13: inside,
+        14: F.concat(F.lit("\u00a0"), inside, F.lit(" ")),
+        15: typo(name, 2, "q"),
+        16: F.lower(typo(name, 2, "q")),
+        19: F.upper(typo(name, 2, "q")),
+        FORM_NULL: F.lit(None).cast("string"),
+        FORM_JUNK: F.lit(JUNK)}, name)
+
+
 def sku_code(partkey) -> Column:
-    """Four-digit display code of a part (``p_partkey % 10000``)."""
-    return F.lpad(F.pmod(F.col(partkey), F.lit(10000)).cast("string"), 4, "0")
+    """Display code of a part, as wide as ``SKU_WIDTH``."""
+    return F.lpad(F.col(partkey).cast("string"), SKU_WIDTH, "0")
 
 
-def raw_internal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_internal_feed(lines: DataFrame) -> DataFrame:
     """The internal weekly feed as received: messy text, string totals."""
-    s = sales_lines(spark, sf_dir, internal=True)
-    k = F.col("p_partkey")
-    ln = F.col("l_orderkey") + F.col("l_linenumber")
-    code = sku_code("p_partkey")
-    brand, cat, ret, var = (F.col(x) for x in ("brand", "category", "retailer", "variant"))
+    s = lines.where("is_internal")
+    k, o = F.col("p_partkey"), F.col("l_orderkey")
+    ln = o + F.col("l_linenumber")
+    code, amount = sku_code("p_partkey"), F.col("amount").cast("string")
+    week = F.col("week_start")
     return s.select(
         _by(k, 10, {0: F.lit(None).cast("string"),
                     1: F.concat(F.lit("sku a"), code),
                     2: F.concat(F.lit("SKU-"), code, F.lit("7")),
-                    3: F.concat(F.lit(" sku-"), code, F.lit(" ")),
+                    3: F.concat(F.lit(" sku-"), code, F.lit("\u00a0")),
                     4: F.concat(F.lit("SKU-"), F.translate(code, "0", "Z")),
                     5: F.when(F.pmod(k, F.lit(100)) == 5, F.lit("unassigned"))
                         .otherwise(F.concat(F.lit("SKU-"), code))},
             F.concat(F.lit("SKU-"), code)).alias("Reported_SKU"),
-        _by(k, 7, {1: F.upper(brand),
-                   2: F.concat(F.lit("  "), F.lower(brand), F.lit(" ")),
-                   3: typo(brand, 2, "x")}, brand).alias("Reported_Brand"),
-        _by(k, 5, {1: F.lower(cat),
-                   2: F.concat(F.lit(" "), cat, F.lit("  ")),
-                   3: typo(cat, 2, "e")}, cat).alias("Reported_Category"),
-        _by(F.col("l_orderkey"), 4, {1: F.lower(ret),
-                                     2: F.concat(F.lit("  "), ret),
-                                     3: typo(ret, 3, "s")}, ret).alias("Reported_Retailer"),
-        _by(k, 3, {1: F.upper(var), 2: typo(var, 1, "z")}, var).alias("Reported_Variant"),
+        messy(F.col("brand"), k, contained=False).alias("Reported_Brand"),
+        messy(F.col("category"), k + F.col("l_linenumber")).alias("Reported_Category"),
+        messy(F.col("retailer"), o).alias("Reported_Retailer"),
+        messy(F.col("variant"), ln).alias("Reported_Variant"),
         F.col("volume").alias("Volume"),
         F.when(F.pmod(ln, F.lit(20)) != 0, F.col("unit_price")).alias("Unit_Price"),
         _by(ln, 10, {0: F.lit(None).cast("string"),
                      3: F.lit(""),
-                     5: F.when(F.pmod(F.col("p_partkey"), F.lit(2)) == 0, F.lit("n/a"))
-                         .otherwise(F.col("amount").cast("string"))},
-            F.col("amount").cast("string")).alias("Total_Sales"),
-        F.when(F.pmod(F.col("l_orderkey"), F.lit(9)) == 4,
-               F.date_format("week_start", "yyyy/MM/dd"))
-         .otherwise(F.date_format("week_start", "yyyy-MM-dd")).alias("Week_Start"))
-
-
-def raw_competitor_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+                     5: F.when(F.pmod(k, F.lit(2)) == 0, F.lit("n/a")).otherwise(amount),
+                     6: F.when(F.pmod(k, F.lit(3)) == 0, F.lit("1e400")).otherwise(amount),
+                     7: F.when(F.pmod(k, F.lit(2)) == 0, F.concat(amount, F.lit("D")))
+                         .otherwise(F.concat(F.lit("\u00a0"), amount, F.lit(" "))),
+                     8: F.when(F.pmod(k, F.lit(4)) == 0, F.lit("approx. 12"))
+                         .otherwise(amount)}, amount).alias("Total_Sales"),
+        _by(o, 20, {2: F.date_format(week, "yyyy/MM/dd"),
+                    3: F.date_format(week, "yyyy-MM-dd'T'HH:mm:ss"),
+                    4: F.date_format(week, "yyyy-MM-dd HH:mm:ss.SSS"),
+                    5: F.date_format(week, "yyyy-M-d"),
+                    6: F.date_format(week, "MM/dd/yyyy"),
+                    7: F.date_format(week, "MM-dd-yyyy"),
+                    8: F.date_format(week, "d MMM yyyy"),
+                    9: F.lit("week unknown")},
+            F.date_format(week, "yyyy-MM-dd")).alias("Week_Start"))
+
+
+def raw_competitor_feed(lines: DataFrame) -> DataFrame:
     """The competitor feed as received: category x retailer x week totals."""
-    s = sales_lines(spark, sf_dir, internal=False)
-    agg = s.groupBy("category", "retailer", "week_start").agg(
+    agg = lines.where("NOT is_internal").groupBy("category", "retailer", "week_start").agg(
         F.sum("volume").cast("bigint").alias("Competitor_Volume"),
         F.sum("amount").cast("double").alias("Competitor_Sales"))
-    d = F.dayofyear("week_start")
-    cat, ret = F.col("category"), F.col("retailer")
+    d, week = F.dayofyear("week_start"), F.col("week_start")
     return agg.select(
-        _by(d, 3, {1: F.lower(cat), 2: F.concat(F.lit(" "), cat)}, cat).alias("Reported_Category"),
-        _by(d, 2, {1: F.upper(typo(ret, 2, "a"))}, ret).alias("Reported_Retailer"),
-        "Competitor_Volume", "Competitor_Sales",
-        F.date_format("week_start", "yyyy-MM-dd").alias("Week_Start"))
+        messy(F.col("category"), d).alias("Reported_Category"),
+        messy(F.col("retailer"), d + F.year("week_start")).alias("Reported_Retailer"),
+        F.when(F.pmod(d, F.lit(11)) == 3, F.lit("1e30"))
+         .otherwise(F.col("Competitor_Volume").cast("string")).alias("Competitor_Volume"),
+        "Competitor_Sales",
+        _by(d, 30, {4: F.lit("week unknown"), 9: F.date_format(week, "yyyy/M/d")},
+            F.date_format(week, "yyyy-MM-dd")).alias("Week_Start"))
 
 
 def canonical_sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -14,35 +14,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.text import SKU_DIGITS
 from ..operators.clean import clean_feeds
-from ..sources.feeds import COMPETITOR_COLUMNS, INTERNAL_COLUMNS, NA_TOKENS
-from ..functions.numeric import try_double
+from ..sources.feeds import CSV_OPTIONS, KINDS, string_schema, typed, without_na
 
-KINDS = {"internal": INTERNAL_COLUMNS, "competitor": COMPETITOR_COLUMNS}
 
-
-def _stream(spark: SparkSession, folder: str, columns) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    df = spark.readStream.schema(schema).option("header", True).csv(folder)
-    return df.select(*[F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in columns])
+def _stream(spark: SparkSession, folder: str, kind: str, columns) -> DataFrame:
+    """The header of every file is checked against ``columns`` (the order in
+    which the drops have them): a file in another order stops the stream with
+    an error instead of filling the wrong columns."""
+    df = spark.readStream.schema(string_schema(columns)).options(**CSV_OPTIONS).csv(folder)
+    return typed(without_na(df, KINDS[kind]), kind)
 
 
 def ingest(spark: SparkSession, kind: str, folder: str, out: str, checkpoint: str,
-           aliases: dict[str, DataFrame], available_now: bool = True):
-    """Start the stream for ``kind`` (``internal`` or ``competitor``)."""
-    raw = _stream(spark, folder, KINDS[kind])
-    if kind == "internal":
-        raw = raw.withColumns({"Volume": try_double("Volume"),
-                               "Unit_Price": try_double("Unit_Price")})
-    else:
-        raw = raw.withColumns({"Competitor_Volume": try_double("Competitor_Volume").cast("bigint"),
-                               "Competitor_Sales": try_double("Competitor_Sales")})
+           aliases: dict[str, DataFrame], available_now: bool = True, columns=None,
+           sku_digits: int = SKU_DIGITS):
+    """Start the stream for ``kind`` (``internal`` or ``competitor``);
+    ``columns``: the drops' column order, if not the usual one."""
+    raw = _stream(spark, folder, kind, columns or KINDS[kind])
 
     def land(batch: DataFrame, batch_id: int) -> None:
         if kind == "internal":
-            clean, _ = clean_feeds(batch, None, aliases)
+            clean, _ = clean_feeds(batch, None, aliases, sku_digits=sku_digits)
         else:
             _, clean = clean_feeds(None, batch, aliases)
         (clean.withColumn("batch_id", F.lit(batch_id))

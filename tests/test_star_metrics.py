@@ -18,18 +18,18 @@ D = dt.date
 def star(spark):
     internal = spark.createDataFrame([
         # sku, brand, category, retailer, variant, volume, total_sales, imputed, week
-        ("SKU-0001", "ColaMax", "Beverages", "MegaMart", "Classic", 10.0, 100.0, False, D(2023, 1, 2)),
-        ("SKU-0001", "ColaMax", "Beverages", "MegaMart", "Classic", 5.0, 50.0, True, D(2024, 1, 1)),
-        ("SKU-0002", "FizzPop", "Beverages", "WebCart", "Diet", 1.0, 30.0, False, D(2024, 1, 8)),
-        ("SKU-0003", "DoughBoy", "Snacks", "WebCart", "BBQ", 2.0, None, False, D(2024, 12, 30)),
-        (None, "DoughBoy", "Snacks", "WebCart", "BBQ", 7.0, 70.0, False, D(2024, 1, 8)),
-        ("SKU-0004", "Zap", "Snacks", "MegaMart", "Classic", 3.0, 0.0, False, D(2022, 6, 6)),
+        ("SKU-0001", "Arlo", "Lamps", "Harbor", "Matte", 10.0, 100.0, False, D(2023, 1, 2)),
+        ("SKU-0001", "Arlo", "Lamps", "Harbor", "Matte", 5.0, 50.0, True, D(2024, 1, 1)),
+        ("SKU-0002", "Croaker", "Lamps", "Quay", "Raw", 1.0, 30.0, False, D(2024, 1, 8)),
+        ("SKU-0003", "Basalt", "Tiles", "Quay", "Gloss", 2.0, None, False, D(2024, 12, 30)),
+        (None, "Basalt", "Tiles", "Quay", "Gloss", 7.0, 70.0, False, D(2024, 1, 8)),
+        ("SKU-0004", "Tansy", "Tiles", "Harbor", "Matte", 3.0, 0.0, False, D(2022, 6, 6)),
     ], "sku_id string, brand string, category string, retailer string, variant string, "
        "volume double, total_sales double, is_imputed boolean, week_start date")
     competitor = spark.createDataFrame([
-        ("Beverages", "MegaMart", 100, 900.0, D(2024, 1, 1)),
-        ("Snacks", "CornerStore", 50, 400.0, D(2024, 1, 15)),
-        ("Frozen", "MegaMart", 5, 10.0, D(2021, 3, 1)),
+        ("Lamps", "Harbor", 100, 900.0, D(2024, 1, 1)),
+        ("Tiles", "Cellar", 50, 400.0, D(2024, 1, 15)),
+        ("Rugs", "Harbor", 5, 10.0, D(2021, 3, 1)),
     ], "category string, retailer string, competitor_volume bigint, competitor_sales double, "
        "week_start date")
     return build_star(time_attributes(internal), time_attributes(competitor), materialize=False)
@@ -42,8 +42,8 @@ def rows(df, *cols):
 
 def test_dimensions_conformed_and_dense(star):
     assert rows(star["dim_category"], "category_id", "category") == [
-        (1, "Beverages"), (2, "Frozen"), (3, "Snacks")]
-    assert rows(star["dim_retailer"], "retailer") == [("CornerStore",), ("MegaMart",), ("WebCart",)]
+        (1, "Lamps"), (2, "Rugs"), (3, "Tiles")]
+    assert rows(star["dim_retailer"], "retailer") == [("Cellar",), ("Harbor",), ("Quay",)]
     t = rows(star["dim_time"], "date_id", "week_start", "year", "week_number", "iso_year")
     assert [r[0] for r in t] == list(range(1, 8))   # 7 distinct weeks over both feeds
     assert (D(2024, 12, 30), 2024, 1, 2025) in [r[1:] for r in t]
@@ -70,7 +70,7 @@ def test_dense_key_matches_row_number(spark):
 
 def test_total_revenue(star):
     assert M.total_revenue(star).collect()[0][0] == 180.0
-    assert M.total_revenue(star, year=2024, brand="ColaMax").collect()[0][0] == 50.0
+    assert M.total_revenue(star, year=2024, brand="Arlo").collect()[0][0] == 50.0
     empty = M.total_revenue(star, year=2019).collect()
     assert len(empty) == 1 and empty[0][0] is None
 
@@ -80,19 +80,19 @@ def test_yoy(star):
     assert len(r) == 1 and r[0].current_year_revenue == 80.0 and r[0].previous_year_revenue == 100.0
     assert r[0].yoy_growth_percent == -20.0
     assert M.yoy_growth(star, 2019).count() == 0                      # no current year: no row
-    r = M.yoy_growth(star, 2023, brand="ColaMax").collect()[0]
+    r = M.yoy_growth(star, 2023, brand="Arlo").collect()[0]
     assert r.previous_year_revenue is None and r.yoy_growth_percent is None  # no previous year
     by = {(r.brand, r.current_year): r.yoy_growth_percent for r in M.yoy_growth_by(star, ["brand"]).collect()}
     win = {(r.brand, r.current_year): r.yoy_growth_percent
-           for r in M.yoy_growth_window(star, ["brand"]).collect()}
-    assert by == win and by[("ColaMax", 2024)] == -50.0
+           for r in M.yoy_growth_join(star, ["brand"]).collect()}
+    assert by == win and by[("Arlo", 2024)] == -50.0
 
 
 def test_yoy_zero_previous_is_null(spark):
     # previous-year revenue of exactly 0: growth is NULL, not an error or inf
     internal = spark.createDataFrame([
-        ("S1", "Zap", "Snacks", "MegaMart", "Classic", 1.0, 0.0, False, D(2022, 6, 6)),
-        ("S1", "Zap", "Snacks", "MegaMart", "Classic", 1.0, 40.0, False, D(2023, 6, 5)),
+        ("S1", "Tansy", "Tiles", "Harbor", "Matte", 1.0, 0.0, False, D(2022, 6, 6)),
+        ("S1", "Tansy", "Tiles", "Harbor", "Matte", 1.0, 40.0, False, D(2023, 6, 5)),
     ], "sku_id string, brand string, category string, retailer string, variant string, "
        "volume double, total_sales double, is_imputed boolean, week_start date")
     comp = internal.selectExpr("category", "retailer", "1L AS competitor_volume",
@@ -100,17 +100,17 @@ def test_yoy_zero_previous_is_null(spark):
     s = build_star(time_attributes(internal), time_attributes(comp), materialize=False)
     r = {x.current_year: x for x in M.yoy_growth_by(s, ["brand"]).collect()}
     assert r[2023].previous_year_revenue == 0.0 and r[2023].yoy_growth_percent is None
-    w = {x.current_year: x for x in M.yoy_growth_window(s, ["brand"]).collect()}
+    w = {x.current_year: x for x in M.yoy_growth_join(s, ["brand"]).collect()}
     assert w[2023].yoy_growth_percent is None
 
 
 def test_market_share(star):
-    r = M.market_share(star, year=2024, category="Beverages").collect()[0]
+    r = M.market_share(star, year=2024, category="Lamps").collect()[0]
     assert (r.internal_sales, r.competitor_sales, r.total_market_sales) == (80.0, 900.0, 980.0)
     assert r.market_share_percent == round(80 / 980 * 100, 2)
     g = {(x.year, x.category): x for x in M.market_share_by(star).collect()}
-    assert g[(2021, "Frozen")].internal_sales is None and g[(2021, "Frozen")].market_share_percent is None
-    assert g[(2023, "Beverages")].competitor_sales is None
+    assert g[(2021, "Rugs")].internal_sales is None and g[(2021, "Rugs")].market_share_percent is None
+    assert g[(2023, "Lamps")].competitor_sales is None
     empty = M.market_share(star, year=2030).collect()[0]
     assert empty.internal_sales is None and empty.market_share_percent is None
 
@@ -131,15 +131,15 @@ def test_rollup_subtotals_add_up(star):
 
 
 def test_compare_and_rank(star):
-    piv = C.pct_difference(star, ["year"], "brand", "ColaMax", "FizzPop").filter("year = 2024").collect()[0]
+    piv = C.pct_difference(star, ["year"], "brand", "Arlo", "Croaker").filter("year = 2024").collect()[0]
     assert (piv.revenue_a, piv.revenue_b, piv.pct_difference) == (50.0, 30.0, 66.67)
-    assert C.ranked(star, "brand", 1).collect()[0].brand == "ColaMax"
-    assert C.ranked(star, "brand", 1, ascending=True).collect()[0].brand == "Zap"
+    assert C.ranked(star, "brand", 1).collect()[0].brand == "Arlo"
+    assert C.ranked(star, "brand", 1, ascending=True).collect()[0].brand == "Tansy"
     top = C.top_k_per_group(star, ["category"], "brand", 1).collect()
-    assert sorted((r.category, r.brand) for r in top) == [("Beverages", "ColaMax"), ("Snacks", "Zap")]
+    assert sorted((r.category, r.brand) for r in top) == [("Lamps", "Arlo"), ("Tiles", "Tansy")]
     iv = {(r.year, r.category): r for r in C.internal_vs_competitor(star).collect()}
-    assert iv[(2024, "Beverages")].internal_volume == 6.0
-    assert iv[(2024, "Beverages")].competitor_volume == 100.0   # not repeated per internal row
+    assert iv[(2024, "Lamps")].internal_volume == 6.0
+    assert iv[(2024, "Lamps")].competitor_volume == 100.0   # not repeated per internal row
 
 
 def test_quality(star):
