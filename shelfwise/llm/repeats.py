@@ -15,7 +15,8 @@ starts that share it.
 * Past that, a run is ranked by the bytes of all its strings together.  A
   repeated one is covered as a whole; where ranks still differ within a group,
   the runs are cut into blocks of 16 starts and at last into single starts,
-  and one run of each rank stands for its equals.
+  and one run of each rank stands for its equals.  The group of a block is the
+  385 bytes that all its strings share, so what is unique by then leaves.
 
 All rounds are Spark aggregates and semi-joins on ranks: equal ranks are
 counted within the tasks first, so a passage that a third of the documents
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .textbytes import BASE, MIX_B, mix64, powers, text_buffer
+from .textbytes import MIX_B, mix64, powers, text_buffer
 
 THRESHOLD = 400
 GRAM = 16                  # bytes whose hash elects an anchor
@@ -176,8 +177,9 @@ def settle(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cut_runs(runs: DataFrame, texts: DataFrame, block: int, threshold: int) -> DataFrame:
     """The runs cut into blocks of starts, aligned to the anchor, with the
-    hash of each block's bytes; staged."""
-    per_text = runs.groupBy(*KEY).agg(F.collect_list(F.struct("p", "a", "b", "cls", "open"))
+    hash of each block's bytes (u) and of those that all strings of the whole,
+    unclipped block share (cls); staged."""
+    per_text = runs.groupBy(*KEY).agg(F.collect_list(F.struct("p", "a", "b", "open"))
                                       .alias("runs"))
 
     def run(batches):
@@ -185,9 +187,9 @@ def cut_runs(runs: DataFrame, texts: DataFrame, block: int, threshold: int) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 got = batch.column(3).slice(i, 1).flatten()
-                p, a, b, cls = (got.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
-                                for c in range(4))
-                flag = got.field(4).to_numpy(zero_copy_only=False)
+                p, a, b = (got.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                           for c in range(3))
+                flag = got.field(3).to_numpy(zero_copy_only=False)
                 # block q holds the starts p - block * q - (block - 1) .. p - block * q
                 first, last = (p - b) // block, (p - a) // block
                 count = last - first + 1
@@ -196,18 +198,19 @@ def cut_runs(runs: DataFrame, texts: DataFrame, block: int, threshold: int) -> D
                 lo = np.maximum(a[r], p[r] - block * q - (block - 1))
                 hi = np.minimum(b[r], p[r] - block * q)
                 data, _ = text_buffer(batch.column(2).slice(i, 1))
-                u = np.empty(len(r), np.uint64)
+                u, core = np.empty(len(r), np.uint64), np.empty(len(r), np.uint64)
+                low = p[r] - block * q               # last start of the whole block
                 part = lo // PIECE
                 for k in np.unique(part).tolist():   # a long text in pieces
                     here = np.flatnonzero(part == k)
                     at = int(lo[here].min())
                     span = SpanHash(data[at:int(hi[here].max()) + threshold])
                     u[here] = span(lo[here] - at, hi[here] + threshold - at)
-                name = mix64(cls[r].view(np.uint64) * BASE + q.astype(np.uint64))
+                    core[here] = span(low[here] - at, low[here] - at + threshold - block + 1)
                 row = pa.array(np.full(len(r), i))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(row), batch.column(1).take(row),
-                     *(pa.array(x) for x in (p[r], lo, hi)), pa.array(name.view(np.int64)),
+                     *(pa.array(x) for x in (p[r], lo, hi)), pa.array(core.view(np.int64)),
                      pa.array(u.view(np.int64)), pa.array(flag[r])], names)
 
     kind = ("doc_id long, th long, p long, a long, b long, cls long, u long, open boolean")
@@ -226,11 +229,10 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFra
     texts = stage(rows.join(held, KEY, "left_semi").groupBy(*KEY)
                   .agg(F.first("text").alias("text")), "repeat-texts")
     covered, rest = settle(runs)
-    found = [covered]
-    for block in (BLOCK, 1):
-        covered, rest = settle(cut_runs(rest, texts, block, threshold))
-        found.append(covered)
-    spans = found[0].union(found[1]).union(found[2])
+    in_blocks, rest = settle(cut_runs(rest, texts, BLOCK, threshold))
+    single = cut_runs(rest, texts, 1, threshold)       # a start's rank is its cls
+    alone = not_unique(single, "u").where("open").select(*KEY, "a", "b")
+    spans = covered.union(in_blocks).union(alone)
     return spans.select(*KEY, F.col("a").alias("start"),
                         (F.col("b") + threshold).alias("end")), texts
 
