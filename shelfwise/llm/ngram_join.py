@@ -220,9 +220,23 @@ def ordered_keys(s: np.ndarray, level: np.ndarray, percent: int, edge: int):
 
 def parity(s: np.ndarray) -> bytes:
     """Bitmap whose bits are the parity of the elements hashed to them: two
-    bitmaps differ in at most as many bits as the sets in elements."""
-    bit = (s >> np.uint64(64 - 10)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=BITMAP_BITS) & 1).astype(np.uint8)).tobytes()
+    bitmaps differ in at most as many bits as the sets in elements.  It has a
+    bit an element at least, so it tells large sets apart as well."""
+    width = max(BITMAP_BITS, 1 << max(0, len(s) - 1).bit_length())
+    bit = (s >> np.uint64(65 - width.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded, neighbours
+    onto each other, which is the bitmap of the same set at half the width."""
+    if len(x) < len(y):
+        x, y = y, x
+    wide, narrow = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(wide) > len(narrow):
+        bits = np.unpackbits(wide)
+        wide = np.packbits(bits[0::2] ^ bits[1::2])
+    return int(np.bitwise_count(wide ^ narrow).sum())
 
 
 def describe(docs: DataFrame, level: np.ndarray, edge: int, k: int, percent: int) -> DataFrame:
@@ -310,14 +324,13 @@ def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percent:
 
     def differ(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8)
-                    .reshape(b.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            apart = np.array([bits_apart(x, y) for x, y in zip(
+                b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
             n = (b.column(2).to_numpy() + b.column(3).to_numpy()).astype(np.int64)
             # |A n B| = (|A| + |B| - apart) / 2 at most
             ok = (100 + percent) * (n - apart) >= 2 * percent * n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)],
-                                             ["a", "b"]).filter(pa.array(ok))
+                                             ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     near = stage(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
                  .mapInArrow(differ, "a long, b long"), "near-pairs")
