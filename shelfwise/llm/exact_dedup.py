@@ -15,7 +15,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +31,8 @@ def open_index(spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS) ->
 
     The folder is the index: any session can attach it again, since the bucket
     of a file is part of its name."""
-    name = "digest_index_" + uuid.uuid4().hex
-    spark.sql(f"""CREATE TABLE {name} (digest BINARY, keep_id BIGINT, batch_id STRING)
+    name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
+    spark.sql(f"""CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, batch_id STRING)
         USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS
         LOCATION '{path}'""")
     return name

@@ -189,7 +189,7 @@ def boundary(sizes: np.ndarray, counts: np.ndarray, percent: int) -> int:
     pairs = counts * two * (two - 1) / 2
     lists = counts * one * SCAN_COST
     best, at = None, 0
-    for x in [0, *np.unique(sizes[sizes <= 4096]).astype(int).tolist()]:
+    for x in [0, *np.unique(size_class(np.arange(1, 4097))).tolist()]:
         cost = pairs[sizes <= x].sum() + lists[100 * sizes > percent * x].sum()
         if best is None or cost < best:
             best, at = cost, x

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +49,7 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
     try:
         return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("f"),
                                             F.col("_metadata.row_index").alias("i")))
-    except Exception:  # analysis error: not a plain file scan
-        if not df.columns:
-            raise
+    except AnalysisException:       # no such columns: not a plain file scan
         return stage(df, "rows").withColumn(
             name, F.struct(F.col("_metadata.file_path").alias("f"),
                            F.col("_metadata.row_index").alias("i")))
