@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
+from shelfwise.plans import catalog as E
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
