@@ -15,6 +15,7 @@ long texts are cut like any other.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,10 @@ from ..session import stage
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 300_000      # distinct words an encoder remembers before it starts anew
+CACHE_WORDS = 250_000      # distinct words of a generation; an encoder remembers two
+# Marks that the pre-tokeniser keeps apart from the letters before
+# them (no apostrophe: it also begins 's, 't and the like).
+MARKS = ".,;:!?*%$#&()[]{}<>/|\\+=~^@_\"-"
 SLICE_BYTES = 4 << 20      # texts encoded at a time
 
 TOKEN_SCHEMA = "part int, row_start long, doc_id long, n long, ids binary"
@@ -50,34 +54,62 @@ class WordCachedEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True   # special strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        # by what stands before a word (a space or nothing): this generation's
+        # words and the former one's; the marks after words
+        self.memory: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
+        self.former: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes()
                 for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     @staticmethod
     def _plain(word: str) -> bool:
         return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
-    def _learn(self, memory: dict, words: set, lead: str) -> None:
-        new = [w for w in words if w not in memory]
-        plain = [w for w in new if self._plain(w)]
+    def _learn(self, lead: str, words: set) -> None:
+        memory, former = self.memory[lead], self.former[lead]
+        plain, marked = set(), []
+        for w in words:
+            if w in memory:
+                continue
+            if w in former:
+                memory[w] = former[w]
+                continue
+            base = w.rstrip(MARKS)
+            if len(base) < len(w) and base.isalpha() and max(base) < "\u0250":
+                marked.append((w, base, w[len(base):]))     # letters, then marks
+                if base not in memory:
+                    if base in former:
+                        memory[base] = former[base]
+                    else:
+                        plain.add(base)
+            elif self._plain(w):
+                plain.add(w)
+            else:
+                memory[w] = None
+        plain = list(plain)
         memory.update(zip(plain, self._ids([lead + w for w in plain])))
-        memory.update((w, None) for w in new if not self._plain(w))
+        tails = list({t for _, _, t in marked} - self.tails.keys())
+        self.tails.update(zip(tails, self._ids(tails)))
+        for w, base, tail in marked:
+            memory[w] = memory[base] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        for memory in (self.inner, self.first):
+        for lead, memory in self.memory.items():
             if len(memory) > CACHE_WORDS:
-                memory.clear()
+                self.former[lead], self.memory[lead] = memory, {}
+        if len(self.tails) > CACHE_WORDS:
+            self.tails = {}
         words: set[str] = set()
         for c in cut:
             words.update(c[1:])
-        self._learn(self.inner, words, " ")
-        self._learn(self.first, {c[0] for c in cut}, "")
-        inner, first, out = self.inner, self.first, []
+        self._learn(" ", words)
+        self._learn("", {c[0] for c in cut})
+        inner, first, out = self.memory[" "], self.memory[""], []
         for text, c in zip(texts, cut):
             try:
                 out.append(b"".join([first[c[0]], *[inner[w] for w in c[1:]]]))
@@ -185,7 +217,8 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
                  pa.array(parts, pa.binary()), pa.array(n[row]), pa.array(seq),
                  pa.array(lo - seq * window)], names)
 
-    rows = tokens.join(offsets(tokens), "part").select(
+    # bounded: one row of 12 bytes for each task of pass one
+    rows = tokens.join(F.broadcast(offsets(tokens)), "part").select(
         "doc_id", (F.col("base") + F.col("row_start")).alias("begin"), "n", "ids")
     return rows.mapInArrow(run, PIECE_SCHEMA)
 
