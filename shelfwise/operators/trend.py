@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money, pct_change
+from ..functions.numeric import MONEY, money, pct_change
 from .metrics import internal_lines, revenue
 
 
@@ -37,9 +37,11 @@ def period_trend(star: dict, entity: str, periods=("year", "quarter"), window: i
         F.sum(money("total_sales")).alias("rev"))
     w = Window.partitionBy(entity).orderBy(*periods)
     prev = F.lag("rev").over(w)
-    mov = F.avg(F.col("rev").cast("double")).over(w.rowsBetween(-(window - 1), 0))
+    last = w.rowsBetween(-(window - 1), 0)
+    mean = F.sum("rev").over(last).cast("double") / F.count("rev").over(last)
     return r.select(entity, *periods,
                     F.col("rev").cast("double").alias("total_revenue"),
                     prev.cast("double").alias("previous_revenue"),
                     pct_change(F.col("rev"), prev).alias("change_percent"),
-                    F.round(mov, 2).alias("moving_avg"))
+                    # rounded as a decimal: half a cent goes up on every engine
+                    F.round(mean.cast(MONEY), 2).cast("double").alias("moving_avg"))

@@ -414,12 +414,13 @@ def q_star_sample(spark, sf_dir):
 # ------------------------------------------------------------ sql, requests
 
 ADHOC_SQL = """
-SELECT r.retailer, t.year, ROUND(SUM(CAST(f.total_sales AS DECIMAL(18,2))), 2) AS revenue,
-       COUNT(*) AS line_count
-FROM fact_internal_sales f
-JOIN dim_time t ON f.date_id = t.date_id
-JOIN dim_retailer r ON f.retailer_id = r.retailer_id
-GROUP BY r.retailer, t.year
+WITH own AS (
+  SELECT category_id, date_id, is_imputed, CAST(total_sales AS DECIMAL(28,6)) AS amount
+  FROM fact_internal_sales WHERE volume > 5)
+SELECT category, quarter, SUM(amount) AS revenue,
+       COUNT(DISTINCT date_id) AS weeks_sold, COUNT_IF(is_imputed) AS imputed_lines
+FROM own INNER JOIN dim_category USING (category_id) INNER JOIN dim_time USING (date_id)
+GROUP BY category, quarter
 """
 
 

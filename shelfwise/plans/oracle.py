@@ -415,16 +415,18 @@ def oracle_sql() -> dict[str, str]:
         f"GROUP BY ROLLUP (category, brand, variant, sku_id)")
     wq = "OVER (PARTITION BY category ORDER BY year, quarter)"
     lag = f"LAG(rev) {wq}"
+    last = wq.replace(")", " ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
     q["quarterly_trend"] = _q(
         f"SELECT category, year, quarter, CAST(rev AS DOUBLE) AS total_revenue, "
         f"CAST({lag} AS DOUBLE) AS previous_revenue, {pct('rev', lag)} AS change_percent, "
-        f"ROUND(AVG(CAST(rev AS DOUBLE)) OVER (PARTITION BY category ORDER BY year, quarter "
-        f"ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving_avg "
+        f"CAST(ROUND(CAST(CAST(SUM(rev) {last} AS DOUBLE) / COUNT(rev) {last} AS DECIMAL(28,6)), 2) "
+        f"AS DOUBLE) AS moving_avg "
         f"FROM (SELECT category, year, quarter, SUM(money) AS rev FROM fi "
         f"GROUP BY category, year, quarter) x")
     q["adhoc_sql"] = _q(
-        "SELECT retailer, year, CAST(ROUND(SUM(money), 2) AS DOUBLE) AS revenue, "
-        "COUNT(*) AS line_count FROM fi GROUP BY retailer, year")
+        f"SELECT category, quarter, {rev()} AS revenue, COUNT(DISTINCT week_start) AS weeks_sold, "
+        "COUNT(*) FILTER (WHERE is_imputed) AS imputed_lines FROM fi WHERE volume > 5 "
+        "GROUP BY category, quarter")
     q["kpi_requests"] = _q(KPI_BODY, STAR + ",\n" + KPI_CTES)
     return q
 
