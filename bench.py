@@ -21,10 +21,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shelfwise.plans import catalog  # noqa: E402
-from shelfwise.session import get_spark  # noqa: E402
+from shelfwise.session import clear_stages, get_spark  # noqa: E402
 
 HEADLINE = [
-    "total_revenue", "total_revenue_year_brand", "yoy_growth", "yoy_growth_by_brand",
+    "total_revenue", "total_revenue_from_fact", "total_revenue_year_brand", "yoy_growth", "yoy_growth_by_brand",
     "yoy_growth_window", "market_share", "market_share_by_year_category",
     "compare_brands_pivot", "top_brand_in_category", "bottom_brand", "top_k_per_group",
     "brand_share_in_category", "internal_vs_competitor_volume", "period_rollup",
@@ -80,6 +80,7 @@ def main() -> None:
                       "queries": timings, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
                       "spark": spark.version, "cpus": cpus, "warmup_sec": warmup,
                       "scaling": scaling}))
+    clear_stages(spark)
     spark.stop()
 
 

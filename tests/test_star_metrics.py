@@ -9,7 +9,7 @@ from shelfwise.operators import metrics as M
 from shelfwise.operators import quality as Q
 from shelfwise.operators import trend as T
 from shelfwise.operators.keys import dense_key
-from shelfwise.operators.star import build_star, read_star, write_star
+from shelfwise.operators.star import build_star, current_build, read_star, write_star
 
 D = dt.date
 
@@ -178,9 +178,10 @@ def test_write_star_spreads_a_hot_key(spark, star, tmp_path):
     s2 = dict(star)
     s2["fact_internal_sales"] = hot.unionByName(cold)
     write_star(s2, str(tmp_path / "hot"), fact_partitions=8)
-    files = list((tmp_path / "hot" / "fact_internal_sales" / "date_id=1").glob("*.parquet"))
+    build = tmp_path / "hot" / current_build(spark, str(tmp_path / "hot")).rsplit("/", 1)[-1]
+    files = list((build / "fact_internal_sales" / "date_id=1").glob("*.parquet"))
     assert len(files) >= 3
-    back = spark.read.parquet(str(tmp_path / "hot" / "fact_internal_sales"))
+    back = spark.read.parquet(str(build / "fact_internal_sales"))
     assert back.count() == 5000
 
 
