@@ -2,10 +2,12 @@
 
 A vector's code has one bit per component, 1 where it is positive.  The code
 is cut into m segments, and every distinct code is indexed under each segment's
-value.  If two codes differ in at most m * (r + 1) - 1 bits, some segment
-differs in r bits at most; so looking up all segment values within radius r
-finds every code up to that distance.  The radius grows from 0, only for the
-queries whose k-th verified neighbour is not yet within the proven distance.
+value.  Segment i is searched within radius r_i.  If two codes differ in fewer
+bits than the sum of all r_i + 1, some segment differs in r_i bits at most; so
+looking up all values within the radii finds every code below that distance.
+The radii grow, half of the segments at a time, only for the queries whose k-th
+verified neighbour is not yet within the proven distance.  A code that several
+segments would find is found by the first of them.
 
 Segments have the largest power-of-two length whose values are not more than
 the codes, so a lookup meets few codes whatever the table's size.
@@ -91,23 +93,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                            F.inline(F.array(*pairs)))
     asking = [f"q{i}" for i in range(len(words))]
     found = []
-    radius = 0
+    reached = m                        # the sum of all r_i + 1
     while True:
-        proven = m * (radius + 1) - 1
+        proven = reached - 1
         last = proven >= len(words) * WORD
-        reach = [x for r in range(radius + 1) for x in masks(s, r)]
-        probes = (open_codes.select(*words, F.inline(F.array(*pairs)))
-                  .withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long")
-                                                          for x in reach])))
-                  .select(*[F.col(w).alias(q) for w, q in zip(words, asking)], "seg",
-                          F.col("value").bitwiseXOR(F.col("flip")).alias("value")))
-        apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(w).bitwiseXOR(F.col(q)))
-                                            for w, q in zip(words, asking)])
+        whole, more = divmod(reached, m)
+        radii = [whole if i < more else whole - 1 for i in range(m)]
+        flips = [F.array(*[F.lit(x).cast("long") for n in range(r + 1) for x in masks(s, n)])
+                 for r in radii]
+        asks = [F.struct(F.lit(i).alias("seg"), segment(words, s, i).alias("at"),
+                         flips[i].alias("flips")) for i in range(m)]
+        probes = (open_codes.select(*[F.col(w).alias(q) for w, q in zip(words, asking)],
+                                    F.inline(F.array(*asks)))
+                  .withColumn("flip", F.explode("flips"))
+                  .select(*asking, "seg", F.col("at").bitwiseXOR(F.col("flip")).alias("value")))
+        other = [F.col(w).bitwiseXOR(F.col(q)) for w, q in zip(words, asking)]
+        apart = reduce(lambda a, b: a + b, [F.bit_count(x) for x in other])
+        mask, per = F.lit((1 << s) - 1).cast("long"), WORD // s
+        first = reduce(lambda a, b: a & b, [
+            (F.col("p.seg") <= i) | (F.bit_count(F.shiftrightunsigned(
+                other[i // per], s * (i % per)).bitwiseAND(mask)) > radii[i])
+            for i in range(m)])
         e, p = entries.alias("e"), probes.alias("p")
         near = stage(e.join(p, (F.col("e.seg") == F.col("p.seg"))
-                            & (F.col("e.value") == F.col("p.value")) & (apart <= proven))
-                     .select(*asking, *words, apart.alias("distance"), "copies").distinct(),
-                     "near-codes")
+                            & (F.col("e.value") == F.col("p.value")) & (apart <= proven)
+                            & first)
+                     .select(*asking, *words, apart.alias("distance"), "copies"), "near-codes")
         enough = near.groupBy(*asking).agg(F.sum("copies").alias("n"))
         done = enough.where(F.col("n") >= k + 1).select(*[F.col(q).alias(w) for q, w
                                                           in zip(asking, words)])
@@ -118,7 +129,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         open_codes = stage(open_codes.join(done, words, "left_anti"), "query-codes")
         if open_codes.isEmpty():
             break
-        radius += 1
+        reached += max(1, m // 2)
     hits = reduce(DataFrame.union, found)
     # only the nearest codes of a query can hold its k nearest rows
     hits = hits.withColumn("before", F.coalesce(F.sum("copies").over(
