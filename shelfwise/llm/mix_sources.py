@@ -111,6 +111,7 @@ def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
                          F.coalesce(F.col("m.b"), F.lit(0)).alias("edge"),
                          (F.col("filled") + F.coalesce(F.col("m.below"), F.lit(0)))
                          .alias("filled"), F.col("m.words").alias("words")))
+        state = stage(state, "mix-level")     # one row per source
     # the documents of the last edge: in, if that ends nearer to the budget
     gain = F.coalesce(F.col("words"), F.lit(0))
     cut = (F.when(F.col("rest") <= 0, 0)
@@ -127,7 +128,7 @@ def _copies(rule: str = "repeats", cut: str = "cut", h: str = "h") -> Column:
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     sizes = stage(sized(docs), "sizes")
-    rules = thresholds(sizes, targets(sizes)).withColumnRenamed("source", "s")
+    rules = thresholds(sizes, stage(targets(sizes), "mix-targets")).withColumnRenamed("source", "s")
     return (sizes.join(rules, F.col("source").eqNullSafe(F.col("s")))
             .select("doc_id", "size", "source_size", "target",
                     (F.col("size") * _copies()).alias("taken")))
@@ -138,7 +139,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     its columns unchanged.  The rules have one row per source, so the texts
     meet them without a sort."""
     sizes = stage(sized(docs), "sizes")
-    rules = stage(thresholds(sizes, targets(sizes)), "mix-rules")
+    rules = thresholds(sizes, stage(targets(sizes), "mix-targets"))
     s, r, c, h, n = (free_name(docs, x) for x in ("s", "repeats", "cut", "h", "copy"))
     rules = rules.select(F.col("source").alias(s), F.col("repeats").alias(r),
                          F.col("cut").alias(c))
