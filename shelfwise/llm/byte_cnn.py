@@ -35,6 +35,7 @@ WINDOWS_PER_ROW = 4        # evenly spaced training windows of a sampled row
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 MIN_SCORE = 0.3            # a filter keeps what reaches it
 CHUNK = 64                 # windows in one forward pass
+SLICE_BYTES = 2 << 20      # texts cut into windows at a time
 
 
 @dataclass
@@ -188,7 +189,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
 
     def run(batches):
         for b in batches:
-            step = max(1, int(b.num_rows * (8 << 20) / max(1, b.get_total_buffer_size())))
+            step = max(1, int(b.num_rows * SLICE_BYTES / max(1, b.get_total_buffer_size())))
             for a in range(0, b.num_rows, step):
                 s = b.slice(a, step)
                 x, used, doc = cut_windows(*text_buffer(s.column(at)))

@@ -49,7 +49,7 @@ SLICE = 4096              # slots in one row of the sketch
 BITMAP_BITS = 1024
 SCAN_COST = 4.0           # cost of a place in an inverted list, in subset keys
 LEVELS_AN_OCTAVE = 8
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 # ------------------------------------------------------------------ shingles

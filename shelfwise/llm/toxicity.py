@@ -71,7 +71,7 @@ def found(data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None
     return k >> BITS, (k & ((1 << BITS) - 1)).astype(np.int64)
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 2 << 20):
+def _parts(batch: pa.RecordBatch, limit: int = 1 << 20):
     step = max(1, int(batch.num_rows * limit / max(1, batch.get_total_buffer_size())))
     for a in range(0, batch.num_rows, step):
         yield batch.slice(a, step)
