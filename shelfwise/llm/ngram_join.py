@@ -239,10 +239,11 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(wide ^ narrow).sum())
 
 
-def describe(docs: DataFrame, level: np.ndarray, edge: int, k: int, percent: int) -> DataFrame:
-    """Staged (id, row, doc_id, n, digest, bits, keys, places) of every row."""
-    key = free_name(docs, "row_key")
-    rows = with_row_key(docs, key).select(
+def describe(docs: DataFrame, key: str, level: np.ndarray, edge: int, k: int,
+             percent: int) -> DataFrame:
+    """Staged (id, f, i, doc_id, n, digest, bits, keys, places) of every row;
+    ``key`` is the row key of ``docs``."""
+    rows = docs.select(
         F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col(key)["f"].alias("f"), F.col(key)["i"].alias("i"))
 
@@ -312,10 +313,12 @@ def possible(n_a: str, place_a: str, n_b: str, place_b: str, percent: int) -> st
             f"AND {share} * ({n_b} - {place_b}) >= {need}")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key: str, k: int,
+           percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets reach the threshold.  The
     bitmaps rule out most others; the sets of the classes that are left are
-    made from their texts again, which is less than to keep them all."""
+    made from their texts again, which is less than to keep them all.  The
+    texts are found by the row key that ``rows`` was described with."""
     bits = rows.select("id", "n", "bits")
     near = (pairs.join(bits.select(F.col("id").alias("a"), F.col("n").alias("n_a"),
                                    F.col("bits").alias("bits_a")), "a")
@@ -334,10 +337,9 @@ def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percent:
 
     near = stage(near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
                  .mapInArrow(differ, "a long, b long"), "near-pairs")
-    key = free_name(docs, "row_key")
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     places = rows.select("id", "f", "i").join(wanted, "id")
-    texts = with_row_key(docs, key).select(
+    texts = docs.select(
         F.col("text").cast("string").alias("text"), F.col(key)["f"].alias("f"),
         F.col(key)["i"].alias("i")).join(places, ["f", "i"]).select("id", "text")
 
@@ -401,20 +403,28 @@ def cross_pairs(places: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
             .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> dict[str, DataFrame]:
-    """The whole join.
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row key, and the key's name.  Called once for a join:
+    everything that is found or dropped by a row's place needs the same keys."""
+    key = free_name(docs, "row_key")
+    return with_row_key(docs, key), key
+
+
+def similarity_classes(docs: DataFrame, key: str, k: int = 5,
+                       percent: int = 80) -> dict[str, DataFrame]:
+    """The whole join of documents that have the row key ``key``.
 
     rows: every document (doc_id, f, i, n, cls); classes: cls, copies,
     first_doc; links: verified pairs (a, b) of classes, enough to connect each
     component; roots: (cls, root) of linked classes."""
     level, sizes, counts = sketch(docs, k)
-    rows = describe(docs, level, boundary(sizes, counts, percent), k, percent)
+    rows = describe(docs, key, level, boundary(sizes, counts, percent), k, percent)
     cls = classes(rows)
     places = lists(rows, cls)
-    star = verify(star_pairs(places, percent), rows, docs, k, percent)
+    star = verify(star_pairs(places, percent), rows, docs, key, k, percent)
     roots = components(star)
     cross = cross_pairs(places, roots, percent)
-    links = star.union(verify(cross, rows, docs, k, percent))
+    links = star.union(verify(cross, rows, docs, key, k, percent))
     merged = components(links)
     return {"rows": rows, "classes": cls, "links": links, "roots": merged}
 
@@ -423,12 +433,13 @@ def all_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Every linked pair of distinct sets as (doc_a, doc_b) of their smallest
     doc_ids, components left out of account.  The result itself grows with the
     square of a group of near copies; components do not need it."""
+    docs, key = keyed_rows(docs)
     level, sizes, counts = sketch(docs, k)
-    rows = describe(docs, level, boundary(sizes, counts, percent), k, percent)
+    rows = describe(docs, key, level, boundary(sizes, counts, percent), k, percent)
     cls = classes(rows)
     alone = rows.sparkSession.createDataFrame([], "node long, root long")
     pairs = cross_pairs(lists(rows, cls), alone, percent)
-    links = verify(pairs, rows, docs, k, percent)
+    links = verify(pairs, rows, docs, key, k, percent)
     name = cls.select("cls", "first_doc")
     return (links.join(name.toDF("a", "doc_a"), "a").join(name.toDF("b", "doc_b"), "b")
             .select(F.least("doc_a", "doc_b").alias("doc_a"),
@@ -456,7 +467,8 @@ def component_rows(join: dict[str, DataFrame]) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row."""
-    out = component_rows(similarity_classes(docs, k, percent))
+    docs, key = keyed_rows(docs)
+    out = component_rows(similarity_classes(docs, key, k, percent))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.col("component").alias("component_id"), F.col("cls_doc").alias("class_id"))
 
@@ -465,10 +477,10 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """The rows of ``docs`` with the smallest doc_id of each component (the
     first row of it), all columns unchanged; documents without words all stay.
     Only the dropped rows' places are joined back."""
-    out = component_rows(similarity_classes(docs, k, percent))
+    docs, key = keyed_rows(docs)
+    out = component_rows(similarity_classes(docs, key, k, percent))
     best = out.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"))
     gone = out.join(best, "root").where(F.col("id") != F.col("best.id"))
-    key = free_name(docs, "row_key")
     gone = gone.select(F.struct("f", "i").alias(key))
-    return with_row_key(docs, key).join(gone, key, "left_anti").drop(key)
+    return docs.join(gone, key, "left_anti").drop(key)

@@ -40,19 +40,43 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def scans_alike(df: DataFrame) -> bool:
+    """True if every scan of ``df`` has the same rows, each physical row once:
+    one file relation under nothing but fixed projections and filters.  A
+    union, join, explode, limit or sample may repeat or change rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("SubqueryAlias", "Project", "Filter"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = relation.location().rootPaths()     # as named by the reader, not the files
+    paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    return not any(y.startswith(x) for x, y in zip(paths, paths[1:]))
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a struct column that names each physical row.
 
     For a DataFrame read from Parquet files that is (file, place in the file),
     the same in every scan whatever the splits; any other input is staged
-    first, so that its rows have such a place."""
-    try:
-        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("f"),
-                                            F.col("_metadata.row_index").alias("i")))
-    except AnalysisException:       # no such columns: not a plain file scan
-        return stage(df, "rows").withColumn(
-            name, F.struct(F.col("_metadata.file_path").alias("f"),
-                           F.col("_metadata.row_index").alias("i")))
+    first, so that its rows have such a place.  A staged copy is a new one in
+    each call: keys to be compared must come from one call."""
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, F.struct(F.col("_metadata.file_path").alias("f"),
+                                              F.col("_metadata.row_index").alias("i")))
+
+    if scans_alike(df):
+        try:
+            return keyed(df)
+        except AnalysisException:       # a format without places in the file
+            pass
+    return keyed(stage(df, "rows"))
 
 
 ROW_KEY = T.StructType([T.StructField("f", T.StringType()), T.StructField("i", T.LongType())])

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import documents, split_words, words
 from shelfwise.llm import ngram_join as N
@@ -126,3 +127,35 @@ def test_keep_one_keeps_columns_and_wordless_rows(spark, tmp_path):
     kept = N.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8, 9]
+
+
+def inputs_by_kind(spark, rows, path):
+    """The same rows in memory, as a union and by explode over a scan, and the
+    files of one folder named twice."""
+    half = len(rows) // 2
+    files = documents(spark, rows[:half], path / "half")
+    pair = documents(spark, rows, path / "all")
+    return {"memory": (documents(spark, rows), rows),
+            "union": (files.unionByName(documents(spark, rows[half:])), rows),
+            "explode": (pair.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))), rows * 2),
+            "twice": (spark.read.parquet(str(path / "all"), str(path / "all")), rows * 2)}
+
+
+def test_every_kind_of_input_is_joined_whole(spark, tmp_path):
+    rows = corpus(21, 8, (60, 120), 2)
+    for kind, (docs, plain) in inputs_by_kind(spark, rows, tmp_path).items():
+        got = N.jaccard_components(docs, 4, 85).collect()
+        want, links = brute(plain, 4, 85)
+        assert links
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(want), kind
+
+
+def test_one_of_each_stays_for_every_kind_of_input(spark, tmp_path):
+    rows = corpus(22, 8, (60, 120), 2)
+    for kind, (docs, plain) in inputs_by_kind(spark, rows, tmp_path).items():
+        kept = N.keep_one_of_each(docs, 4, 85)
+        want, _ = brute(plain, 4, 85)
+        ids = Counter(c for _, n, c in set(want) if n) & Counter({c: 1 for _, _, c in want})
+        ids += Counter(d for d, n, _ in want if not n)
+        assert kept.columns == docs.columns, kind
+        assert Counter(r.doc_id for r in kept.collect()) == ids, kind
