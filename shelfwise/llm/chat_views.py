@@ -6,10 +6,12 @@ names, and the mask covers what the assistant is to learn: the text and the
 end mark of its own turns.  System turns are shown as such in every view; the
 system is no speaker.
 
-A conversation is rendered in parts of 256 turn numbers, so no row grows with
-a conversation without end; char_start says where a part begins in the whole
-view.  The turns are shuffled once by conversation; the views are made from
-the grouped turns.
+A conversation is rendered in parts of 256 turn numbers; char_start says where
+a part begins in the whole view.  With distinct turn numbers no row grows with
+a conversation without end.  Null turns all belong to part 0 and repeated turns
+to the part of their number, so a part with many of those is one row as large
+as they are, collected in one task and copied once for each speaker.  The turns
+are shuffled once by conversation; the views are made from the grouped turns.
 
 Defined results: turns are ordered by turn (null first), then speaker and
 text, so ties have one order and repeated rows are all rendered; a null text
