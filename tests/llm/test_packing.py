@@ -72,5 +72,17 @@ def test_encoder_forgets_and_still_agrees(monkeypatch):
             assert got == ids_of(t)[:-1]
 
 
+def test_only_special_strings_differ_from_a_plain_call():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, enc = Tokenizer.from_file(path), P.WordCachedEncoder(path)
+    for t in TEXTS:
+        got = np.frombuffer(enc.encode([t or ""])[0], enc.dtype).tolist()
+        want = plain.encode(t or "", add_special_tokens=False).ids
+        assert (got == want) == ("<|endoftext|>" not in (t or ""))
+        assert 50256 not in got
+
+
 def test_empty_table(spark, tmp_path):
     assert P.pack(documents(spark, [], tmp_path / "d")).count() == 0
