@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (binary_topk, byte_cnn, chat_views, exact_dedup, mix_sources, ngram_join, packing,
-               repeats, toxicity, url_filters)
+               repeats, secrets, toxicity, url_filters)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def q_mix_sources(spark, sf_dir):
     return mix_sources.mix(read(spark, sf_dir, "documents"))
 
 
+def q_secrets(spark, sf_dir):
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_ngram_join": q_ngram_join,
@@ -81,6 +85,7 @@ def queries():
         "op8_mix_sources": q_mix_sources,
         "op9_suffix_repeats": q_suffix_repeats,
         "op10_language_id": q_language_id,
+        "op11_secrets": q_secrets,
         "pipeline": corpus_pipeline.run,
     }
 
