@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import (binary_topk, byte_cnn, chat_views, exact_dedup, mix_sources, ngram_join, packing,
+from . import (binary_topk, byte_cnn, chat_views, exact_dedup, lexical, mix_sources, ngram_join, packing,
                repeats, secrets, toxicity, url_filters)
 
 
@@ -73,6 +73,10 @@ def q_secrets(spark, sf_dir):
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def q_lexical_search(spark, sf_dir):
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         "op1_ngram_join": q_ngram_join,
@@ -86,6 +90,7 @@ def queries():
         "op9_suffix_repeats": q_suffix_repeats,
         "op10_language_id": q_language_id,
         "op11_secrets": q_secrets,
+        "op12_lexical_search": q_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -207,6 +212,38 @@ r AS (
 SELECT query_id, rank::INT AS rank, neighbor_id, distance FROM r WHERE rank <= 10"""
 
 
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+s AS (
+  SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS total FROM d),
+m AS (
+  SELECT r, doc_id, 100 - 50 + (50 * len(ts) * n_docs) // total AS m FROM d, s),
+q AS (
+  SELECT i, item_id, unnest(list_distinct(ts)) AS t FROM (
+    SELECT row_number() OVER () AS i, item_id,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM benchmark) b),
+p AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) u
+  WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM p, s GROUP BY t, n_docs),
+c AS (
+  SELECT i, item_id, doc_id, r,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY i, item_id, doc_id, r)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM c WHERE score > 0) x
+WHERE rank <= 50"""
+
+
 def oracle_sql():
     return {
         "op2_url_filters": URL_SQL,
@@ -214,4 +251,5 @@ def oracle_sql():
         "op6_exact_dedup": DEDUP_SQL,
         "op7_binary_topk": TOPK_SQL,
         "op8_mix_sources": MIX_SQL,
+        "op12_lexical_search": LEXICAL_SQL,
     }
