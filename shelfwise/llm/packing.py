@@ -7,6 +7,9 @@ into fixed windows without moving any row.  A document that crosses a window's
 end leaves a boundary record on both sides.  Only the last window can be
 short, so the padding of the whole corpus is less than one window.
 
+The ids are those of a plain call of the tokenizers library, so the name of a
+special token in a text gives that token.
+
 Defined results: a null or empty text is the single end id; repeated rows are
 packed each; an empty table gives no pieces; extra columns are ignored.  Very
 long texts are cut like any other.
@@ -14,8 +17,6 @@ long texts are cut like any other.
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .textbytes import text_buffer
+from .wordids import byte_bpe
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 250_000      # distinct words of a generation; an encoder remembers two
-# Marks that the pre-tokeniser keeps apart from the letters before
-# them (no apostrophe: it also begins 's, 't and the like).
-MARKS = ".,;:!?*%$#&()[]{}<>/|\\+=~^@_\"-"
 SLICE_BYTES = 4 << 20      # texts encoded at a time
 
 TOKEN_SCHEMA = "part int, row_start long, doc_id long, n long, ids binary"
@@ -40,112 +39,6 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens lo
                 "sequence_id long, offset long")
 
 
-class WordCachedEncoder:
-    """Token ids of a text through a memory of its words.
-
-    The byte-level pre-tokeniser never joins characters across a plain space
-    that stands between two non-space characters, so a text may be cut there
-    and each piece encoded once; pieces with other white space at an edge are
-    encoded together with their neighbours."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True   # special strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        # by what stands before a word (a space or nothing): this generation's
-        # words and the former one's; the marks after words
-        self.memory: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
-        self.former: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
-        self.tails: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(kind, e.ids).tobytes()
-                for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    @staticmethod
-    def _plain(word: str) -> bool:
-        return bool(word) and not word[0].isspace() and not word[-1].isspace()
-
-    def _learn(self, lead: str, words: set) -> None:
-        memory, former = self.memory[lead], self.former[lead]
-        plain, marked = set(), []
-        for w in words:
-            if w in memory:
-                continue
-            if w in former:
-                memory[w] = former[w]
-                continue
-            base = w.rstrip(MARKS)
-            if len(base) < len(w) and base.isalpha() and max(base) < "\u0250":
-                marked.append((w, base, w[len(base):]))     # letters, then marks
-                if base not in memory:
-                    if base in former:
-                        memory[base] = former[base]
-                    else:
-                        plain.add(base)
-            elif self._plain(w):
-                plain.add(w)
-            else:
-                memory[w] = None
-        plain = list(plain)
-        memory.update(zip(plain, self._ids([lead + w for w in plain])))
-        tails = list({t for _, _, t in marked} - self.tails.keys())
-        self.tails.update(zip(tails, self._ids(tails)))
-        for w, base, tail in marked:
-            memory[w] = memory[base] + self.tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        for lead, memory in self.memory.items():
-            if len(memory) > CACHE_WORDS:
-                self.former[lead], self.memory[lead] = memory, {}
-        if len(self.tails) > CACHE_WORDS:
-            self.tails = {}
-        words: set[str] = set()
-        for c in cut:
-            words.update(c[1:])
-        self._learn(" ", words)
-        self._learn("", {c[0] for c in cut})
-        inner, first, out = self.memory[" "], self.memory[""], []
-        for text, c in zip(texts, cut):
-            try:
-                out.append(b"".join([first[c[0]], *[inner[w] for w in c[1:]]]))
-            except TypeError:                   # a None: irregular white space
-                out.append(self._irregular(text))
-        return out
-
-    def _irregular(self, text: str) -> bytes:
-        if not text:
-            return b""
-        p = re.split(r"(?<=\S) (?=\S)", text)
-        return b"".join(self._ids([p[0], *(" " + x for x in p[1:])]))
-
-
-def encoder(path: str | None) -> WordCachedEncoder:
-    """One encoder per worker process; ``None`` is the public byte-level BPE.
-
-    This module reaches a worker by value, anew with each task, so what lasts
-    between tasks is kept in a module of the worker's own."""
-    import os
-    import sys
-    import types
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark has one task per core already
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    name = "_shelfwise_worker_memory"
-    memory = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    key = f"encoder {path}"
-    if key not in memory:
-        memory[key] = WordCachedEncoder(path)
-    return memory[key]
-
-
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` text bytes (one row at least)."""
     size = np.array([x or 0 for x in
@@ -158,25 +51,32 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
         yield batch.slice(a, b - a)
 
 
+def binaries(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The values as one binary entry for each of the counts, without a copy."""
+    edge = np.concatenate(([0], np.cumsum(count))) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(count), [
+        None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(part, row_start, doc_id, n, ids): the ids of each row, little-endian
     and as narrow as the vocabulary allows, and where they start in the
     partition's stream.  Staged, so the order of the rows is fixed."""
 
     def run(batches):
-        enc = encoder(tokenizer_path)
-        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        enc = byte_bpe(tokenizer_path, special=False)       # a plain call's ids
         part, at = TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in slices(whole, 1):
-                ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-                n = np.array([len(x) // width for x in ids], np.int64)
+                ids, n = enc.encode(b.column(1))
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n += 1
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), part, np.int32)), pa.array(start), b.column(0),
-                     pa.array(n), pa.array(ids, pa.binary())],
-                    ["part", "row_start", "doc_id", "n", "ids"])
+                     pa.array(n), binaries(ids, n)], ["part", "row_start", "doc_id", "n", "ids"])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return stage(rows.mapInArrow(run, TOKEN_SCHEMA), "tokens", codec="zstd")
@@ -199,7 +99,6 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in batches:
             begin = b.column(1).to_numpy(zero_copy_only=False)
             n = b.column(2).to_numpy(zero_copy_only=False)
-            ids = b.column(3).to_pylist()
             first, last = begin // window, (begin + n - 1) // window
             count = last - first + 1
             row = np.repeat(np.arange(len(n)), count)
@@ -207,14 +106,13 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
             lo = np.maximum(seq * window, begin[row])
             hi = np.minimum((seq + 1) * window, (begin + n)[row])
             start, length = lo - begin[row], hi - lo
-            width = [len(x) // max(1, m) for x, m in zip(ids, n.tolist())]
-            wide = [np.frombuffer(x, "<u2" if w == 2 else "<u4").astype("<u4").tobytes()
-                    for x, w in zip(ids, width)]
-            parts = [wide[r][4 * s:4 * (s + m)]
-                     for r, s, m in zip(row.tolist(), start.tolist(), length.tolist())]
+            # the pieces in order are the batch's ids, cut anew
+            data, _ = text_buffer(b.column(3))
+            narrow = "<u2" if len(data) == 2 * int(n.sum()) else "<u4"
+            ids = data.view(narrow).astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row)), pa.array(start), pa.array(length),
-                 pa.array(parts, pa.binary()), pa.array(n[row]), pa.array(seq),
+                 binaries(ids, length), pa.array(n[row]), pa.array(seq),
                  pa.array(lo - seq * window)], names)
 
     # bounded: one row of 12 bytes for each task of pass one
