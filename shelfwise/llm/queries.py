@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import (binary_topk, byte_cnn, chat_views, exact_dedup, lexical, mix_sources, ngram_join, packing,
+from . import (alignment, binary_topk, byte_cnn, chat_views, exact_dedup, lexical, mix_sources, ngram_join, packing,
                repeats, secrets, toxicity, url_filters)
 
 
@@ -77,6 +77,10 @@ def q_lexical_search(spark, sf_dir):
     return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def q_tokenizer_alignment(spark, sf_dir):
+    return alignment.report(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_ngram_join": q_ngram_join,
@@ -91,6 +95,7 @@ def queries():
         "op10_language_id": q_language_id,
         "op11_secrets": q_secrets,
         "op12_lexical_search": q_lexical_search,
+        "op13_tokenizer_alignment": q_tokenizer_alignment,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -79,6 +79,7 @@ class PieceEncoder:
     def __init__(self, encode: Callable, vocabulary: int, fine: bool, whole: tuple[str, ...] = (),
                  joined: Callable | None = None):
         self.run, self.fine, self.whole, self.joined = encode, fine, whole, joined
+        self.vocabulary = vocabulary
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.forget()
 
