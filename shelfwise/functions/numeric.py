@@ -12,8 +12,10 @@ from .text import strip_ws
 # the interface.
 MONEY = "decimal(28,6)"
 # What counts as a number in a text, as Python's float() reads it
-# (no type suffix as in 100D); NaN and Infinity count as missing.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# (single underscores between digits, no type suffix as in 100D); NaN and
+# Infinity count as missing.
+DIGITS = "[0-9](?:_?[0-9])*"
+NUMBER = rf"^[+-]?({DIGITS}(\.({DIGITS})?)?|\.{DIGITS})([eE][+-]?{DIGITS})?$"
 
 
 def _col(c) -> Column:
@@ -28,7 +30,7 @@ def money(c) -> Column:
 def try_double(c) -> Column:
     """String to DOUBLE; NULL when empty, not a number or beyond its range."""
     s = strip_ws(_col(c).cast("string"))
-    v = F.when(s.rlike(NUMBER), s).try_cast("double")
+    v = F.when(s.rlike(NUMBER), F.replace(s, F.lit("_"), F.lit(""))).try_cast("double")
     return F.when(F.abs(v) != F.lit(float("inf")), v)
 
 

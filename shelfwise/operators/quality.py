@@ -30,10 +30,13 @@ def _dropped(clean: DataFrame, star: dict, fact: str, keys: dict) -> DataFrame:
 
 
 def quality_counts(star: dict, clean_internal: DataFrame | None = None,
-                   clean_competitor: DataFrame | None = None) -> DataFrame:
+                   clean_competitor: DataFrame | None = None,
+                   records: DataFrame | None = None) -> DataFrame:
     """``(check, table_name, value)``: row counts, NULL sales in the internal
     fact, and, given the cleaned feeds, dates in no known layout and the rows
-    that each fact join dropped, by cause (date, then product, then other)."""
+    that each fact join dropped, by cause (date, then product, then other).
+    Given the record counts of the feeds' files, also the short records (their
+    missing fields are NULL) and those refused for surplus fields."""
     def count(df, check, name):
         return df.agg(F.count(F.lit(1)).alias("value")).select(
             F.lit(check).alias("check"), F.lit(name).alias("table_name"), "value")
@@ -56,6 +59,15 @@ def quality_counts(star: dict, clean_internal: DataFrame | None = None,
     if clean_competitor is not None:
         parts.append(count(clean_competitor.where("competitor_volume IS NULL"),
                            "null_competitor_volume", "fact_competitor_market"))
+    if records is not None:
+        tables = {"internal": fact, "competitor": "fact_competitor_market"}
+        for state in ("short", "surplus"):
+            for feed, name in tables.items():
+                of = (F.col("feed") == feed) & (F.col("record_state") == state)
+                parts.append(records.agg(F.coalesce(F.sum(F.when(of, F.col("records"))), F.lit(0))
+                                         .alias("value"))
+                             .select(F.lit(f"{state}_records").alias("check"),
+                                     F.lit(name).alias("table_name"), "value"))
     return reduce(DataFrame.unionByName, parts).select(
         "check", "table_name", F.col("value").cast("bigint").alias("value"))
 

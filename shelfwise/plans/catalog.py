@@ -27,9 +27,10 @@ from ..operators.clean import CUTOFF
 from ..operators.resolve import (alias_index, match_exact, match_substring, resolve_spellings,
                                  typo_aliases)
 from ..session import stage, staging_path
-from ..sources.feeds import read_alias_csv, read_internal_csv, write_csv
-from ..sources.sales_feed import (FORMS, SKU_WIDTH, canonical_sets, messy, raw_competitor_feed,
-                                  raw_internal_feed, sales_lines)
+from ..sources.feeds import (INTERNAL_COLUMNS, read_alias_csv, read_internal_csv, read_records,
+                             write_csv)
+from ..sources.sales_feed import (FORMS, SKU_WIDTH, canonical_sets, messy, ragged_drop,
+                                  raw_competitor_feed, raw_internal_feed, sales_lines)
 from ..sources.tables import table
 from ..streaming.weekly_ingest import ingest
 from .rebuild import rebuild_from_csv
@@ -91,6 +92,7 @@ def land(spark: SparkSession, sf_dir: str) -> dict:
         paths = {"internal": staging_path(spark, "feed-internal"),
                  "competitor": staging_path(spark, "feed-competitor")}
         write_csv(raw_internal_feed(lines), paths["internal"])
+        ragged_drop(lines).write.mode("append").text(paths["internal"])
         write_csv(raw_competitor_feed(lines), paths["competitor"])
         paths["aliases"] = {k: staging_path(spark, f"alias-{k}") for k in CUTOFF}
         for k, df in aliases_for(spark, sf_dir).items():
@@ -181,8 +183,8 @@ def q_rebuild_twice(spark, sf_dir):
     landed, path = land(spark, sf_dir), staging_path(spark, "star-twice")
     rebuild_from_csv(spark, landed["internal"], landed["competitor"], landed["aliases"], path,
                      SKU_WIDTH)
-    kept = spark.read.options(header=True, ignoreLeadingWhiteSpace=False,
-                              ignoreTrailingWhiteSpace=False, escape='"').csv(landed["internal"])
+    kept = read_records(spark, landed["internal"], "internal").where("record_state = 'whole'").select(
+        *INTERNAL_COLUMNS)
     changed = staging_path(spark, "feed-changed")
     write_csv(kept.where(F.col("Reported_SKU").isNull()
                          | ~F.col("Reported_SKU").rlike("[13579] *$")), changed)
@@ -392,7 +394,7 @@ def q_quarterly_trend(spark, sf_dir):
 
 def q_quality_counts(spark, sf_dir):
     b = build(spark, sf_dir)
-    return Q.quality_counts(b["star"], b["internal"], b["competitor"])
+    return Q.quality_counts(b["star"], b["internal"], b["competitor"], b["records"])
 
 
 def q_unknown_audit(spark, sf_dir):

@@ -9,6 +9,7 @@ end, on both engines.
 
 from __future__ import annotations
 
+from ..sources.sales_feed import RAGGED_EVERY, RAGGED_UP_TO
 from . import catalog as K
 
 # The code points of white space, as Python's str.strip() has them.
@@ -36,7 +37,7 @@ def known(name: str, key: str) -> str:
     return f"CASE WHEN ({key}) % 20 IN (17, 18) THEN 'Unknown' ELSE {name} END"
 
 
-RAW_INTERNAL = f"""raw_internal AS (
+RAW_INTERNAL = f"""reported_lines AS (
   SELECT CASE p_partkey % 10
            WHEN 0 THEN NULL
            WHEN 1 THEN 'sku a' || code
@@ -49,6 +50,7 @@ RAW_INTERNAL = f"""raw_internal AS (
          CASE WHEN ln % 20 <> 0 THEN unit_price END AS Unit_Price,
          -- NULL, the empty text and n/a all read as missing
          CASE WHEN ln % 10 IN (0, 3) OR ln % 10 = 5 AND p_partkey % 2 = 0 THEN NULL
+              WHEN ln % 10 = 2 AND p_partkey % 3 = 1 THEN (amount::VARCHAR)[1] || '_' || (amount::VARCHAR)[2:]
               WHEN ln % 10 = 6 AND p_partkey % 3 = 0 THEN '1e400'
               WHEN ln % 10 = 7 AND p_partkey % 2 = 0 THEN amount || 'D'
               WHEN ln % 10 = 7 THEN chr(160) || amount || ' '
@@ -71,9 +73,18 @@ RAW_INTERNAL = f"""raw_internal AS (
          {known("brand", "p_partkey")} AS brand,
          {known("category", "p_partkey + l_linenumber")} AS category,
          {known("retailer", "l_orderkey")} AS retailer,
-         {known("variant", "ln")} AS variant
+         {known("variant", "ln")} AS variant,
+         l_orderkey <= {RAGGED_UP_TO} AND l_orderkey % {RAGGED_EVERY} = 3 AS again,
+         l_linenumber % 2 = 1 AS odd
   FROM (SELECT *, lpad(p_partkey::VARCHAR, 9, '0') AS code, l_orderkey + l_linenumber AS ln
-        FROM lines WHERE is_internal) x)"""
+        FROM lines WHERE is_internal) x),
+-- the late drop's records without their last field, the week; those with a
+-- surplus field are refused
+raw_internal AS (
+  SELECT * EXCLUDE (again, odd) FROM reported_lines
+  UNION ALL
+  SELECT * EXCLUDE (again, odd) REPLACE (NULL AS Week_Start, NULL AS week_date)
+  FROM reported_lines WHERE again AND NOT odd)"""
 
 SKU_T = f"translate(upper(trim(Reported_SKU, {WS})), 'AZ', '-0')"
 CLEAN_SKU = (f"CASE WHEN Reported_SKU IS NULL THEN NULL "
@@ -282,7 +293,11 @@ def oracle_sql() -> dict[str, str]:
                n("dropped_date", fc, "competitor", "week_start IS NULL"),
                n("dropped_category", fc, "competitor", "category IS NULL"),
                n("dropped_retailer", fc, "competitor", "retailer IS NULL"),
-               n("null_competitor_volume", fc, "competitor", "competitor_volume IS NULL")]
+               n("null_competitor_volume", fc, "competitor", "competitor_volume IS NULL"),
+               n("short_records", fi, "reported_lines", "again AND NOT odd"),
+               n("surplus_records", fi, "reported_lines", "again AND odd"),
+               n("short_records", fc, "competitor", "FALSE"),
+               n("surplus_records", fc, "competitor", "FALSE")]
     q["quality_counts"] = _q("\nUNION ALL ".join(counts))
     audits = []
     for t, src, attrs_of in ((fi, "fi", ("brand", "variant", "category", "retailer")),

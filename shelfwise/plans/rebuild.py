@@ -8,7 +8,7 @@ from ..functions.text import SKU_DIGITS
 from ..operators.clean import clean_feeds
 from ..operators.star import build_star, read_star, write_star
 from ..session import stage
-from ..sources.feeds import read_alias_csv, read_competitor_csv, read_internal_csv
+from ..sources.feeds import accepted, read_alias_csv, read_records, record_counts, refused
 
 
 def rebuild(spark: SparkSession, internal: DataFrame, competitor: DataFrame,
@@ -30,11 +30,20 @@ def rebuild_star(spark: SparkSession, internal: DataFrame, competitor: DataFrame
     return rebuild(spark, internal, competitor, aliases, out, sku_digits)["star"]
 
 
-def rebuild_from_csv(spark: SparkSession, internal_path: str, competitor_path: str,
+def rebuild_from_csv(spark: SparkSession, internal_path, competitor_path,
                      alias_paths: dict[str, str], out: str,
                      sku_digits: int = SKU_DIGITS) -> dict[str, dict | DataFrame]:
     """The rebuild from the feeds' CSV files and one alias CSV per entity
-    (``brand``, ``category``, ``retailer``, ``variant``)."""
+    (``brand``, ``category``, ``retailer``, ``variant``).
+
+    Each feed is cut into records once and written, so that cleaning and the
+    record counts read columns instead of CSV.  Adds ``records`` (feed,
+    record_state, records) and ``refused``, the texts of the records that are
+    in no feed, by feed."""
     aliases = {k: read_alias_csv(spark, p) for k, p in alias_paths.items()}
-    return rebuild(spark, read_internal_csv(spark, internal_path),
-                   read_competitor_csv(spark, competitor_path), aliases, out, sku_digits)
+    records = {kind: stage(read_records(spark, path, kind), f"records-{kind}")
+               for kind, path in (("internal", internal_path), ("competitor", competitor_path))}
+    built = rebuild(spark, *[accepted(df, kind) for kind, df in records.items()], aliases, out,
+                    sku_digits)
+    return built | {"records": record_counts(records),
+                    "refused": {kind: refused(df) for kind, df in records.items()}}

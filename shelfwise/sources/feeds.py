@@ -49,26 +49,92 @@ def typed(df: DataFrame, kind: str) -> DataFrame:
 
 KINDS = {"internal": INTERNAL_COLUMNS, "competitor": COMPETITOR_COLUMNS}
 
-
-def _read_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Columns are found by name: with ``enforceSchema`` off Spark checks the
-    header of every file against the schema, which is put in the file's order."""
-    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+# Columns beside those of a feed: how many fields a record had against the
+# header (whole, short, surplus), and the text of a record that is not whole.
+STATE, RECORD = "record_state", "record_text"
+# Fixed value: a text that no field holds.
+END_MARK = "\u0001end\u0001"
+
+
+def quoted_break_files(spark: SparkSession, path) -> list[str]:
+    """Files in which a quoted field holds a line break: some line of theirs
+    has an odd number of quotes.  One narrow scan; a name for each such file
+    reaches the driver, as every file's does when it is listed."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = lines.where(quotes % 2 == 1).select("file").distinct().collect()
+    return sorted(r["file"] for r in found)
+
+
+def read_records(spark: SparkSession, path, kind: str, names=None) -> DataFrame:
+    """Every record of a feed: its columns as text, ``record_state`` and, if
+    it is not whole, ``record_text``.
+
+    Records are cut by quotes, so a quoted line break stays in its field.  Only
+    files that have one are read whole by a task; all others stay splittable.
+    A short record's missing fields are NULL.  Columns are found by name: with
+    ``enforceSchema`` off Spark checks the header of every file against the
+    schema, which is put in the file's order, or in that of ``names``."""
+    names = list(names or spark.read.options(**CSV_OPTIONS).csv(path).columns)
     missing = [c for c in KINDS[kind] if c not in names]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
-    df = spark.read.schema(string_schema(names)).options(**CSV_OPTIONS).csv(path)
-    return typed(without_na(df, KINDS[kind]), kind)
-
-
-def read_internal_csv(spark: SparkSession, path: str) -> DataFrame:
+    schema = string_schema([*names, RECORD])
+    # a parser that skips columns does not see how many fields a record has
+    options = CSV_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD,
+                             "columnPruning": False}
+    broken, file = quoted_break_files(spark, path), F.col("_metadata.file_path")
+
+    def read(multi_line: bool) -> DataFrame:
+        return spark.read.schema(schema).options(**options, multiLine=multi_line).csv(path)
+
+    rows = read(False)
+    if broken:      # the files are told apart before any of them is opened
+        rows = (rows.where(~file.isin(broken)).select(*names, RECORD)
+                .unionByName(read(True).where(file.isin(broken)).select(*names, RECORD)))
+    # read again with an end mark as one field more: the mark is in one of the
+    # header's columns, or next to them, unless there are surplus fields
+    # (no part of a field: Spark reads no file for the text of its records alone)
+    nothing = F.substring(F.coalesce(F.col(names[0]), F.lit("")), 1, 0)
+    again = F.from_csv(F.concat(RECORD, nothing, F.lit(f",{END_MARK}")),
+                       ", ".join(f"c{i} string" for i in range(len(names) + 1)),
+                       {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    near = F.array(*[again[f"c{i}"] for i in range(len(names) + 1)])
+    state = (F.when(F.col(RECORD).isNull(), "whole")
+             .when(F.array_contains(near, END_MARK), "short").otherwise("surplus"))
+    return rows.withColumn(STATE, state)
+
+
+def accepted(records: DataFrame, kind: str) -> DataFrame:
+    """The typed feed: whole and short records.  One with surplus fields is
+    refused, as its values cannot be told apart."""
+    rows = records.where(F.col(STATE) != "surplus")
+    return typed(without_na(rows, KINDS[kind]), kind)
+
+
+def refused(records: DataFrame) -> DataFrame:
+    """The texts of the records that are in no feed."""
+    return records.where(F.col(STATE) == "surplus").select(RECORD)
+
+
+def record_counts(records: dict[str, DataFrame]) -> DataFrame:
+    """``(feed, record_state, records)`` of feeds by kind."""
+    out = None
+    for kind, df in records.items():
+        part = df.groupBy(STATE).agg(F.count(F.lit(1)).alias("records")).select(
+            F.lit(kind).alias("feed"), STATE, "records")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_internal_csv(spark: SparkSession, path) -> DataFrame:
     """The internal feed: text columns as text, ``Volume`` and ``Unit_Price``
     as DOUBLE, ``Total_Sales`` kept as text (parsed during cleaning)."""
-    return _read_csv(spark, path, "internal")
+    return accepted(read_records(spark, path, "internal"), "internal")
 
 
-def read_competitor_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, "competitor")
+def read_competitor_csv(spark: SparkSession, path) -> DataFrame:
+    return accepted(read_records(spark, path, "competitor"), "competitor")
 
 
 def read_alias_csv(spark: SparkSession, path: str) -> DataFrame:
