@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import MONEY, money, pct_change, ratio_pct
-from .metrics import _filtered, internal_fact, internal_lines, revenue
+from ..functions.exact_sum import again, cells, exact_sums, finish, kept_if, no_part, part
+from ..functions.numeric import pct_change, ratio_pct
+from .metrics import _filtered, internal_fact, internal_lines, revenue_of, sales
 
 
 def compare_pivot(star: dict, by, pivot: str, values: dict, **filters) -> DataFrame:
@@ -19,9 +20,8 @@ def compare_pivot(star: dict, by, pivot: str, values: dict, **filters) -> DataFr
     by = list(by)
     lines = internal_lines(star, attrs=[*by, pivot], **filters).filter(
         F.col(pivot).isin(*values))
-    aggs = [F.sum(F.when(F.col(pivot) == F.lit(v), money("total_sales"))).cast("double").alias(name)
-            for v, name in values.items()]
-    return (lines.groupBy(*by) if by else lines).agg(*aggs)
+    return exact_sums(lines, by, {name: kept_if(F.col(pivot) == F.lit(v), sales(lines))
+                                  for v, name in values.items()})
 
 
 def pct_difference(star: dict, by, pivot: str, a: str, b: str, **filters) -> DataFrame:
@@ -36,8 +36,7 @@ def ranked(star: dict, dim: str, k: int = 1, ascending: bool = False, **filters)
     ``orderBy(...).limit(k)`` plans as ``TakeOrderedAndProject``: each task
     keeps its own k best, so only k rows per task reach the final merge.
     """
-    r = internal_lines(star, attrs=[dim], **filters).groupBy(dim).agg(
-        revenue().alias("total_revenue"))
+    r = revenue_of(internal_lines(star, attrs=[dim], **filters), [dim])
     o = F.col("total_revenue").asc_nulls_last() if ascending else F.col("total_revenue").desc_nulls_last()
     return r.orderBy(o, F.col(dim).asc()).limit(k)
 
@@ -49,8 +48,7 @@ def top_k_per_group(star: dict, groups, dim: str, k: int = 3, **filters) -> Data
     the groups, never over fact rows.
     """
     groups = list(groups)
-    r = internal_lines(star, attrs=[*groups, dim], **filters).groupBy(*groups, dim).agg(
-        revenue().alias("total_revenue"))
+    r = revenue_of(internal_lines(star, attrs=[*groups, dim], **filters), [*groups, dim])
     w = Window.partitionBy(*groups).orderBy(F.col("total_revenue").desc_nulls_last(), F.col(dim))
     return r.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
@@ -58,13 +56,13 @@ def top_k_per_group(star: dict, groups, dim: str, k: int = 3, **filters) -> Data
 def share_within(star: dict, outer: str, inner: str, **filters) -> DataFrame:
     """Share of each ``inner`` value in its ``outer`` total (e.g. brand share
     of category revenue), from the aggregated (outer, inner) table."""
-    r = internal_lines(star, attrs=[outer, inner], **filters).groupBy(outer, inner).agg(
-        F.sum(money("total_sales")).alias("rev"))
-    tot = F.sum("rev").over(Window.partitionBy(outer))
-    return r.select(outer, inner,
-                    F.col("rev").cast("double").alias(f"{inner}_revenue"),
-                    tot.cast("double").alias(f"{outer}_revenue"),
-                    ratio_pct(F.col("rev"), tot).alias("share_percent"))
+    lines = internal_lines(star, attrs=[outer, inner], **filters)
+    fine = cells(lines, [outer, inner], {"rev": sales(lines)})
+    own = finish(fine, [outer, inner], ["rev"])
+    whole = finish(again(fine, [outer]), [outer], ["tot"]).withColumnRenamed(outer, "__outer")
+    return own.join(whole, F.col(outer).eqNullSafe(F.col("__outer"))).select(
+        outer, inner, F.col("rev").alias(f"{inner}_revenue"), F.col("tot").alias(f"{outer}_revenue"),
+        ratio_pct(F.col("rev"), F.col("tot")).alias("share_percent"))
 
 
 def distinct_pairs(star: dict, a: str, b: str, **filters) -> DataFrame:
@@ -81,16 +79,14 @@ def internal_vs_competitor(star: dict, by=("year", "category"), **filters) -> Da
     """
     by = list(by)
     wanted = by + [k for k, v in filters.items() if v is not None]
-    fi = _filtered(internal_fact(star, wanted), star, filters, by).select(
+    fi = _filtered(internal_fact(star, wanted), star, filters, by)
+    fi = fi.select(
         *by, F.col("volume").cast("double").alias("iv"), F.lit(None).cast("double").alias("cv"),
-        money("total_sales").alias("isales"), F.lit(None).cast(MONEY).alias("csales"))
+        sales(fi).alias("isales"), no_part().alias("csales"))
     fc = _filtered(star["fact_competitor_market"], star, filters, by).select(
         *by, F.lit(None).cast("double").alias("iv"),
         F.col("competitor_volume").cast("double").alias("cv"),
-        F.lit(None).cast(MONEY).alias("isales"), money("competitor_sales").alias("csales"))
-    u = fi.unionByName(fc)
-    g = u.groupBy(*by) if by else u
-    return g.agg(F.sum("iv").alias("internal_volume"),
-                 F.sum("cv").alias("competitor_volume"),
-                 F.sum("isales").cast("double").alias("internal_sales"),
-                 F.sum("csales").cast("double").alias("competitor_sales"))
+        no_part().alias("isales"), part("competitor_sales").alias("csales"))
+    return exact_sums(fi.unionByName(fc), by, {"internal_sales": F.col("isales"),
+                                               "competitor_sales": F.col("csales")},
+                      {"internal_volume": F.col("iv"), "competitor_volume": F.col("cv")})

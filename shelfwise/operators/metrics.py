@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import MONEY, money, pct_change, ratio_pct
+from ..functions.exact_sum import exact_sums, no_part, part
+from ..functions.numeric import pct_change, ratio_pct
 
 # dimension attribute -> (dimension table, its key)
 ATTR_DIM = {
@@ -77,24 +78,32 @@ def internal_lines(star: dict, attrs=(), use_summary: bool = True, **filters) ->
     return _filtered(internal_fact(star, wanted, use_summary), star, filters, attrs)
 
 
-def revenue(col: str = "total_sales"):
-    """Exact money sum (DECIMAL), returned as DOUBLE; NULL on empty input."""
-    return F.sum(money(col)).cast("double")
+def sales(lines: DataFrame):
+    """The sales of fact rows, or of the weekly summary's, as parts of exact
+    sums (``functions.exact_sum``)."""
+    if "scale" in lines.columns:
+        return F.when(F.col("total_sales").isNotNull(),
+                      F.struct("scale", F.col("total_sales").alias("amount")))
+    return part("total_sales")
+
+
+def revenue_of(lines: DataFrame, by=(), name: str = "total_revenue") -> DataFrame:
+    """Exact revenue per ``by`` as DOUBLE; without keys one row, NULL on empty
+    input."""
+    return exact_sums(lines, by, {name: sales(lines)})
 
 
 def total_revenue(star: dict, year: int | None = None, brand: str | None = None) -> DataFrame:
     """One row ``total_revenue``; NULL when nothing matches."""
-    return internal_lines(star, year=year, brand=brand).agg(revenue().alias("total_revenue"))
+    return revenue_of(internal_lines(star, year=year, brand=brand))
 
 
 def revenue_by(star: dict, by, **filters) -> DataFrame:
-    return (internal_lines(star, attrs=by, **filters).groupBy(*by)
-            .agg(revenue().alias("total_revenue")))
+    return revenue_of(internal_lines(star, attrs=by, **filters), by)
 
 
 def _yearly(star: dict, by, **filters) -> DataFrame:
-    return (internal_lines(star, attrs=["year", *by], **filters)
-            .groupBy(*by, "year").agg(F.sum(money("total_sales")).alias("revenue")))
+    return revenue_of(internal_lines(star, attrs=["year", *by], **filters), [*by, "year"], "revenue")
 
 
 def _yoy_cols(cur, prev):
@@ -142,35 +151,34 @@ def _share_frame(star: dict, by, **filters) -> DataFrame:
 
     The two facts are projected onto ``(by, internal, competitor)`` and
     unioned, so one shuffle (with map-side partial sums) aggregates both; no
-    fact-to-fact join, hence no fan-out between the grains.
+    fact-to-fact join, hence no fan-out between the grains.  ``t`` is the sum
+    of both, rounded once.
     """
     wanted = list(by) + [k for k, v in filters.items() if v is not None]
-    fi = _filtered(internal_fact(star, wanted), star, filters, by).select(
-        *by, money("total_sales").alias("i"), F.lit(None).cast(MONEY).alias("c"))
+    fi = _filtered(internal_fact(star, wanted), star, filters, by)
+    fi = fi.select(*by, sales(fi).alias("i"), no_part().alias("c"))
     fc = _filtered(star["fact_competitor_market"], star, filters, by).select(
-        *by, F.lit(None).cast(MONEY).alias("i"), money("competitor_sales").alias("c"))
-    both = fi.unionByName(fc)
-    g = both.groupBy(*by) if by else both
+        *by, no_part().alias("i"), part("competitor_sales").alias("c"))
     # a side with no rows sums to NULL, like a SQL SUM over nothing
-    return g.agg(F.sum("i").alias("i"), F.sum("c").alias("c"))
+    return exact_sums(fi.unionByName(fc), by, {"i": F.col("i"), "c": F.col("c"),
+                                               "t": F.coalesce("i", "c")})
 
 
-def _share_cols(i, c):
-    total = i + c
-    return [i.cast("double").alias("internal_sales"),
-            c.cast("double").alias("competitor_sales"),
-            total.cast("double").alias("total_market_sales"),
-            ratio_pct(i, total).alias("market_share_percent")]
+def _share_cols():
+    total = F.when(F.col("i").isNotNull() & F.col("c").isNotNull(), F.col("t"))
+    return [F.col("i").alias("internal_sales"), F.col("c").alias("competitor_sales"),
+            total.alias("total_market_sales"),
+            ratio_pct(F.col("i"), total).alias("market_share_percent")]
 
 
 def market_share(star: dict, year: int | None = None, category: str | None = None) -> DataFrame:
     """One row: internal_sales, competitor_sales, total_market_sales,
     market_share_percent = internal / (internal + competitor) * 100."""
     f = _share_frame(star, [], year=year, category=category)
-    return f.select(*_share_cols(F.col("i"), F.col("c")))
+    return f.select(*_share_cols())
 
 
 def market_share_by(star: dict, by=("year", "category"), **filters) -> DataFrame:
     by = list(by)
     f = _share_frame(star, by, **filters)
-    return f.select(*by, *_share_cols(F.col("i"), F.col("c")))
+    return f.select(*by, *_share_cols())

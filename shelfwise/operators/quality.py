@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import is_missing_text, money, ratio_pct, try_double
-from .metrics import internal_lines, with_attrs
+from ..functions.exact_sum import exact_sums, kept_if
+from ..functions.numeric import is_missing_text, ratio_pct, try_double
+from .metrics import internal_lines, sales, with_attrs
 from .resolve import UNKNOWN
 from .star import STAR_TABLES
 
@@ -94,14 +95,12 @@ def imputed_audit(star: dict, by=("year",)) -> DataFrame:
     """Imputed rows and the share of revenue that was imputed, per ``by``."""
     by = list(by)
     lines = internal_lines(star, attrs=by, use_summary=False)   # counts rows
-    g = lines.groupBy(*by) if by else lines
-    r = g.agg(F.count_if("is_imputed").cast("bigint").alias("imputed_rows"),
-              F.count(F.lit(1)).cast("bigint").alias("total_rows"),
-              F.sum(F.when(F.col("is_imputed"), money("total_sales"))).alias("imp"),
-              F.sum(money("total_sales")).alias("tot"))
-    return r.select(*by, "imputed_rows", "total_rows",
-                    F.col("imp").cast("double").alias("imputed_revenue"),
-                    F.col("tot").cast("double").alias("total_revenue"),
+    one = F.lit(1).cast("bigint")
+    r = exact_sums(lines, by, {"imp": kept_if(F.col("is_imputed"), sales(lines)), "tot": sales(lines)},
+                   {"imputed_rows": F.when(F.col("is_imputed"), one).otherwise(F.lit(0).cast("bigint")),
+                    "total_rows": one})
+    return r.select(*by, "imputed_rows", "total_rows", F.col("imp").alias("imputed_revenue"),
+                    F.col("tot").alias("total_revenue"),
                     ratio_pct(F.col("imp"), F.col("tot")).alias("imputed_share_percent"))
 
 

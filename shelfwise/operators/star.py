@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money
+from ..functions.exact_sum import cells, part
 from ..session import delete_path, read_text, stage, write_text
 from .keys import dense_key
 
@@ -97,13 +97,14 @@ def weekly_summary(star: dict) -> DataFrame:
 
     Bounded by weeks x categories x retailers x brands, whatever the line
     count, and enough for every revenue/volume question that does not ask
-    for SKU or variant.  Each cell's sales are an exact DECIMAL sum, so summing
-    cells gives the same totals as summing lines.
+    for SKU or variant.  Sales are exact sums by scale (``exact_sum.cells``), so
+    adding cells gives the same totals as adding lines.
     """
     lines = star["fact_internal_sales"].join(
         star["dim_product"].select("product_id", "brand"), "product_id")
-    return lines.groupBy("date_id", "category_id", "retailer_id", "brand").agg(
-        F.sum(money("total_sales")).alias("total_sales"), F.sum("volume").alias("volume"))
+    keys = ["date_id", "category_id", "retailer_id", "brand"]
+    sums = cells(lines, keys, {"total_sales": part("total_sales")}, {"volume": F.col("volume")})
+    return sums.select(*keys, "scale", F.col("amount").alias("total_sales"), "volume")
 
 
 def dimensions(internal: DataFrame, competitor: DataFrame) -> dict[str, DataFrame]:
@@ -211,6 +212,8 @@ def read_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def register_star(star: dict[str, DataFrame]) -> None:
-    """Expose the star tables as temporary views under their own names."""
-    for n, df in star.items():
-        df.createOrReplaceTempView(n)
+    """Expose the six star tables as temporary views under their own names.
+    The weekly summary is none: its amounts are in units of their scale."""
+    for n in STAR_TABLES:
+        if n in star:
+            star[n].createOrReplaceTempView(n)

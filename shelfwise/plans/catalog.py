@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, time_attributes
+from ..functions.exact_sum import exact_sums, part
 from ..functions.numeric import impute_sales
 from ..functions.text import clean_sku, typo
 from ..operators import compare as C
@@ -338,7 +339,7 @@ def q_volume_in_year(spark, sf_dir):
 
 def q_week_revenue(spark, sf_dir):
     lines = M.internal_lines(star_for(spark, sf_dir), year=YEAR, week_number=WEEK, brand=BRAND)
-    return lines.agg(M.revenue().alias("total_revenue"))
+    return M.revenue_of(lines)
 
 
 def q_top_brand_in_category(spark, sf_dir):
@@ -438,10 +439,20 @@ def q_kpi_requests(spark, sf_dir):
     return stage(answers, "question-answers")       # the report: a dataset, read back
 
 
+def q_ledger_balance(spark, sf_dir):
+    """Exact sums of amounts of very different size: beside every own line, a
+    large amount is posted and taken back, so that only sums which lose
+    nothing give the lines' own."""
+    lines = sales_lines(spark, sf_dir).where("is_internal")
+    large = F.col("volume") * F.lit(1e22)
+    entries = lines.select("category", F.explode(F.array(
+        F.col("amount").cast("double"), large, -large)).alias("entry"))
+    return exact_sums(entries, ["category"], {"balance": part("entry")})
+
+
 def q_total_revenue_from_fact(spark, sf_dir):
     """The same total from the line-level fact, past the weekly summary."""
-    return M.internal_lines(star_for(spark, sf_dir), use_summary=False).agg(
-        M.revenue().alias("total_revenue"))
+    return M.revenue_of(M.internal_lines(star_for(spark, sf_dir), use_summary=False))
 
 
 def queries() -> dict:
@@ -467,6 +478,7 @@ def queries() -> dict:
         "star_sample": q_star_sample,
         "sales_text_audit": q_sales_text_audit,
         "total_revenue": q_total_revenue,
+        "ledger_balance": q_ledger_balance,
         "total_revenue_from_fact": q_total_revenue_from_fact,
         "total_revenue_filtered": q_total_revenue_filtered,
         "brand_revenue": q_brand_revenue,

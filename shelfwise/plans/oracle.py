@@ -298,6 +298,8 @@ def oracle_sql() -> dict[str, str]:
                n("surplus_records", fi, "reported_lines", "again AND odd"),
                n("short_records", fc, "competitor", "FALSE"),
                n("surplus_records", fc, "competitor", "FALSE")]
+    q["ledger_balance"] = _q("SELECT category, CAST(SUM(amount) AS DOUBLE) AS balance FROM lines "
+                             "WHERE is_internal GROUP BY category")
     q["quality_counts"] = _q("\nUNION ALL ".join(counts))
     audits = []
     for t, src, attrs_of in ((fi, "fi", ("brand", "variant", "category", "retailer")),

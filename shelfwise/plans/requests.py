@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact_sum import cells, grouping_sets
 from ..functions.text import YEAR_PATTERN, extract_year
-from ..operators.metrics import internal_lines, revenue
+from ..operators.metrics import internal_lines, sales
 from ..operators.resolve import match_substring
 
 # The phrase that routes a question to the revenue metric.
@@ -32,7 +33,9 @@ def brand_list(star: dict) -> DataFrame:
 def revenue_cube(star: dict) -> DataFrame:
     """Revenue for every (year, brand), every year, every brand, and overall."""
     lines = internal_lines(star, attrs=["year", "brand"])
-    return lines.cube("year", "brand").agg(revenue().alias("total_revenue"))
+    fine = cells(lines, ["year", "brand"], {"total_revenue": sales(lines)})
+    return grouping_sets(fine, ["year", "brand"], [["year", "brand"], ["year"], ["brand"], []],
+                         ["total_revenue"]).drop("level_id")
 
 
 def answer_revenue_questions(star: dict, questions: DataFrame, brands: DataFrame | None = None,

@@ -21,7 +21,7 @@ import weakref
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.star import register_star
+from ..operators.star import STAR_TABLES, register_star
 
 # The nodes an analysed query may have.
 PLAN_NODES = frozenset((
@@ -151,4 +151,5 @@ def run_sql(spark: SparkSession, sql: str, star: dict | None = None) -> DataFram
     and only they may be read."""
     if star is not None:
         register_star(star)
-    return spark.sql(check_query(spark, sql, star))
+    tables = None if star is None else [t for t in STAR_TABLES if t in star]
+    return spark.sql(check_query(spark, sql, tables))
