@@ -22,6 +22,8 @@ An alias table has columns ``alias STRING, canonical STRING, rank INT``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ TYPO_LETTERS = "aesxz"
 # candidate pool: about 200,000 comparisons, whatever the data.
 FUZZY_POOL_CHUNK = 1000
 FUZZY_VALUES_PER_BUCKET = 200
+# Its rounds begin at these similarities, the last one at the cutoff.
+FUZZY_STEPS = (0.75, 0.0)
 # The alias index is broadcast to the substring join up to this many bytes of
 # keys and targets; a larger one takes a sort-merge join.
 INDEX_BROADCAST_BYTES = 32 << 20
@@ -103,13 +107,18 @@ def match_substring(values: DataFrame, index: DataFrame, lengths: list[int] | No
             .agg(F.min_by("canonical", "rank").alias("canonical")))
 
 
-def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str) -> DataFrame:
-    """One bounded similarity pass: ``values(e, raw)`` against ``pool(e, text,
+def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str,
+                materialize: bool = False) -> DataFrame:
+    """One similarity pass: ``values(e, raw)`` against ``pool(e, text,
     canonical)``; returns ``(e, raw, canonical)`` for values with a match.
 
+    In rounds of falling similarity: a value whose best match reaches the
+    round's limit is done, as all candidates that near were compared; only the
+    others meet more distant candidates, down to the cutoff.
+
     The pool is numbered in order of length and cut into chunks.  The ratio of
     two texts is at most 2 * shorter / (shorter + longer), so a value meets
-    only the chunks whose lengths can reach its cutoff: nothing that could
+    only the chunks whose lengths can reach its limit: nothing that could
     match is skipped."""
     n_values = values.count()
     if n_values == 0:
@@ -118,31 +127,48 @@ def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str) ->
     pool = dense_key(pool.withColumn("len", F.length("text")).distinct(),
                      ["e", "len", "text"], "at")
     pool = pool.withColumn("chunk", F.floor(F.col("at") / FUZZY_POOL_CHUNK).cast("int"))
-    chunks = pool.groupBy("e", "chunk").agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
     cut = {int(k): float(v) for k, v in cutoffs.items()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in cut.items() for x in kv]), F.col("e"))
     # spaces count in the raw text and not in the stripped one
     size = F.length("raw") if kind == "canonical" else F.length(norm_key("raw"))
-    vals = (values.withColumns({"bucket": F.pmod(F.xxhash64("raw"), F.lit(buckets)).cast("int"),
-                                "cut": limit, "len": size})
-            .join(chunks, "e")
-            .where((F.col("lo") <= F.col("len") * (2 - F.col("cut")) / F.col("cut"))
-                   & (F.col("hi") >= F.col("len") * F.col("cut") / (2 - F.col("cut"))))
+    left = values.select("e", "raw").withColumns({
+        "bucket": F.pmod(F.xxhash64("raw"), F.lit(buckets)).cast("int"), "len": size})
+    hits, done = [], None
+    for step in FUZZY_STEPS:
+        limits = {e: max(c, step) for e, c in cut.items()}
+        if limits == done:      # nothing more distant than the round before
+            continue
+        done = limits
+        hit = _fuzzy_round(left, pool, limits, kind)
+        if materialize:         # read by the next round's anti-join and by the result
+            hit = stage(hit, f"fuzzy-{kind}")
+        hits.append(hit)
+        left = left.join(hit.select("e", "raw"), ["e", "raw"], "left_anti")
+    return reduce(DataFrame.unionByName, hits)
+
+
+def _fuzzy_round(values: DataFrame, pool: DataFrame, limits: dict, kind: str) -> DataFrame:
+    """The best match of each value, of similarity ``limits[e]`` or more."""
+    chunks = pool.groupBy("e", "chunk").agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("e"))
+    # products on both sides: a limit of 0 lets every length pass
+    vals = (values.withColumn("cut", limit).join(chunks, "e")
+            .where((F.col("lo") * F.col("cut") <= F.col("len") * (2 - F.col("cut")))
+                   & (F.col("hi") * (2 - F.col("cut")) >= F.col("len") * F.col("cut")))
             .select("e", "raw", "bucket", "chunk"))
     met = vals.select("e", "chunk", "bucket").distinct()
     # names of its own: both sides of the cogroup come from ``vals``
-    pool = pool.join(met, ["e", "chunk"]).select(
+    near = pool.join(met, ["e", "chunk"]).select(
         "text", "canonical", F.col("e").alias("pe"), F.col("bucket").alias("pbucket"),
         F.col("chunk").alias("pchunk"))
 
     def scorer(vpdf, ppdf):
         e = int(vpdf["e"].iloc[0]) if len(vpdf) else 0
-        out = score_group(vpdf, ppdf, cut.get(e, 1.0), kind)
+        out = score_group(vpdf, ppdf, limits.get(e, 1.0), kind)
         out["e"] = e
         return out
 
     scored = (vals.groupBy("e", "bucket", "chunk")
-              .cogroup(pool.groupBy("pe", "pbucket", "pchunk"))
+              .cogroup(near.groupBy("pe", "pbucket", "pchunk"))
               .applyInPandas(scorer, SCORE_SCHEMA + ", e int"))
     # best over the chunks: highest score, a tie to the greater candidate text
     best = scored.groupBy("e", "raw").agg(F.max(F.struct("score", "match", "canonical")).alias("b"))
@@ -165,14 +191,15 @@ def match_fuzzy(values: DataFrame, index: DataFrame, cutoffs: dict,
     if values.isEmpty():
         return values.select("e", "raw", F.lit(None).cast("string").alias("canonical"))
     canon_pool = index.select("e", F.col("canonical").alias("text"), "canonical").distinct()
-    hit = _fuzzy_pass(values, canon_pool, cutoffs, "canonical")
+    hit = _fuzzy_pass(values, canon_pool, cutoffs, "canonical", materialize)
     if materialize:
         hit = stage(hit, "fuzzy-canonical")
     rest = values.join(hit.select("e", "raw"), ["e", "raw"], "left_anti")
     if materialize:
         rest = stage(rest, "fuzzy-rest")
     key_pool = index.select("e", F.col("alias").alias("text"), "canonical")
-    return hit.unionByName(_fuzzy_pass(rest, key_pool, cutoffs, "key"))
+    return hit.unionByName(_fuzzy_pass(rest, key_pool, cutoffs, "key",
+                                            materialize))
 
 
 def resolve_values(values: DataFrame, alias: DataFrame, cutoffs,
