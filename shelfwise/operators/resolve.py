@@ -43,6 +43,7 @@ FUZZY_POOL_CHUNK = 1000
 FUZZY_VALUES_PER_BUCKET = 200
 # Its rounds begin at these similarities, the last one at the cutoff.
 FUZZY_STEPS = (0.75, 0.0)
+ROUNDS_FROM_BUCKETS = 4
 # The alias index is broadcast to the substring join up to this many bytes of
 # keys and targets; a larger one takes a sort-merge join.
 INDEX_BROADCAST_BYTES = 32 << 20
@@ -133,7 +134,8 @@ def _fuzzy_pass(values: DataFrame, pool: DataFrame, cutoffs: dict, kind: str,
     left = values.select("e", "raw").withColumns({
         "bucket": F.pmod(F.xxhash64("raw"), F.lit(buckets)).cast("int"), "len": size})
     hits, done = [], None
-    for step in FUZZY_STEPS:
+    # few values take one round: the same result with fewer jobs
+    for step in FUZZY_STEPS if buckets > ROUNDS_FROM_BUCKETS else FUZZY_STEPS[-1:]:
         limits = {e: max(c, step) for e, c in cut.items()}
         if limits == done:      # nothing more distant than the round before
             continue
