@@ -35,7 +35,7 @@ def test_try_double(spark):
     got = col1(spark, [None, "", "abc", " 12.5 ", "nan", "Infinity", "1e3", "-4"], try_double)
     assert got == [None, None, None, 12.5, None, None, 1000.0, -4.0]
     got = col1(spark, ["100D", "12f", "1e400", "0x10", "1_0", ".5", "5.", "+1", "\u00a07"], try_double)
-    assert got == [None, None, None, None, None, 0.5, 5.0, 1.0, 7.0]
+    assert got == [None, None, None, None, 10.0, 0.5, 5.0, 1.0, 7.0]
 
 
 def test_try_long(spark):
