@@ -1,4 +1,5 @@
-"""Dense surrogate keys without a single-partition window."""
+"""Dense surrogate keys without a single-partition window, and keys that members
+keep from one build to the next."""
 
 from __future__ import annotations
 
@@ -38,3 +39,24 @@ def dense_key(df: DataFrame, keys: list[str], id_col: str,
     return (ranged.join(offsets, "__pid")
             .withColumn(id_col, (F.col("__off") + local + 1).cast("bigint"))
             .drop("__pid", "__mid", "__off"))
+
+
+def stable_key(members: DataFrame, known: DataFrame | None, keys: list[str],
+               id_col: str) -> DataFrame:
+    """Number the (distinct) ``members``: those in ``known`` (``id_col`` and the
+    keys; NULL equals NULL) keep their id, the others follow the greatest known
+    id in ``keys`` order.  Ids of members that are gone are never given again.
+
+    One join of the members with the known keys, written once; only the new
+    ones are ranged and numbered."""
+    if known is None:
+        return dense_key(members, keys, id_col).select(id_col, *members.columns)
+    old = known.select(id_col, *[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = stage(members.join(old, same, "left").select(id_col, *members.columns), "keyed")
+    if joined.where(F.col(id_col).isNull()).isEmpty():
+        return joined
+    top = known.agg(F.max(id_col)).first()[0] or 0
+    fresh = dense_key(joined.where(F.col(id_col).isNull()).drop(id_col), keys, id_col)
+    return joined.where(F.col(id_col).isNotNull()).unionByName(
+        fresh.withColumn(id_col, F.col(id_col) + F.lit(top).cast("bigint")))

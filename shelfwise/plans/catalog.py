@@ -20,6 +20,7 @@ from ..functions.dates import parse_date, time_attributes
 from ..functions.exact_sum import exact_sums, part
 from ..functions.numeric import impute_sales
 from ..functions.text import clean_sku, typo
+from ..operators import builds
 from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import quality as Q
@@ -56,6 +57,7 @@ _lock = threading.RLock()
 # views registered from them) belong to the session that made them and go with it.
 _landed: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _built: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_chains: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
@@ -193,6 +195,58 @@ def q_rebuild_twice(spark, sf_dir):
     return _yearly_brand(again["star"])
 
 
+# The SKUs that come late, and the month that is taken back.
+LATE_SKU = "[13579] *$"
+TAKEN_BACK = "1998-03-%"
+
+
+def chain(spark: SparkSession, sf_dir: str) -> dict:
+    """Three rebuilds of one star: without the SKUs that end in an odd digit,
+    of the whole feed, and without the lines dated in one month of the plain
+    layout.  All three stay readable; ``stars`` were read as each was built."""
+    def make():
+        landed, path = land(spark, sf_dir), staging_path(spark, "star-chain")
+        kept = read_records(spark, landed["internal"], "internal").where(
+            "record_state = 'whole'").select(*INTERNAL_COLUMNS)
+        sku, week = F.col("Reported_SKU"), F.col("Week_Start")
+        feeds = {"early": kept.where(sku.isNull() | ~sku.rlike(LATE_SKU)), "whole": None,
+                 "less": kept.where(week.isNull() | ~week.like(TAKEN_BACK))}
+        stars = {}
+        for name, df in feeds.items():
+            feed = landed["internal"]
+            if df is not None:
+                feed = staging_path(spark, f"feed-{name}")
+                write_csv(df, feed)
+            stars[name] = rebuild_from_csv(spark, feed, landed["competitor"], landed["aliases"],
+                                           path, SKU_WIDTH, keep=3)["star"]
+        return {"path": path, "stars": stars}
+    return _once(_chains, spark, sf_dir, make)
+
+
+def q_rebuild_snapshot(spark, sf_dir):
+    """A star that was read before two more rebuilds answers as it did."""
+    return _yearly_brand(chain(spark, sf_dir)["stars"]["early"])
+
+
+def q_rebuild_stable_keys(spark, sf_dir):
+    """Products after a rebuild that brought new ones: the old keep their ids."""
+    return chain(spark, sf_dir)["stars"]["whole"]["dim_product"].select(
+        "product_id", "sku_id", "brand", "variant")
+
+
+def q_rebuild_incremental(spark, sf_dir):
+    """The star after a month's lines were taken back: revenue of each year, its
+    weeks with sales, and how many of them the rebuild wrote."""
+    c = chain(spark, sf_dir)
+    star, path = c["stars"]["less"], c["path"]
+    name = builds.current(spark, path)
+    weeks = (builds.weeks_table(spark, path, name).where("fact = 'fact_internal_sales'")
+             .join(star["dim_time"].select("date_id", "year"), "date_id").groupBy("year")
+             .agg(F.count(F.lit(1)).alias("weeks"),
+                  F.count_if(F.col("build") == name).alias("weeks_written")))
+    return M.revenue_by(star, ["year"]).join(weeks, "year")
+
+
 # -------------------------------------------------------------- resolution
 
 
@@ -468,6 +522,9 @@ def queries() -> dict:
         "streamed_clean_internal": q_streamed_clean_internal,
         "rebuild_roundtrip": q_rebuild_roundtrip,
         "rebuild_twice": q_rebuild_twice,
+        "rebuild_snapshot": q_rebuild_snapshot,
+        "rebuild_stable_keys": q_rebuild_stable_keys,
+        "rebuild_incremental": q_rebuild_incremental,
         "resolve_exact": q_resolve_exact,
         "resolve_substring": q_resolve_substring,
         "resolve_fuzzy": q_resolve_fuzzy,

@@ -340,6 +340,20 @@ def oracle_sql() -> dict[str, str]:
     q["rebuild_roundtrip"] = q["total_revenue_year_brand"]
     q["rebuild_twice"] = _q(f"SELECT year, brand, {rev()} AS total_revenue FROM fi "
                             "WHERE NOT regexp_matches(Reported_SKU, '[13579] *$') GROUP BY year, brand")
+    q["rebuild_snapshot"] = q["rebuild_twice"]
+    # members of the early feed are numbered first, the others after them
+    q["rebuild_stable_keys"] = _q(
+        "SELECT row_number() OVER (ORDER BY NOT early, sku_id NULLS FIRST, brand, variant) "
+        "AS product_id, sku_id, brand, variant FROM (SELECT sku_id, brand, variant, bool_or("
+        f"Reported_SKU IS NULL OR NOT regexp_matches(Reported_SKU, '{K.LATE_SKU}')) AS early "
+        "FROM clean_internal GROUP BY sku_id, brand, variant) p")
+    q["rebuild_incremental"] = _q(
+        "SELECT year, CAST(SUM(money) AS DOUBLE) AS total_revenue, COUNT(*) AS weeks, "
+        "COUNT(*) FILTER (WHERE gone) AS weeks_written FROM (SELECT year, week_start, "
+        "SUM(money) FILTER (WHERE NOT taken) AS money, bool_or(taken) AS gone, "
+        "bool_or(NOT taken) AS stays FROM (SELECT *, coalesce(reported_week LIKE "
+        f"'{K.TAKEN_BACK}', false) AS taken FROM fi) l GROUP BY year, week_start) w "
+        "WHERE stays GROUP BY year")
     q["resolve_fuzzy"] = _q("SELECT DISTINCT entity, raw, canonical, match_tier FROM cases "
                             "WHERE raw IS NOT NULL", CASES)
     q["total_revenue_empty_year"] = _q(

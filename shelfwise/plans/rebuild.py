@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import SKU_DIGITS
+from ..operators import builds
 from ..operators.clean import clean_feeds
 from ..operators.star import build_star, read_star, write_star
 from ..session import stage
@@ -13,13 +14,16 @@ from ..sources.feeds import accepted, read_alias_csv, read_records, record_count
 
 def rebuild(spark: SparkSession, internal: DataFrame, competitor: DataFrame,
             aliases: dict[str, DataFrame], out: str,
-            sku_digits: int = SKU_DIGITS) -> dict[str, dict | DataFrame]:
+            sku_digits: int = SKU_DIGITS, keep: int = builds.KEEP) -> dict[str, dict | DataFrame]:
     """Clean both raw feeds, build the star and write it to ``out`` (replacing
-    what was there).  Returns ``star`` (the written tables) and the cleaned
+    what was there).  Members of the former star keep their ids, weeks that did not
+    change are not written again, and ``keep`` builds stay readable.  Returns ``star`` (the written tables) and the cleaned
     feeds ``internal`` and ``competitor``, each written once."""
     ci, cc = clean_feeds(internal, competitor, aliases, sku_digits=sku_digits)
     ci, cc = stage(ci, "clean-internal"), stage(cc, "clean-competitor")
-    write_star(build_star(ci, cc), out, mode="overwrite")
+    base = builds.current(spark, out)
+    known = builds.read_keys(spark, out, base) if base else None
+    write_star(build_star(ci, cc, known=known), out, base=base, keep=keep)
     return {"star": read_star(spark, out), "internal": ci, "competitor": cc}
 
 
@@ -32,7 +36,8 @@ def rebuild_star(spark: SparkSession, internal: DataFrame, competitor: DataFrame
 
 def rebuild_from_csv(spark: SparkSession, internal_path, competitor_path,
                      alias_paths: dict[str, str], out: str,
-                     sku_digits: int = SKU_DIGITS) -> dict[str, dict | DataFrame]:
+                     sku_digits: int = SKU_DIGITS,
+                     keep: int = builds.KEEP) -> dict[str, dict | DataFrame]:
     """The rebuild from the feeds' CSV files and one alias CSV per entity
     (``brand``, ``category``, ``retailer``, ``variant``).
 
@@ -44,6 +49,6 @@ def rebuild_from_csv(spark: SparkSession, internal_path, competitor_path,
     records = {kind: stage(read_records(spark, path, kind), f"records-{kind}")
                for kind, path in (("internal", internal_path), ("competitor", competitor_path))}
     built = rebuild(spark, *[accepted(df, kind) for kind, df in records.items()], aliases, out,
-                    sku_digits)
+                    sku_digits, keep)
     return built | {"records": record_counts(records),
                     "refused": {kind: refused(df) for kind, df in records.items()}}

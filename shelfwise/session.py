@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -88,6 +89,15 @@ def stage(df, name: str, codec: str | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(jobs: dict) -> dict:
+    """Run independent driver calls at the same time, each its own Spark jobs:
+    small tables do not wait for one another.  The results by name; the first
+    error is raised."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        running = {k: pool.submit(f) for k, f in jobs.items()}
+        return {k: r.result() for k, r in running.items()}
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a written table, in whatever file system holds it."""
     jvm = spark.sparkContext._jvm
