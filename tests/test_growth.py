@@ -85,13 +85,13 @@ def test_lines_are_not_shuffled_to_meet_small_tables(spark, tmp_path):
         "o_orderkey long, o_custkey long")
     put("part", [(n, "red bolt", "Brand#1", "PROMO", 10.0) for n in range(20)],
         "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double")
-    lines = [(n, n % 20, n % 50, 1, 2.0, 3.25, day) for n in range(200)] + [
+    lines = [(n % 200, n % 20, n % 50, n, 2.0 + n, n * 1.01, day) for n in range(4000)] + [
         (None, 1, 1, 1, 1.0, 1.0, day), (1, None, 1, 1, 1.0, 1.0, day), (1, 1, None, 1, 1.0, 1.0, day),
         (300, 1, 1, 1, 1.0, 1.0, day), (1, 1, 60, 1, 1.0, 1.0, day)]
     put("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
                            "l_quantity double, l_extendedprice double, l_shipdate timestamp")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6k")
     try:
         got = sales_lines(spark, str(tmp_path))
         assert "SortMergeJoin" not in plan(got)
