@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from shelfwise.functions.dates import ISO, WEEK_FORMATS, layout_shape, parse_date
 from shelfwise.functions.numeric import finite, try_double
 from shelfwise.functions.text import clean_sku, strip_ws
-from shelfwise.sources.sales_feed import sales_lines
+from shelfwise.plans import catalog as C
+from shelfwise.sources.feeds import read_competitor_csv, read_internal_csv, write_csv
+from shelfwise.sources.sales_feed import raw_competitor_feed, raw_internal_feed, sales_lines
 
 
 def plan(df):
@@ -108,3 +110,53 @@ def test_lines_are_not_shuffled_to_meet_small_tables(spark, tmp_path):
     assert sorted((r.l_orderkey, r.p_partkey, r.is_internal) for r in rows) == sorted(want)
     assert {(r.week_start, r.retailer, r.variant, r.category) for r in rows} == {
         (dt.date(1998, 3, 2), "M", "bolt", "PROMO")}
+
+
+def sales(spark):
+    """Lines as ``sales_lines`` gives them, with nulls and a repeated one."""
+    rows = [(n, n % 7, n % 30, 1.0 + n, 2.5, n * 1.5, dt.date(1998, 3, 2) + dt.timedelta(weeks=n % 5),
+             "PROMO" if n % 2 else None, f"Brand#{n % 4}", "bolt", "M", n % 5 == 0) for n in range(200)]
+    rows += [rows[5], rows[6], (3, None, None, None, None, None, None, None, None, None, None, True)]
+    return spark.createDataFrame(rows, (
+        "l_orderkey long, l_linenumber int, p_partkey long, volume double, unit_price double, "
+        "amount double, week_start date, category string, brand string, variant string, "
+        "retailer string, is_internal boolean")).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_competitor_lines_are_written_without_products(spark, monkeypatch):
+    staged, stage = {}, C.stage
+    monkeypatch.setattr(C, "sales_lines", lambda *_: sales(spark))
+    monkeypatch.setattr(C, "aliases_for", lambda *_: {})
+    monkeypatch.setattr(C, "_once", lambda cache, spark, sf_dir, make: make())
+    monkeypatch.setattr(C, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    paths = C.land(spark, "none")
+    lines = staged["sales-lines"]
+    assert lines.where("NOT is_internal AND (p_partkey IS NOT NULL OR brand IS NOT NULL)").isEmpty()
+    assert lines.count() == sales(spark).count()
+    # the feeds are those of the whole lines
+    plain = {k: C.staging_path(spark, f"plain-{k}") for k in ("internal", "competitor")}
+    write_csv(raw_internal_feed(sales(spark)), plain["internal"])
+    write_csv(raw_competitor_feed(sales(spark)), plain["competitor"])
+    C.ragged_drop(sales(spark)).write.mode("append").text(plain["internal"])
+    for read, k in ((read_internal_csv, "internal"), (read_competitor_csv, "competitor")):
+        assert as_rows(read(spark, paths[k])) == as_rows(read(spark, plain[k])) != []
+
+
+def test_a_feed_is_cut_into_records_once_for_both_changed_ones(spark, tmp_path, monkeypatch):
+    write_csv(raw_internal_feed(sales(spark)), f"{tmp_path}/feed")
+    written, built = [], []
+    monkeypatch.setattr(C, "land", lambda *_: {"internal": f"{tmp_path}/feed", "competitor": "", "aliases": {}})
+    monkeypatch.setattr(C, "_once", lambda cache, spark, sf_dir, make: make())
+    monkeypatch.setattr(C, "write_csv", lambda df, path: written.append(df))
+    monkeypatch.setattr(C, "rebuild_from_csv", lambda spark, feed, *a, **k: built.append(feed) or {"star": {}})
+    C.chain(spark, "none")
+    assert len(built) == 3 and len(written) == 2
+    assert all("csv" not in plan(df).lower() for df in written)
+    whole = raw_internal_feed(sales(spark)).count()
+    late = written[0].where(F.col("Reported_SKU").rlike(C.LATE_SKU)).count()
+    assert late == 0 < written[0].count() < whole
+    assert written[1].where(F.col("Week_Start").like(C.TAKEN_BACK)).count() == 0 < written[1].count() < whole
