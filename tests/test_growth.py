@@ -2,12 +2,14 @@
 a layout's shape are tried, and lines are not shuffled to meet small tables."""
 
 import datetime as dt
+import threading
 
 from pyspark.sql import functions as F
 
 from shelfwise.functions.dates import ISO, WEEK_FORMATS, layout_shape, parse_date
 from shelfwise.functions.numeric import finite, try_double
 from shelfwise.functions.text import clean_sku, strip_ws
+from shelfwise.operators import star as S
 from shelfwise.plans import catalog as C
 from shelfwise.sources.feeds import read_competitor_csv, read_internal_csv, write_csv
 from shelfwise.sources.sales_feed import raw_competitor_feed, raw_internal_feed, sales_lines
@@ -160,3 +162,24 @@ def test_a_feed_is_cut_into_records_once_for_both_changed_ones(spark, tmp_path,
     late = written[0].where(F.col("Reported_SKU").rlike(C.LATE_SKU)).count()
     assert late == 0 < written[0].count() < whole
     assert written[1].where(F.col("Week_Start").like(C.TAKEN_BACK)).count() == 0 < written[1].count() < whole
+
+
+def test_both_facts_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    both, write = threading.Barrier(2, timeout=120), S._write_fact
+
+    def met(*args):
+        both.wait()
+        write(*args)
+
+    monkeypatch.setattr(S, "_write_fact", met)
+    week = dt.date(2024, 1, 1)
+    internal = C.time_attributes(spark.createDataFrame(
+        [("SKU-1", "A", "Lamps", "Quay", "Raw", 1.0, 2.0, False, week)],
+        "sku_id string, brand string, category string, retailer string, variant string, "
+        "volume double, total_sales double, is_imputed boolean, week_start date"))
+    rival = C.time_attributes(spark.createDataFrame(
+        [("Tiles", "Quay", 3, 7.0, week)], "category string, retailer string, "
+        "competitor_volume bigint, competitor_sales double, week_start date"))
+    S.write_star(S.build_star(internal, rival), str(tmp_path / "star"))
+    star = S.read_star(spark, str(tmp_path / "star"))
+    assert [star[t].count() for t in S.FACT_COLS] == [1, 1]
