@@ -12,6 +12,14 @@ segments would find is found by the first of them.
 Segments have the largest power-of-two length whose values are not more than
 the codes, so a lookup meets few codes whatever the table's size.
 
+A segment's values are looked up in two steps.  Its leading bits name a bucket:
+a query is sent to the buckets within the radius, and what is left of the
+radius is flipped in the trailing bits only there, against the bucket's codes.
+So the values looked up, thousands a query, are neither shuffled nor broadcast;
+a bucket of many codes is dealt out to several tasks.  Of each round a query
+keeps k + 1 codes, by distance and smallest id: the others have no row among
+its k + 1 nearest.
+
 Defined results: a null vector neither asks nor answers; missing components
 count as not positive, NaN as positive; ties in distance are ordered by id;
 rows of equal code (a third of the table may have one) are one entry of the
@@ -33,6 +41,9 @@ from ..session import stage
 
 WORD = 64
 QUERY_EVERY = 100
+# Index entries of a task, whose table it holds in memory, and of a cell: the
+# part of a bucket that one task looks up.
+TASK_ENTRIES, BUCKET_ENTRIES = 100_000, 20_000
 
 
 def sign_words(vector: Column, dims: int) -> list[Column]:
@@ -58,10 +69,66 @@ def segment(words: list[str], s: int, i: int) -> Column:
         F.lit((1 << s) - 1).cast("long"))
 
 
+def lead_bits(s: int) -> int:
+    """Bits of a segment's value that name its bucket."""
+    return s if s <= 8 else s // 2
+
+
+def bucket_of(value: Column, s: int) -> Column:
+    """Number of the bucket of a value of segment ``seg``."""
+    lead = lead_bits(s)
+    return F.shiftleft(F.col("seg").cast("long"), lead).bitwiseOR(
+        F.shiftrightunsigned(value, s - lead)).cast("int")
+
+
+def dealt(tasks: int) -> list[Column]:
+    """The cell, and the number of its task."""
+    return [F.col("cell"), (F.col("cell") % tasks).cast("int").alias("task")]
+
+
+def place(rest: Column, s: int) -> Column:
+    """Cell and trailing bits of a value in one number; with the task's it packs
+    into one long join key, unless segments have 32 bits."""
+    return F.shiftleft("cell", s - lead_bits(s)).bitwiseOR(rest).cast(
+        "int" if s < 32 else "long")
+
+
 def masks(s: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(s), radius)]
 
 
+def flips(s: int, radius: int) -> str:
+    """SQL array of the masks of ``s`` bits with at most ``radius`` ones."""
+    return f"array({', '.join(f'{x}L' for n in range(min(s, radius) + 1) for x in masks(s, n))})"
+
+
+def searched(open_codes: DataFrame, words: list[str], asking: list[str], s: int,
+             radii: list[int], buckets: DataFrame, tasks: int) -> DataFrame:
+    """(asking.., seg, task, place): the places of every value within the radii
+    of the segments of each code.  Leading bits are flipped before the shuffle,
+    trailing ones after it."""
+    low = s - lead_bits(s)
+    most, least = max(radii), min(radii)
+    asks = [F.struct(F.lit(i).alias("seg"), segment(words, s, i).alias("at"),
+                     F.lit(radii[i]).alias("radius")) for i in range(len(radii))]
+    leads = F.when(F.col("radius") == most, F.expr(flips(s - low, most))).otherwise(
+        F.expr(flips(s - low, least)))
+    sent = (open_codes.select(*[F.col(w).alias(q) for w, q in zip(words, asking)],
+                              F.inline(F.array(*asks)))
+            .withColumn("flip", F.explode(leads))
+            .withColumn("bucket", bucket_of(F.col("at").bitwiseXOR(F.shiftleft("flip", low)), s))
+            .join(F.broadcast(buckets), "bucket")
+            .withColumn("cell", F.explode(F.sequence("start", F.col("start") + F.col("parts") - 1)))
+            .select(*asking, "seg", *dealt(tasks),
+                    F.col("at").bitwiseAND(F.lit((1 << low) - 1)).alias("rest"),
+                    F.least(F.col("radius") - F.bit_count("flip"), F.lit(low)).alias("left"))
+            .repartitionById(tasks, "task"))
+    trails = F.expr(f"array({', '.join(flips(low, n) for n in range(min(low, most) + 1))})")
+    return (sent.withColumn("flip", F.explode(F.get(trails, F.col("left"))))
+            .select(*asking, "seg", "task",
+                    place(F.col("rest").bitwiseXOR(F.col("flip")), s).alias("place")))
+
+
 def coded(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFrame:
     """(id, w0, w1, ..) of every row with a vector and an id, each id once."""
     v = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
@@ -85,13 +152,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                   "code-index")
     asked = stage(coded(queries, id_col, vector_col, dims), "queries")
     open_codes = stage(asked.select(*words).distinct(), "query-codes")
-    s = segment_bits(index.count(), dims)
+    n_codes = index.count()
+    s = segment_bits(n_codes, dims)
     m = len(words) * WORD // s
+    low = s - lead_bits(s)
     pairs = [F.struct(F.lit(i).alias("seg"), segment(words, s, i).alias("value"))
              for i in range(m)]
     entries = index.select(*words, F.size("ids").alias("copies"),
-                           F.inline(F.array(*pairs)))
+                           F.get("ids", F.lit(0)).alias("head"), F.inline(F.array(*pairs)))
+    entries = entries.withColumn("bucket", bucket_of(F.col("value"), s))
+    # a bucket is one cell, or several if it has many codes; the tasks take cells in turn
+    buckets = entries.groupBy("bucket").agg(
+        F.ceil(F.count("*") / BUCKET_ENTRIES).cast("long").alias("parts"))
+    buckets = stage(buckets.withColumn("start", F.sum("parts").over(
+        W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))).select(
+        "bucket", F.coalesce("start", F.lit(0)).cast("long").alias("start"), "parts"), "buckets")
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism,
+                -(-n_codes * m // TASK_ENTRIES))
+    entries = (entries.join(F.broadcast(buckets), "bucket")
+               .withColumn("cell", F.col("start") + F.pmod(F.xxhash64(*words), F.col("parts")))
+               .select(*words, "copies", "head", *dealt(tasks),
+                       F.col("value").bitwiseAND(F.lit((1 << low) - 1)).alias("rest"))
+               .withColumn("place", place(F.col("rest"), s)).drop("cell", "rest")
+               .repartitionById(tasks, "task"))
     asking = [f"q{i}" for i in range(len(words))]
+    other = [F.col(w).bitwiseXOR(F.col(q)) for w, q in zip(words, asking)]
+    apart = reduce(lambda a, b: a + b, [F.bit_count(x) for x in other])
+    mask, per = F.lit((1 << s) - 1).cast("long"), WORD // s
+    nearest = W.partitionBy(*asking).orderBy("distance", "head")
     found = []
     reached = m                        # the sum of all r_i + 1
     while True:
@@ -99,33 +187,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         last = proven >= len(words) * WORD
         whole, more = divmod(reached, m)
         radii = [whole if i < more else whole - 1 for i in range(m)]
-        flips = [F.array(*[F.lit(x).cast("long") for n in range(r + 1) for x in masks(s, n)])
-                 for r in radii]
-        asks = [F.struct(F.lit(i).alias("seg"), segment(words, s, i).alias("at"),
-                         flips[i].alias("flips")) for i in range(m)]
-        probes = (open_codes.select(*[F.col(w).alias(q) for w, q in zip(words, asking)],
-                                    F.inline(F.array(*asks)))
-                  .withColumn("flip", F.explode("flips"))
-                  .select(*asking, "seg", F.col("at").bitwiseXOR(F.col("flip")).alias("value")))
-        other = [F.col(w).bitwiseXOR(F.col(q)) for w, q in zip(words, asking)]
-        apart = reduce(lambda a, b: a + b, [F.bit_count(x) for x in other])
-        mask, per = F.lit((1 << s) - 1).cast("long"), WORD // s
         first = reduce(lambda a, b: a & b, [
-            (F.col("p.seg") <= i) | (F.bit_count(F.shiftrightunsigned(
+            (F.col("seg") <= i) | (F.bit_count(F.shiftrightunsigned(
                 other[i // per], s * (i % per)).bitwiseAND(mask)) > radii[i])
             for i in range(m)])
-        e, p = entries.alias("e"), probes.alias("p")
-        near = stage(e.join(p, (F.col("e.seg") == F.col("p.seg"))
-                            & (F.col("e.value") == F.col("p.value")) & (apart <= proven)
-                            & first)
-                     .select(*asking, *words, apart.alias("distance"), "copies"), "near-codes")
-        enough = near.groupBy(*asking).agg(F.sum("copies").alias("n"))
-        done = enough.where(F.col("n") >= k + 1).select(*[F.col(q).alias(w) for q, w
-                                                          in zip(asking, words)])
+        probes = searched(open_codes, words, asking, s, radii, buckets, tasks)
+        near = (entries.hint("shuffle_hash").join(probes, ["task", "place"])
+                .where((apart <= proven) & first)
+                .select(*asking, *words, apart.alias("distance"), "copies", "head")
+                .withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1)
+                .withColumn("seen", F.sum("copies").over(W.partitionBy(*asking))))
+        near = stage(near.drop("n", "head"), "near-codes")
         if last:
             found.append(near)
             break
-        found.append(near.join(done.toDF(*asking), asking, "left_semi"))
+        enough = near.where(F.col("seen") >= k + 1)
+        found.append(enough)
+        done = enough.select(*[F.col(q).alias(w) for q, w in zip(asking, words)]).distinct()
         open_codes = stage(open_codes.join(done, words, "left_anti"), "query-codes")
         if open_codes.isEmpty():
             break

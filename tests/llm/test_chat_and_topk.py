@@ -91,3 +91,40 @@ def test_topk_equals_brute_force(spark, dims, n, k):
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert K.top_k(df, df, 3).count() == 0
+
+
+def test_topk_broadcasts_no_values_looked_up(spark, monkeypatch):
+    """Long segments, and buckets of several cells: the values within the radii
+    are thousands a query and must not pass through the driver."""
+    rng = random.Random(5)
+    centres = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(4)]
+    rows = [(i, [x if rng.random() < .93 else -x for x in centres[i % 4]]) for i in range(240)]
+    monkeypatch.setattr(K, "segment_bits", lambda codes, bits: 16)
+    monkeypatch.setattr(K, "BUCKET_ENTRIES", 3, raising=False)
+    plans, stage = [], K.stage
+
+    def seen(df, name, codec=None):
+        if name == "near-codes":
+            plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return stage(df, name, codec)
+
+    monkeypatch.setattr(K, "stage", seen)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = K.top_k(df, df.where("vec_id % 20 = 0"), 6).collect()
+    queries = [r for r in rows if r[0] % 20 == 0]
+    assert {tuple(r) for r in got} == brute_topk(rows, queries, 6, 64)
+    assert len(got) == 6 * len(queries)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    assert plans
+    for lines in plans:
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = []
+                for x in lines[i + 1:]:
+                    if depth(x) <= depth(line):
+                        break
+                    below.append(x)
+                assert not any("Generate" in x for x in below)
